@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, nbsvm, rules, toxicity
+from . import langid, nbsvm, packing, pieces, rules, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +23,19 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.score(documents, nbsvm.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return langid.identify(documents, langid.fit(documents))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return rules.judge(documents, rules.fit(documents, table(spark, sf_dir, "labels")))
@@ -39,7 +48,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
+    "op4_packing": op4_packing,
     "op5_language": op5_language,
+    "op7_pieces": op7_pieces,
     "op8_rules": op8_rules,
     "op10_toxicity": op10_toxicity,
 }
