@@ -27,21 +27,29 @@ def folds_of(ids: pa.Array, n: int) -> list[int]:
     return [-1 if x is None else zlib.crc32(str(x).encode()) % n for x in ids.to_pylist()]
 
 
-def sample(rows: DataFrame, stratum: str, bound: int, byte_bound: int) -> pa.Table:
-    """At most about ``bound`` rows of (doc_id, text, stratum) for each stratum value.
+def sample(documents: DataFrame, strata: DataFrame, stratum: str, bound: int, byte_bound: int) -> pa.Table:
+    """About ``bound`` rows of (doc_id, text, stratum) at most for each stratum value.
 
-    Rows with a null stratum, id or text are left out.  A stratum with fewer rows is
-    taken whole.  Of a stratum, rows come in the order of a hash of their id until
-    ``byte_bound`` bytes of text; texts are never cut.
+    ``strata`` has doc_id and stratum.  Rows with a null stratum, id or text are left out.
+    A stratum with fewer rows is taken whole.  Of a larger one, ids are taken by a hash up to
+    the share that keeps the rows near ``bound`` and their texts near ``byte_bound`` bytes; texts are
+    never cut.  Only ids and lengths are shuffled; the ids chosen, whose number is bounded, are
+    broadcast to fetch the texts.
     """
     key = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(_SPACE))
-    rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col(stratum).isNotNull())
-    facts = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()
+    texts = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    strata = strata.select("doc_id", stratum).where(F.col(stratum).isNotNull()).distinct()
+    narrow = texts.select("doc_id", F.octet_length("text").alias("_size")).join(strata, "doc_id")
+    facts = narrow.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("b")).collect()
     keep = F.lit(False)
     for value, n, size in facts:
         share = min(1.0, bound / n, byte_bound / max(1, size))
         keep |= (F.col(stratum) == F.lit(value)) & (key < F.lit(int(share * _SPACE) + 1))
-    taken = rows.where(keep).select("doc_id", "text", stratum, key.alias("_key")).toArrow()
+    chosen = narrow.where(keep).select("doc_id", stratum).distinct().toArrow()
+    if not len(chosen):
+        return chosen.add_column(1, "text", pa.array([], pa.string()))
+    ids = documents.sparkSession.createDataFrame(chosen, strata.schema)
+    taken = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", stratum, key.alias("_key")).toArrow()
     return taken.sort_by([("_key", "ascending"), ("doc_id", "ascending"), ("text", "ascending")]).drop_columns(["_key"])
 
 

@@ -32,7 +32,7 @@ from . import labelled
 
 UNKNOWN = "und"
 DICTIONARY_BYTES = 48 << 10
-SAMPLE_ROWS, SAMPLE_BYTES = 600, 4 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 600, 2 << 20
 MOST_LANGUAGES = 256
 SEGMENT_BYTES = 2 << 10
 LEVEL = 6
@@ -98,13 +98,13 @@ def predict(text: str | None, dictionaries: tuple[tuple[str, bytes], ...]) -> tu
 
 def fit(documents: DataFrame, folds: int = 4, held: int = 2) -> tuple[tuple[str, bytes], ...]:
     """One dictionary for each language of the documents outside the held-out fold, the most frequent language first."""
-    learn = documents.select("doc_id", "text", "lang").where((labelled.fold(F.col("doc_id"), folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    known = documents.select("doc_id", "lang").where((labelled.fold(F.col("doc_id"), folds) != held) & F.col("lang").isNotNull())
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return ()
-    learn = learn.where(F.col("lang").isin([r["lang"] for r in counts]))
+    known = known.where(F.col("lang").isin([r["lang"] for r in counts]))
     texts: dict[str, list[str]] = {}
-    rows = labelled.sample(learn, "lang", SAMPLE_ROWS, SAMPLE_BYTES)
+    rows = labelled.sample(documents, known, "lang", SAMPLE_ROWS, SAMPLE_BYTES)
     for lang, text in zip(rows["lang"].to_pylist(), rows["text"].to_pylist()):
         texts.setdefault(lang, []).append(text)
     common = shared_lines([t for group in texts.values() for t in group])

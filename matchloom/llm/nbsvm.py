@@ -85,7 +85,7 @@ class QualityModel:
     shift: float
 
     #: Bounds of the fitting sample: rows and bytes of text of each class.
-    SAMPLE, SAMPLE_BYTES = 4000, 16 << 20
+    SAMPLE, SAMPLE_BYTES = 4000, 8 << 20
     COST, ROUNDS, SMOOTHING = 1.0, 12, 1.0
 
     @classmethod
@@ -161,8 +161,8 @@ class QualityModel:
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0) -> QualityModel:
     """Fits on labelled documents outside the held-out fold."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("_label"))
-    learn = documents.select("doc_id", "text").where(labelled.fold(F.col("doc_id"), folds) != held).join(known, "doc_id")
-    rows = labelled.sample(learn, "_label", QualityModel.SAMPLE, QualityModel.SAMPLE_BYTES)
+    known = known.where(labelled.fold(F.col("doc_id"), folds) != held)
+    rows = labelled.sample(documents, known, "_label", QualityModel.SAMPLE, QualityModel.SAMPLE_BYTES)
     data, offsets = columnar.utf8(rows["text"])
     order = np.random.default_rng(3).permutation(len(offsets) - 1)
     return _fit_in_order(data, offsets, rows["_label"].to_numpy() > 0, order)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import columnar, labelled
 
-SAMPLE, SAMPLE_BYTES = 4000, 16 << 20
+SAMPLE, SAMPLE_BYTES = 4000, 8 << 20
 TREES, DEPTH, BINS, RATE, L2, LEAST = 60, 4, 48, 0.15, 1.0, 4.0
 WINDOW = 5
 #: Fixed characters that count as symbols.
@@ -204,7 +204,7 @@ class Forest:
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality") -> Forest:
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("_label"))
-    rows = labelled.sample(documents.select("doc_id", "text").join(known, "doc_id"), "_label", SAMPLE, SAMPLE_BYTES)
+    rows = labelled.sample(documents, known, "_label", SAMPLE, SAMPLE_BYTES)
     _, x = statistics(*columnar.utf8(rows["text"]))
     return Forest.fit(x, (rows["_label"].to_numpy() > 0).astype(float))
 

@@ -65,7 +65,7 @@ class ToxicityModel:
     shift: float = 0.0
 
     #: Bounds of the fitting sample: rows and bytes of text of each class.
-    SAMPLE, SAMPLE_BYTES = 4000, 16 << 20
+    SAMPLE, SAMPLE_BYTES = 4000, 8 << 20
     RATE, BETA, L1, L2, ROUNDS = 0.5, 1.0, 8.0, 0.1, 10
 
     @classmethod
@@ -74,9 +74,13 @@ class ToxicityModel:
         n = len(labels)
         if not n:
             return cls(np.zeros(0, np.int32), np.zeros(0, np.float32), -30.0)
-        f, row = features(data, offsets)
-        key = np.unique((row.astype(np.int64) << _BITS) | f)
-        f, at = (key & ((1 << _BITS) - 1)).astype(np.int32), np.searchsorted(key >> _BITS, np.arange(n + 1))
+        sets, sizes = [], []
+        for i, j in columnar.blocks(offsets):
+            part, row = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            key = np.unique((row.astype(np.int64) << _BITS) | part)
+            sets.append((key & ((1 << _BITS) - 1)).astype(np.int32))
+            sizes.append(np.bincount(key >> _BITS, minlength=j - i))
+        f, at = np.concatenate(sets), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
         model = cls._learn(f, at, labels, np.arange(n))
         unseen = np.arange(n) % 4 == 3
         if len(set(labels[unseen])) == 2:
@@ -130,8 +134,8 @@ class ToxicityModel:
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0) -> ToxicityModel:
     """Fits on labelled documents outside the held-out fold."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("_label"))
-    learn = documents.select("doc_id", "text").where(labelled.fold(F.col("doc_id"), folds) != held).join(known, "doc_id")
-    rows = labelled.sample(learn, "_label", ToxicityModel.SAMPLE, ToxicityModel.SAMPLE_BYTES)
+    known = known.where(labelled.fold(F.col("doc_id"), folds) != held)
+    rows = labelled.sample(documents, known, "_label", ToxicityModel.SAMPLE, ToxicityModel.SAMPLE_BYTES)
     data, offsets = columnar.utf8(rows["text"])
     return ToxicityModel.fit(data, offsets, (rows["_label"].to_numpy() > 0).astype(np.int64))
 
