@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, nbsvm, neardup, packing, pieces, rules, toxicity
+from . import langid, lines, nbsvm, neardup, packing, pieces, rules, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,11 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents, rules.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.clean(table(spark, sf_dir, "documents"), F.col("source"), count=True)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_pieces": op7_pieces,
     "op8_rules": op8_rules,
+    "op9_lines": op9_lines,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op9_lines": lines.SQL}
