@@ -12,13 +12,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, nbsvm, neardup, packing, pieces, rules, toxicity
+from . import html, langid, lines, nbsvm, neardup, packing, pieces, rules, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return nbsvm.score(documents, nbsvm.fit(documents, table(spark, sf_dir, "labels")))
@@ -57,6 +65,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_main_text": op1_main_text,
+    "op2_top_k": op2_top_k,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op5_language": op5_language,
@@ -66,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lines": op9_lines,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE: dict[str, str] = {"op9_lines": lines.SQL}
+ORACLE: dict[str, str] = {"op2_top_k": topk.SQL, "op9_lines": lines.SQL}
