@@ -54,17 +54,25 @@ def sample(documents: DataFrame, strata: DataFrame, stratum: str, bound: int, by
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift by Newton's steps, with Platt's targets and a rising curve."""
+    """Slope and shift of the curve that turns margins into probabilities: Platt's targets, Newton's steps halved until they help, never falling."""
     up, down = y.sum(), len(y) - y.sum()
     goal = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
-    a, b = 1.0, float(np.log((up + 1) / (down + 1)))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        d, w = p - goal, np.maximum(p * (1 - p), 1e-9)
-        g = np.array([(d * x).sum() + 1e-3 * a, d.sum()])
-        h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum()]])
-        step = np.linalg.solve(h + 1e-9 * np.eye(2), g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
+    scale = max(1e-9, float(np.std(x)))
+    z = np.stack([x / scale, np.ones(len(x))], 1)
+
+    def loss(w: np.ndarray) -> float:
+        m = z @ w
+        return float((np.logaddexp(0, m) - goal * m).sum()) + 5e-4 * float(w[0] ** 2)
+
+    w = np.array([1.0, float(np.log((up + 1) / (down + 1)))])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
+        slope = z.T @ (p - goal) + np.array([1e-3 * w[0], 0])
+        step = np.linalg.solve(z.T @ (z * np.maximum(p * (1 - p), 1e-9)[:, None]) + 1e-3 * np.eye(2), slope)
+        size, now = 1.0, loss(w)
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
-    return max(float(a), 1e-3), float(b)
+    return max(float(w[0]) / scale, 1e-3), float(w[1])
