@@ -132,6 +132,18 @@ def _measured(distance: str) -> str:
     return f"CASE WHEN a = b THEN 0 WHEN b IS NULL THEN nullif(length(a), 0) ELSE {distance}(a, b) END"
 
 
+# one row of the table of distances in each step, for each distinct pair
+_OSA_ROWS = f"""WITH RECURSIVE pairs AS {_PAIRS_SQL}, steps AS (
+  SELECT DISTINCT a, b, 0 AS i, []::INT[] AS before, range(0, length(b) + 1)::INT[] AS last FROM pairs WHERE b IS NOT NULL
+  UNION ALL
+  SELECT a, b, i + 1, last, list_reduce(list_transform(range(1, length(b) + 1), lambda j: [j::INT]), lambda acc, x: list_append(acc, least(
+    acc[len(acc)] + 1, last[x[1] + 1] + 1, last[x[1]] + CASE WHEN a[i + 1] = b[x[1]] THEN 0 ELSE 1 END,
+    CASE WHEN i >= 1 AND x[1] > 1 AND a[i + 1] = b[x[1] - 1] AND a[i] = b[x[1]] THEN before[x[1] - 1] + 1 ELSE 1000000 END)), [(i + 1)::INT])
+  FROM steps WHERE i < length(a)),
+osa AS (SELECT p_partkey, pairs.a, pairs.b, CASE WHEN pairs.b IS NULL THEN nullif(length(pairs.a), 0) ELSE last[length(pairs.b) + 1] END AS distance
+  FROM pairs LEFT JOIN steps ON steps.a = pairs.a AND steps.b = pairs.b AND i = length(steps.a))"""
+
+
 _JARO = "CASE WHEN a = b THEN 1.0 WHEN b IS NULL THEN 0.0 ELSE jaro_similarity(a, b) END"
 _PREFIX = "CASE " + " ".join(f"WHEN length(a) >= {k} AND length(b) >= {k} AND left(a, {k}) = left(b, {k}) THEN {k}" for k in (4, 3, 2, 1)) + " ELSE 0 END"
 _DECIMAL = "::DECIMAL(9,8)"
@@ -149,19 +161,19 @@ for _name, (_function, _sql) in _DISTANCES.items():
     def _distance(spark: SparkSession, d: str, function=_function) -> DataFrame:
         return _pairs(spark, d).select("p_partkey", function("a", "b").cast("double").alias("distance"))
 
-    _add(_name, _sql and f"SELECT p_partkey, ({_sql})::DOUBLE AS distance FROM {_PAIRS_SQL}")(_distance)
+    _add(_name, f"SELECT p_partkey, ({_sql})::DOUBLE AS distance FROM {_PAIRS_SQL}" if _sql else f"{_OSA_ROWS} SELECT p_partkey, distance::DOUBLE AS distance FROM osa")(_distance)
 
 _LONGER = "greatest(length(a), length(b))"
-_TESTS: dict[str, tuple[str, str | None]] = {
+_TESTS: dict[str, tuple[str, str]] = {
     "exact": ("1", "a = b"),
     "levenshtein": ("4", "CASE WHEN b IS NULL THEN length(a) <= 4 ELSE levenshtein(a, b) <= 4 END"),
     "levenshtein_low": ("3", "CASE WHEN b IS NULL THEN length(a) <= 3 ELSE levenshtein(a, b) <= 3 END"),
     "levenshtein_normalised": ("0.5", f"levenshtein(a, b) <= 0.5 * {_LONGER}"),
     "levenshtein_low_normalised": ("0.5", f"CASE WHEN b IS NULL THEN false ELSE levenshtein(a, b) <= trunc(0.5 * {_LONGER}) END"),
-    "osa": ("4", None),
-    "osa_low": ("3", None),
-    "osa_normalised": ("0.5", None),
-    "osa_low_normalised": ("0.5", None),
+    "osa": ("4", "distance <= 4"),
+    "osa_low": ("3", "distance <= 3"),
+    "osa_normalised": ("0.5", f"b IS NOT NULL AND distance <= 0.5 * {_LONGER}"),
+    "osa_low_normalised": ("0.5", f"b IS NOT NULL AND distance <= trunc(0.5 * {_LONGER})"),
     "damerau_levenshtein": ("4", "CASE WHEN b IS NULL THEN length(a) <= 4 ELSE damerau_levenshtein(a, b) <= 4 END"),
     "damerau_levenshtein_normalised": ("0.5", f"damerau_levenshtein(a, b) <= 0.5 * {_LONGER}"),
     "jaro": ("0.6", f"({_JARO}){_DECIMAL} >= 0.6"),
@@ -172,7 +184,8 @@ for _name, (_threshold, _sql) in _TESTS.items():
     def _predicate(spark: SparkSession, d: str, name=_name, threshold=_threshold) -> DataFrame:
         return _pairs(spark, d).select("p_partkey", PREDICATES[name]("a", "b", threshold).alias("matches"))
 
-    _add(f"matching_{_name}", _sql and f"SELECT p_partkey, coalesce({_sql}, false) AS matches FROM {_PAIRS_SQL}")(_predicate)
+    _from = f"{_OSA_ROWS} SELECT p_partkey, coalesce({_sql}, false) AS matches FROM osa" if _name.startswith("osa") else f"SELECT p_partkey, coalesce({_sql}, false) AS matches FROM {_PAIRS_SQL}"
+    _add(f"matching_{_name}", _from)(_predicate)
 
 
 # matching and mashing
@@ -187,7 +200,17 @@ def match_parts(spark: SparkSession, d: str) -> DataFrame:
     return match(table(spark, d, "part"), "p_partkey", "p_brand", "p_retailprice DESC", "p_size,exact,1;p_name,levenshtein_low,5")
 
 
-@_add("match_customers")
+_NEAR = "jaro_similarity(l.c_name, r.c_name)"
+_ALIKE = "CASE " + " ".join(f"WHEN left(l.c_name, {k}) = left(r.c_name, {k}) THEN {k}" for k in (4, 3, 2, 1)) + " ELSE 0 END"
+
+
+@_add(
+    "match_customers",
+    f"""WITH n AS (SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) AS pid, c_custkey AS id, c_nationkey::VARCHAR || c_mktsegment AS block, c_name FROM customer),
+    k AS (SELECT block, row_number() OVER (ORDER BY block) AS partition FROM (SELECT DISTINCT block FROM n))
+    SELECT k.partition, l.pid AS l_pid, r.pid AS r_pid, l.id AS l_id, r.id AS r_id FROM n l JOIN n r ON l.block = r.block AND l.pid < r.pid JOIN k ON k.block = l.block
+    WHERE ({_NEAR}{_DECIMAL}::DOUBLE + 0.1 * ({_ALIKE}) * (1 - {_NEAR}{_DECIMAL}::DOUBLE)){_DECIMAL} >= 0.97""",
+)
 def match_customers(spark: SparkSession, d: str) -> DataFrame:
     """A rule that runs in Python, and one that allows nulls."""
     return match(table(spark, d, "customer"), "c_custkey", "concat(c_nationkey, c_mktsegment)", "c_acctbal ASC", "c_name,jaro_winkler,0.97;c_mktsegment,exact,1,a")
