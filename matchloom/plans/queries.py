@@ -192,11 +192,23 @@ for _name, (_threshold, _sql) in _TESTS.items():
 
 
 _NUMBERED = "n AS (SELECT row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS pid, p_partkey AS id, p_brand, p_name, p_size FROM part), k AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) AS partition FROM (SELECT DISTINCT p_brand FROM part))"
-_MATCHED = f"WITH {_NUMBERED}, m AS (SELECT k.partition, l.pid AS l_pid, r.pid AS r_pid, l.id AS l_id, r.id AS r_id FROM n l JOIN n r ON l.p_brand = r.p_brand AND l.pid < r.pid AND l.p_size = r.p_size AND levenshtein(l.p_name, r.p_name) <= 5 JOIN k ON k.p_brand = l.p_brand)"
+
+
+def _matched(rule: str) -> str:
+    return f"WITH {_NUMBERED}, m AS (SELECT k.partition, l.pid AS l_pid, r.pid AS r_pid, l.id AS l_id, r.id AS r_id FROM n l JOIN n r ON l.p_brand = r.p_brand AND l.pid < r.pid AND {rule} JOIN k ON k.p_brand = l.p_brand)"
+
+
+_MATCHED = _matched("levenshtein(l.p_name, r.p_name) <= 2")
 
 
 @_add("match", f"{_MATCHED} SELECT * FROM m")
 def match_parts(spark: SparkSession, d: str) -> DataFrame:
+    return match(table(spark, d, "part"), "p_partkey", "p_brand", "p_retailprice DESC", "p_name,levenshtein_low,2")
+
+
+@_add("match_sizes", f"{_matched('l.p_size = r.p_size AND levenshtein(l.p_name, r.p_name) <= 5')} SELECT * FROM m")
+def match_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """An equality, which joins, beside a distance."""
     return match(table(spark, d, "part"), "p_partkey", "p_brand", "p_retailprice DESC", "p_size,exact,1;p_name,levenshtein_low,5")
 
 

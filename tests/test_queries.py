@@ -1,0 +1,48 @@
+"""Every query against its SQL on the smallest tables."""
+
+import os
+from collections import Counter
+from decimal import Decimal
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry_points
+from matchloom.plans.queries import ORACLE, QUERIES
+
+DATA = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+
+
+def plain(value):
+    if isinstance(value, (float, Decimal)):
+        return round(float(value), 9)
+    return value
+
+
+def bag(names, rows):
+    order = sorted(range(len(names)), key=lambda k: names[k])
+    return Counter(tuple(plain(r[k]) for k in order) for r in rows)
+
+
+@pytest.fixture(scope="module")
+def duck():
+    connection = duckdb.connect()
+    for name in TABLES:
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
+    return connection
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, duck, name):
+    found = QUERIES[name](spark, DATA)
+    asked = duck.execute(ORACLE[name])
+    names = [d[0] for d in asked.description]
+    assert sorted(found.columns) == sorted(names)
+    assert bag(found.columns, found.collect()) == bag(names, asked.fetchall())
+
+
+def test_entry(spark):
+    assert entry_points.entry(spark).count() > 0
+    assert set(ORACLE) <= set(entry_points.oracle_sql()) <= set(entry_points.queries())
