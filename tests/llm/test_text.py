@@ -1,0 +1,85 @@
+"""Main text of pages and line dedup."""
+
+import duckdb
+import pytest
+from helpers import DOCUMENTS, ODD_TEXTS, odd_rows
+from pyspark.sql import functions as F
+
+from matchloom.llm import html, lines
+
+PAGES = "page_id long, url string, html string"
+
+
+@pytest.mark.parametrize(
+    ("source", "expected"),
+    [
+        (None, ""), ("", ""), ("plain", "plain"), ("<p>a</p>b<p>c", "a\nb\nc"),
+        ("<html><head><title>t</title><style>p{}</style></head><body><nav><a>m</a></nav><article><h1>T &amp; U</h1><p>x <b>y<p>z&nbsp;1<br>2</article><footer>f</footer>", "T & U\nx y\nz 1 2"),
+        ("<body><header>Site</header><main><article class=post><header><h1>H</h1></header><p>a</p><aside>s</aside><div class='ad-box'>buy</div></article></main></body>", "H\na"),
+        ("<article><p>a</p><section id=comments><article class=comment><p>nice</p></article></section><form>f</form></article>", "a"),
+        ("<div class=sidebar>s</div><div id=cookie-notice>c</div><div class='no-sidebar'><p>text</p></div><div hidden>h</div><div style='display:none'>i</div>", "text"),
+        ("<script>if (a<b) x='</p>'</script><p>a<!-- <p>no</p> -->b</p><textarea>no</textarea>", "ab"),
+        ("<ul><li>one<li>two</ul><table><tr><td>1<td>2<tr><td>3</table><pre>a\n  b</pre>", "one\ntwo\n1 2\n3\na b"),
+        ("<p title='a>b'>x</p></div></span>y", "x\ny"), ("<p>a<!-- no end", "a"), ("<p>a<script>no end", "a"), ("a < b &lt;p&gt; &#x41;&#66; &bogus;", "a < b <p> AB &bogus;"),
+        ("<main><p>one</p><article>x</article><p>two and more text</p></main>", "one\nx\ntwo and more text"),
+        ("<div role=navigation>n</div><blockquote>q<hr>r</blockquote>", "q\nr"),
+    ],
+)
+def test_main_text(source, expected):
+    assert html.main_text(source) == expected
+
+
+def site(host, n, banner="<div class=x><p>Join the <b>club</b> today</p></div>"):
+    return [(k, f"http://{host}/{k}", f"<body>{banner}<div><p>text {k} of its own</p></div></body>") for k in range(n)]
+
+
+@pytest.mark.parametrize("broadcast_bytes", [html.BROADCAST_BYTES, -1])
+def test_templates_of_a_host_go(spark, broadcast_bytes):
+    rows = site("A.example", 12) + [(100 + k, f"http://b.example/{k}", r[2]) for k, r in enumerate(site("x", 5))] + [(200 + k, "http://c.example/", site("x", 1)[0][2]) for k in range(30)] + [(300, None, None), (301, "no url", "<p>z</p>")]
+    out = {r.page_id: r for r in html.extract(spark.createDataFrame(rows, PAGES).withColumn("host", F.lit("clash")).repartition(4), broadcast_bytes=broadcast_bytes).collect()}
+    assert len(out) == len(rows)
+    assert all(out[k].text == f"text {k} of its own" for k in range(12))
+    assert all(out[100 + k].text == f"Join the club today\ntext {k} of its own" for k in range(5))  # too few pages to tell
+    assert all(out[200 + k].text == "Join the club today\ntext 0 of its own" for k in range(30))  # copies of one page
+    assert (out[300].text, out[300].n_chars, out[301].text) == ("", 0, "z")
+    assert html.extract(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def test_very_long_page():
+    body = "<p>" + "word " * 200_000 + "</p>"
+    assert len(html.main_text(f"<article>{body * 2}</article>")) == 2 * (200_000 * 5 - 1) + 1
+    assert html.main_text("<div>" * 5000 + "deep") == "deep"
+
+
+def cleaned(spark, rows, **more):
+    return {r.doc_id: r for r in lines.clean(spark.createDataFrame(rows, DOCUMENTS), F.col("source"), count=True, **more).collect()}
+
+
+@pytest.mark.parametrize("broadcast_bytes", [lines.BROADCAST_BYTES, -1])
+def test_boilerplate_lines_go(spark, broadcast_bytes):
+    rows = [(k, f"Menu \nline {k}\n\n  \nlast", "en", "a", 0) for k in range(8)] + [(20 + k, f"Menu\nline {k}", "en", "b", 0) for k in range(3)]
+    rows += [(40 + k, "same page\nagain", "en", "c", 0) for k in range(50)] + [(60 + k, f"Menu\n{k}", None, None, 0) for k in range(6)] + [(99, None, "en", "a", 0)]
+    out = cleaned(spark, rows, ratio=0.5, least=5, broadcast_bytes=broadcast_bytes)
+    assert len(out) == len({r[0] for r in rows})
+    assert all((out[k].text, out[k].n_lines, out[k].n_dropped) == (f"line {k}\n\n  ", 5, 2) for k in range(8))
+    assert out[20].text == "Menu\nline 0" and out[40].text == "same page\nagain"  # too few pages; copies count once
+    assert out[60].text == "0" and out[99].text is None and out[99].n_lines == 0
+
+
+def test_lines_of_odd_rows(spark):
+    out = lines.clean(odd_rows(spark), F.col("source"))
+    assert out.columns == odd_rows(spark).columns and out.count() == len(ODD_TEXTS) + 4
+    assert lines.clean(odd_rows(spark).limit(0), F.col("source")).collect() == []
+    with pytest.raises(ValueError):
+        lines.clean(odd_rows(spark).withColumn("__line_x", F.lit(1)), F.col("source"))
+
+
+def test_lines_like_sql(spark):
+    rows = [(k, "\n".join(f"l{(k * j) % (7 + j)}" + " " * (j % 2) for j in range(k % 9)), "en", None if k % 5 == 0 else f"s{k % 2}", 0) for k in range(120)] + [(500, None, None, "s1", 0)]
+    found = lines.clean(spark.createDataFrame(rows, DOCUMENTS), F.col("source"), count=True).select("doc_id", "n_lines", "n_dropped", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    connection.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
+    asked = connection.execute(lines.SQL).fetchall()
+    assert sorted(tuple(r) for r in found.collect()) == sorted(asked)
+    assert any(r[2] for r in asked)
