@@ -26,10 +26,9 @@ def _folding() -> tuple[str, str]:
     return "".join(accented), "".join(plain)
 
 
-_ACCENTED, _PLAIN = _folding()
-#: A character class body of letters that equal an ASCII letter without their accent.
-ACCENTED_LETTERS = _ACCENTED
-_FOLD = str.maketrans(_ACCENTED, _PLAIN)
+#: Letters that equal an ASCII letter without their accent, and those ASCII letters.
+ACCENTED_LETTERS, PLAIN_LETTERS = _folding()
+_FOLD = str.maketrans(ACCENTED_LETTERS, PLAIN_LETTERS)
 
 
 def text(value: Column | str) -> Column:
@@ -38,7 +37,7 @@ def text(value: Column | str) -> Column:
 
 def fold_accents(s: Column) -> Column:
     """Latin letters without accents."""
-    return F.translate(s, _ACCENTED, _PLAIN)
+    return F.translate(s, ACCENTED_LETTERS, PLAIN_LETTERS)
 
 
 def norm(s: Column) -> Column:

@@ -79,12 +79,6 @@ def levenshtein_normalised(a: Column | str, b: Column | str, threshold: Number)
     return _normalised(text(a), text(b), threshold, distance.levenshtein_distance)
 
 
-def _cut(a: Column, b: Column, threshold: Number) -> Column:
-    """The threshold in whole edits: cut to a whole number; null for a null first text, as its length is unknown."""
-    longer = F.greatest(_size(a), _size(b))
-    return F.when(a.isNotNull(), F.floor(F.lit(Decimal(str(threshold))) * longer).cast("int"))
-
-
 def levenshtein_low_normalised(a: Column | str, b: Column | str, threshold: Number) -> Column:
     """The same with the threshold cut to whole edits; a null first text matches everything but null."""
     a, b = text(a), text(b)
@@ -92,15 +86,19 @@ def levenshtein_low_normalised(a: Column | str, b: Column | str, threshold: Numb
 
 
 def _low_normalised(a: Column, b: Column, threshold: Number, within: Callable[[Column, Column, Column], Column]) -> Column:
-    share = Decimal(str(threshold))
-    if share < 0:
-        return _sure(a.isNull() & b.isNotNull())
-    t = _cut(a, b, threshold)
-    near = F.when(F.abs(_size(a) - _size(b)) <= t, within(a, b, t))
-    # with a null second text the longer length is that of the first
-    alone = F.floor(F.lit(share) * _size(a)).cast("int")
-    null_b = F.when(_size(a) == 0, F.lit(False)).otherwise((alone > 0) & (_size(a) <= alone))
-    return _sure(F.when(a.isNull(), b.isNotNull()).when(b.isNull(), null_b).when(_equal(a, b), True).otherwise(near))
+    longer = F.when(_size(a) < _size(b), _size(b)).otherwise(_size(a))
+    # whole edits, cut towards zero; unknown for a null first text
+    t = F.when(a.isNotNull(), (F.lit(Decimal(str(threshold))) * longer).cast("int"))
+    return (
+        F.when(t < 0, False)
+        .when(a.isNull() & b.isNull(), False)
+        .when(_equal(a, b), True)
+        .when(t == 0, False)
+        .when(a.isNull() | (_size(a) == 0), ~_sure(_size(b) > t))
+        .when(b.isNull() | (_size(b) == 0), ~_sure(_size(a) > t))
+        .when(F.abs(_size(a) - _size(b)) > t, False)
+        .otherwise(_sure(within(a, b, t)))
+    )
 
 
 def osa(a: Column | str, b: Column | str, threshold: Number) -> Column:

@@ -63,7 +63,7 @@ MATRIX = [
     *((name, 0, [0, 0, 0, 0, 1, 1]) for name in ("osa", "damerau_levenshtein")),
     *((name, 0, [1, 1, 1, 1, 1, 1]) for name in ("jaro", "jaro_winkler")),
     *((name, -1, [0, 0, 0, 0, 0, 0]) for name in ("levenshtein", "levenshtein_low", "levenshtein_normalised", "osa", "osa_low", "osa_normalised", "damerau_levenshtein")),
-    *((name, -1, [0, 1, 0, 0, 1, 0]) for name in ("levenshtein_low_normalised", "osa_low_normalised")),
+    *((name, -1, [0, 1, 0, 0, 1, 1]) for name in ("levenshtein_low_normalised", "osa_low_normalised")),
 ]
 
 
