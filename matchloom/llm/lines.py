@@ -14,7 +14,7 @@ them is written and measured: up to ``BROADCAST_BYTES`` it is broadcast, and the
 
 Edge cases.  A null host is a host of its own.  Null text stays null; a text whose every line goes
 becomes empty; rows are never dropped, repeated rows are cleaned alike.  An empty table gives no rows.  All columns pass
-through; a column whose name begins with ``__line_`` is refused.
+through, also those with names that this module uses inside.
 """
 
 from __future__ import annotations
@@ -48,10 +48,11 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> D
 
 def clean(rows: DataFrame, host: Column, ratio: float = RATIO, least: int = LEAST, broadcast_bytes: int = BROADCAST_BYTES, count: bool = False) -> DataFrame:
     """The rows with boilerplate lines gone from ``text``; with ``count``, also n_lines and n_dropped."""
-    if clash := [c for c in rows.columns if c.startswith("__line_")]:
-        raise ValueError(f"columns {clash} clash with those of line dedup")
     spark, names = rows.sparkSession, rows.columns
-    hosted = rows.withColumn("__line_host", F.coalesce(F.concat(F.lit("h"), host.cast("string")), F.lit("")))
+    aside = {c: f"_{k}" for k, c in enumerate(names) if c != "text"}
+    host = host.alias("__line_host")
+    rows = rows.select("text", *(F.col(f"`{c}`").alias(a) for c, a in aside.items()), host)
+    hosted = rows.withColumn("__line_host", F.coalesce(F.concat(F.lit("h"), F.col("__line_host").cast("string")), F.lit("")))
     common, path = shared.written(boilerplate(hosted.select("__line_host", "text"), ratio, least), "lines")
     if shared.size(spark, path) <= broadcast_bytes:
         found = hosted.join(F.broadcast(common), "__line_host", "left")
@@ -64,7 +65,7 @@ def clean(rows: DataFrame, host: Column, ratio: float = RATIO, least: int = LEAS
     drop = lambda x: F.array_contains(F.col("__line_common"), F.xxhash64(F.trim(x))) & (F.trim(x) != "")
     kept = F.filter(_lines(F.col("text")), lambda x: ~drop(x))
     text = F.when(F.col("__line_common").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = [text.alias("text") if c == "text" else F.col(c) for c in names]
+    out = [text.alias("text") if c == "text" else F.col(aside[c]).alias(c) for c in names]
     if count:
         size = F.coalesce(F.size(_lines(F.col("text"))), F.lit(0))
         out += [size.cast("long").alias("n_lines"), F.when(F.col("__line_common").isNull() | F.col("text").isNull(), 0).otherwise(size - F.size(kept)).cast("long").alias("n_dropped")]
