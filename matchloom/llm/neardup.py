@@ -10,9 +10,10 @@ passage part quickly.  Two sets of similarity s part at the root with probabilit
 
 Large nodes are first compared in chunks of bounded size, each with the same few pivots, which
 joins a large group of near copies into one component without looking at all its pairs.  A node whose sets are all
-in one component is done.  A node that branching does not thin out, or that
-is ``DEPTH`` deep, is settled exactly: every set outside its largest component is compared with every other
-set, chunk by chunk.  Nothing is capped: each set of each node is compared, branched or already joined.
+in one component is done.  A node that branching would not thin out, or that
+is ``DEPTH`` deep, is settled exactly: its sets are compared with each other chunk by chunk, but for pairs that are in
+one component or met in a node that was settled before.  Nothing is capped: each pair of a node is compared, parted by
+branching or joined already.
 
 Scale.  Scanning gives a narrow table (sizes, fingerprints, minwise tokens).  Shuffles before the
 comparison carry ids only.  Sets are sent to a task only for nodes with two or more components, in chunks
@@ -39,12 +40,16 @@ from . import columnar, shared
 WIDTH = 5
 #: Linked if 100 * shared >= PERCENT * union.
 PERCENT = 85
-TREES, BRANCHES, DEPTH = 6, 3, 8
-SMALL, PIVOTS, TOKENS = 192, 6, 1 << 20
+TREES, BRANCHES, DEPTH = 6, 2, 16
+SMALL, PIVOTS, TOKENS = 192, 6, 1 << 19
+#: How much wider chunks are where all are compared with all, as each set then goes to fewer tasks.
+WIDER = 6
 #: A child with this share of its parent's sets has not been thinned out.
-DENSE = 0.5
+DENSE = 0.7
 #: Rows of ids (up to 24 bytes each) that may be broadcast.
 BROADCAST_ROWS = 1 << 20
+#: Links (16 bytes each) that one task may join.
+FEW_LINKS = 1 << 20
 
 _SEEDS = columnar.mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
@@ -89,7 +94,7 @@ def facts(documents: DataFrame) -> DataFrame:
 
 
 def _few(rows: DataFrame, key: str, other: DataFrame) -> DataFrame:
-    """``other`` joined with rows of ids: they are broadcast if counted to be few."""
+    """``other`` joined with written rows of ids: they are broadcast if counted to be few."""
     return other.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, key)
 
 
@@ -139,50 +144,86 @@ def links(sets: list[np.ndarray]) -> np.ndarray:
         root = least
 
 
-def compare(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that join what the rows (node, rep) of each node join; nodes are of bounded size."""
+def compare(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, str]:
+    """Links (a, b) between the components that the rows (node, rep, comp) of each node join, a < b, as a written table.
+
+    Nodes are of bounded size.  A node gives one link for each component that it joins to another, none for what is joined already.
+    """
     spark = rows.sparkSession
     ways = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    joined = _few(rows.select("node", "rep"), "rep", sets).select("node", "rep", "tokens")
-    dealt = joined.repartitionByRange(ways, "node").sortWithinPartitions("node", "rep")
+    held, held_path = shared.written(rows.select("node", "rep", "comp"), "rows")
+    joined = _few(held, "rep", sets).select("node", "rep", "comp", "tokens")
+    dealt = joined.repartition(ways, "node").sortWithinPartitions("node", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, reps, tokens = None, [], []
+        node, reps, comps, tokens = None, [], [], []
 
         def found() -> Iterator[pa.RecordBatch]:
-            if len(reps) > 1:
-                root = links(tokens)
-                moved = np.flatnonzero(root != np.arange(len(root)))
-                if len(moved):
-                    ids = np.array(reps)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[root[moved]]), pa.array(ids[moved])], ["a", "b"])
+            if len(set(comps)) > 1:
+                pairs = np.unique(np.stack([links(tokens), np.array(comps)]), axis=1)  # by place of the group, then component
+                same = pairs[0, 1:] == pairs[0, :-1]
+                first = np.concatenate(([0], np.where(same, 0, np.arange(1, pairs.shape[1]))))
+                least = pairs[1][np.maximum.accumulate(first)]
+                if same.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(least[1:][same]), pa.array(pairs[1, 1:][same])], ["a", "b"])
 
         for batch in batches:
-            for key, rep, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for key, rep, comp, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 if key != node:
                     yield from found()
-                    node, reps, tokens = key, [], []
+                    node, reps, comps, tokens = key, [], [], []
                 if not reps or reps[-1] != rep:  # a pivot may also be a member
                     reps.append(rep)
+                    comps.append(comp)
                     tokens.append(np.frombuffer(raw.as_buffer(), np.uint64))
         yield from found()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    out = shared.written(dealt.mapInArrow(run, "a long, b long"), "links")
+    shared.drop(spark, held_path)
+    return out
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each end of the links (a, b), and the least end that it is joined with."""
+    ends, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    root = np.arange(len(ends))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, root[x], root[y])
+        np.minimum.at(new, root[y], root[x])
+        new = np.minimum(new, new[new])
+        new = new[new]
+        if (new == root).all():
+            return ends, ends[root]
+        root = new
+
 
+def components(edges: DataFrame, few: int = FEW_LINKS) -> tuple[DataFrame, str]:
+    """comp and least (the least id reachable) for every end of a link, as a written table.
 
-def components(edges: DataFrame) -> tuple[DataFrame, str]:
-    """rep and comp, the least id reachable, for every end of a link."""
+    Up to ``few`` links, counted first, fit one task; more are settled by label propagation with pointer jumping.
+    """
     spark = edges.sparkSession
+    if edges.count() <= few:
+
+        def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+            if parts:
+                ends, least = _joined(*(np.concatenate(x) for x in zip(*parts)))
+                yield pa.RecordBatch.from_arrays([pa.array(ends), pa.array(least)], ["comp", "least"])
+
+        return shared.written(edges.coalesce(1).mapInArrow(settle, "comp long, least long"), "labels")
     both, both_path = shared.written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    now, path = shared.written(both.groupBy(F.col("a").alias("rep")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "labels")
+    now, path = shared.written(both.groupBy(F.col("a").alias("comp")).agg(F.least(F.col("a"), F.min("b")).alias("least")), "labels")
     while True:
-        heard = both.join(now, both["b"] == now["rep"]).groupBy(both["a"].alias("rep")).agg(F.min("comp").alias("heard"))
-        step = now.join(heard, "rep").select("rep", F.least("comp", "heard").alias("comp"))
-        far = now.select(F.col("rep").alias("comp"), F.col("comp").alias("beyond"))
-        new = step.join(far, "comp", "left").select("rep", F.least("comp", F.coalesce("beyond", "comp")).alias("comp"))
+        heard = both.join(now, both["b"] == now["comp"]).groupBy(both["a"].alias("comp")).agg(F.min("least").alias("heard"))
+        step = now.join(heard, "comp").select("comp", F.least("least", "heard").alias("least"))
+        far = now.select(F.col("comp").alias("least"), F.col("least").alias("beyond"))
+        new = step.join(far, "least", "left").select("comp", F.least("least", F.coalesce("beyond", "least")).alias("least"))
         done, new_path = shared.written(new, "labels")
         # labels only fall, so an equal sum means that none has changed
-        before, after = (x.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0] for x in (now, done))
+        before, after = (x.agg(F.sum(F.col("least").cast("decimal(38,0)"))).first()[0] for x in (now, done))
         shared.drop(spark, path)
         now, path = done, new_path
         if before == after:
@@ -190,16 +231,42 @@ def components(edges: DataFrame) -> tuple[DataFrame, str]:
             return now, path
 
 
+def relabel(labels: DataFrame | None, path: str | None, rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, str]:
+    """rep and comp of every set that is not the least of its component, after the links that the rows give."""
+    spark = rows.sparkSession
+    edges, edges_path = compare(rows, sets)
+    joined, joined_path = components(edges)
+    new = joined.where("comp <> least").select(F.col("comp").alias("rep"), F.col("least").alias("comp"))
+    if labels is not None:
+        moved = labels.join(joined, "comp", "left").select("rep", F.coalesce("least", "comp").alias("comp"))
+        new = moved.unionByName(new)
+    out = shared.written(new, "labels")
+    shared.drop(spark, edges_path, joined_path, *([path] if path else []))
+    return out
+
+
 def _bucket(column: Column, *salts: Column | int) -> Column:
     return F.xxhash64(column, *(s if isinstance(s, Column) else F.lit(s) for s in salts))
 
 
-def _impure(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """node, rep, comp, m (sets of the node) for nodes whose sets are not yet in one component."""
+def _impure(nodes: DataFrame, labels: DataFrame | None, settled: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """What is left to do: the nodes whose sets are neither in one component nor compared with each other already.
+
+    Rows (node, rep, n, comp, key, chunks, m), chunks being 1 for small nodes; pairs of one key need no comparison.
+    For each large node (node, chunks, pivots); the paths of both tables.
+    """
     held = nodes.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")) if labels is not None else nodes.withColumn("comp", F.col("rep"))
-    picks = [F.min_by("rep", _bucket(F.col("rep"), k)).alias(f"p{k}") for k in range(PIVOTS)]
-    facts_ = held.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens"), F.min("comp").alias("_low"), F.max("comp").alias("_high"), *picks)
-    return held.join(facts_.where("_low < _high").withColumn("chunks", _chunks()).drop("_low", "_high"), "node")
+    held = held.join(settled.select("rep", "sid"), "rep", "left").withColumn("key", F.coalesce("sid", "comp")).drop("sid") if settled is not None else held.withColumn("key", F.col("comp"))
+    picks = F.array(*(F.min_by(F.struct("rep", "comp"), _bucket(F.col("rep"), k)) for k in range(PIVOTS))).alias("pivots")
+    ends = [f(c).alias(f"_{c}{k}") for c in ("comp", "key") for k, f in enumerate((F.min, F.max))]
+    found = held.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens"), *ends, picks)
+    found = found.where("_comp0 < _comp1 and _key0 < _key1").withColumn("chunks", _chunks())
+    found, path = shared.written(found.select("node", "m", "chunks", F.when(F.col("chunks") > 1, F.col("pivots")).alias("pivots")), "nodes")
+    names = ["node", "rep", "n", "comp", "key", *(["tree"] if "tree" in nodes.columns else [])]
+    small = held.join(found.where("chunks = 1").select("node"), "node", "left_semi").select(*names, F.lit(1).alias("chunks"), F.lit(None).cast("long").alias("m"))
+    large = held.join(found.where("chunks > 1").drop("pivots"), "node").select(*names, "chunks", "m")
+    live, live_path = shared.written(small.unionByName(large), "live")
+    return live, found.where("chunks > 1").select("node", "chunks", "pivots"), [path, live_path]
 
 
 def _chunks() -> Column:
@@ -208,46 +275,43 @@ def _chunks() -> Column:
     return F.when(small, 1).otherwise(F.ceil(F.greatest(F.col("m") / (SMALL // 2), F.col("tokens") / (TOKENS // 2))).cast("int") + 1)
 
 
-def _groups(live: DataFrame) -> DataFrame:
-    """Rows (node, rep) to compare: small nodes whole, large ones in chunks, each with the node's pivots."""
-    small = live.where("chunks = 1").select("node", "rep")
-    large = live.where("chunks > 1")
-    own = large.select(_bucket(F.col("node"), F.pmod(_bucket(F.col("rep"), 71), F.col("chunks"))).alias("node"), "rep")
-    pivots = large.select("node", "chunks", *(f"p{k}" for k in range(PIVOTS))).distinct()
-    pivots = pivots.select("node", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"), F.array(*(f"p{k}" for k in range(PIVOTS))).alias("ps"))
-    pivots = pivots.select(_bucket(F.col("node"), F.col("c").cast("long")).alias("node"), F.explode("ps").alias("rep"))
-    return small.unionByName(own).unionByName(pivots)
+def _groups(live: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Rows (node, rep, comp) to compare: small nodes whole, large ones in chunks, each with the node's pivots."""
+    small = live.where("chunks = 1").select("node", "rep", "comp")
+    own = live.where("chunks > 1").select(_bucket(F.col("node"), F.pmod(_bucket(F.col("rep"), 71), F.col("chunks"))).alias("node"), "rep", "comp")
+    spread = pivots.select("node", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"), "pivots")
+    spread = spread.select(_bucket(F.col("node"), F.col("c").cast("long")).alias("node"), F.explode("pivots").alias("p")).select("node", "p.rep", "p.comp")
+    return small.unionByName(own).unionByName(spread)
 
 
 def _exact(live: DataFrame) -> DataFrame:
-    """Rows (node, rep) that bring every set outside the largest component of a node together with every other set of it."""
-    counts = live.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"))
-    most = counts.groupBy("node").agg(F.max_by("comp", F.struct("c", "comp")).alias("_most"))
-    rare = counts.join(most, "node").where("comp <> _most").groupBy("node").agg(F.sum("c").alias("_rare"))
-    live = live.join(most, "node").join(rare, "node").withColumn("rare_chunks", F.ceil(F.col("chunks") * F.col("_rare") / F.col("m")).cast("int"))
+    """Rows (node, rep, comp) that bring every set outside the most frequent key of a node together with every other set of it."""
+    counts = live.groupBy("node", "key").agg(F.count(F.lit(1)).alias("c"))
+    most = counts.groupBy("node").agg(F.max_by("key", F.struct("c", "key")).alias("_most"), (F.sum("c") - F.max("c")).alias("_rare"))
+    live = live.join(most, "node").withColumn("chunks", F.ceil(F.col("chunks") / WIDER).cast("int")).withColumn("rare_chunks", F.ceil(F.col("chunks") * F.col("_rare") / F.col("m")).cast("int"))
     slot = _bucket(F.col("rep"), 72)
-    every = live.select("node", "rep", F.pmod(slot, F.col("chunks")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("rare_chunks") - 1)).alias("i"))
-    few = live.where("comp <> _most").select("node", "rep", F.pmod(slot, F.col("rare_chunks")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
-    return every.select(_bucket(F.col("node"), F.col("i").cast("long"), F.col("j").cast("long")).alias("node"), "rep").unionByName(few.select(_bucket(F.col("node"), F.col("i").cast("long"), F.col("j").cast("long")).alias("node"), "rep"))
+    every = live.select("node", "rep", "comp", F.pmod(slot, F.col("chunks")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("rare_chunks") - 1)).alias("i"))
+    few = live.where("key <> _most").select("node", "rep", "comp", F.pmod(slot, F.col("rare_chunks")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
+    return every.select(_bucket(F.col("node"), F.col("i").cast("long"), F.col("j").cast("long")).alias("node"), "rep", "comp").unionByName(few.select(_bucket(F.col("node"), F.col("i").cast("long"), F.col("j").cast("long")).alias("node"), "rep", "comp"))
 
 
 def _branch(live: DataFrame, sets: DataFrame) -> DataFrame:
-    """Children of large nodes: (node, rep, n, parent_m), by functions that belong to the node."""
+    """Children of large nodes: (node, rep, n, parent), by functions that belong to the parent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, rep, parent = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            node, rep = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
             children = np.zeros((batch.num_rows, BRANCHES), np.uint64)
-            for k, raw in enumerate(batch.column(3)):
+            for k, raw in enumerate(batch.column(2)):
                 s = np.frombuffer(raw.as_buffer(), np.uint64)
                 own = node[k : k + 1].astype(np.int64).view(np.uint64)
                 for b in range(BRANCHES):
                     seed = columnar.mix(own + _SEEDS[32 + b])
                     children[k, b] = columnar.mix(columnar.mix(s ^ seed).min()[None] + seed)[0]
-            size = [len(raw.as_buffer()) // 8 for raw in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([_signed(children.ravel()), pa.array(np.repeat(rep, BRANCHES)), pa.array(np.repeat(size, BRANCHES)), pa.array(np.repeat(parent, BRANCHES))], ["node", "rep", "n", "parent_m"])
+            size = [len(raw.as_buffer()) // 8 for raw in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([_signed(children.ravel()), pa.array(np.repeat(rep, BRANCHES)), pa.array(np.repeat(size, BRANCHES)), pa.array(np.repeat(node, BRANCHES))], ["node", "rep", "n", "parent"])
 
-    return _few(live.select("node", "rep", "m"), "rep", sets).select("node", "rep", "m", "tokens").mapInArrow(run, "node long, rep long, n long, parent_m long")
+    return _few(live.select("node", "rep"), "rep", sets).select("node", "rep", "tokens").mapInArrow(run, "node long, rep long, n long, parent long")
 
 
 def groups(documents: DataFrame) -> DataFrame:
@@ -258,41 +322,49 @@ def groups(documents: DataFrame) -> DataFrame:
     whole = seen.where("n_shingles > 0 and doc_id is not null")
     reps, _ = shared.written(whole.groupBy(*same).agg(F.min("doc_id").cast("long").alias("rep"), *(F.first(f"h{t}").alias(f"h{t}") for t in range(TREES))), "classes")
 
-    def nodes(trees: range) -> DataFrame:
-        out = reps.select(F.explode(F.array(*(F.struct(_bucket(F.col(f"h{t}"), t).alias("node"), F.col("rep"), F.col("n_shingles").alias("n")) for t in trees))).alias("x")).select("x.*")
-        shared_nodes = out.groupBy("node").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").drop("_m")
-        return out.join(shared_nodes, "node")
-
-    first, first_path = shared.written(nodes(range(TREES)), "nodes")
-    sets, sets_path = shared.written(set_table(documents, first.select("rep").distinct()), "sets")
-    trees = reps.select("rep", _bucket(F.col("h0"), 0).alias("node"))
+    of_tree = [F.struct(F.lit(t).alias("tree"), _bucket(F.col(f"h{t}"), t).alias("node"), F.col("rep"), F.col("n_shingles").alias("n")) for t in range(TREES)]
+    nodes = reps.select(F.explode(F.array(*of_tree)).alias("x")).select("x.*")
+    live, pivots, paths = _impure(nodes, None)
+    named, named_path = shared.written(live.select("rep").distinct(), "named")
+    sets, sets_path = shared.written(set_table(documents, named), "sets")
     labels, labels_path = None, None
-    large, found_paths = None, []
-    # the first tree alone joins most groups, so that the others need not send their sets again
-    for part in (first.join(trees, ["rep", "node"], "left_semi"), first.join(trees, ["rep", "node"], "left_anti")):
-        live, live_path = shared.written(_impure(part, labels), "live")
-        labels, labels_path = _absorb(labels, labels_path, compare(_groups(live), sets))
-        rest = live.where("chunks > 1")
-        large = rest if large is None else large.unionByName(rest)
-        found_paths.append(live_path)
-    for depth in range(2, DEPTH + 2):
-        live, live_path = shared.written(_impure(large.select("node", "rep", "n"), labels), "live")
-        shared.drop(spark, *found_paths)
-        found_paths = [live_path]
-        if live.isEmpty():
-            break
-        if depth > DEPTH:
-            labels, labels_path = _absorb(labels, labels_path, compare(_exact(live), sets))
-            break
-        children, children_path = shared.written(_branch(live, sets), "children")
-        below, below_path = shared.written(_impure(children.select("node", "rep", "n"), labels).join(children.groupBy("node").agg(F.max("parent_m").alias("parent_m")), "node"), "live")
-        shared.drop(spark, children_path)
-        found_paths.append(below_path)
-        dense = (F.col("chunks") > 1) & (F.col("m") >= DENSE * F.col("parent_m"))
-        todo = _groups(below.where(~dense)).unionByName(_exact(below.where(dense)))
-        labels, labels_path = _absorb(labels, labels_path, compare(todo, sets))
-        large = below.where((F.col("chunks") > 1) & ~dense)
-    shared.drop(spark, *found_paths, first_path, sets_path)
+    settled, settled_path = None, None
+    # trees by turns: what one has joined or compared, the next need not send its sets for again
+    for part in (live.where("tree = 0"), live.where("tree = 1"), live.where("tree = 2"), live.where("tree > 2")):
+        todo = part.select("node", "rep", "n")
+        for depth in range(1, DEPTH + 2):
+            now, pivots, now_paths = _impure(todo, labels, settled)
+            if now.isEmpty():
+                shared.drop(spark, *now_paths)
+                break
+            if depth <= DEPTH:
+                labels, labels_path = relabel(labels, labels_path, _groups(now, pivots), sets)
+            large = now.where("chunks > 1")
+            if large.isEmpty():
+                shared.drop(spark, *now_paths)
+                break
+            left, _, left_paths = _impure(large.select("node", "rep", "n"), labels, settled)
+            shared.drop(spark, *now_paths)
+            children, children_path = shared.written(_branch(left, sets), "children")
+            share = children.groupBy("parent", "node").count().groupBy("parent").agg(F.max("count").alias("most"))
+            crowded = left.select("node", "m").distinct().join(share, left["node"] == share["parent"]).where((F.col("most") >= DENSE * F.col("m")) | F.lit(depth > DEPTH)).select("node")
+            crowded, crowded_path = shared.written(crowded, "crowded")
+            dense = left.join(crowded, "node", "left_semi")
+            if not crowded.isEmpty():
+                labels, labels_path = relabel(labels, labels_path, _exact(dense), sets)
+                new = dense.select("rep", F.col("node").alias("sid"), F.col("m").alias("size"))
+                new = (settled.unionByName(new) if settled is not None else new).groupBy("rep").agg(F.max_by("sid", F.struct("size", "sid")).alias("sid"), F.max("size").alias("size"))
+                new, new_path = shared.written(new, "settled")
+                if settled_path:
+                    shared.drop(spark, settled_path)
+                settled, settled_path = new, new_path
+            thin, thin_path = shared.written(children.join(crowded, children["parent"] == crowded["node"], "left_anti").select("node", "rep", "n"), "thin")
+            shared.drop(spark, children_path, *left_paths, crowded_path)
+            todo = thin
+            paths.append(thin_path)
+    shared.drop(spark, *paths, named_path, sets_path, *([settled_path] if settled_path else []))
+    if labels is None:
+        labels = spark.createDataFrame([], "rep long, comp long")
     named = reps.join(labels, "rep", "left").select(*same, F.coalesce("comp", "rep").alias("_comp"))
     out = seen.select("doc_id", *same).join(named, same, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("_comp")).otherwise(F.col("doc_id"))
@@ -300,24 +372,15 @@ def groups(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _absorb(labels: DataFrame | None, path: str | None, found: DataFrame) -> tuple[DataFrame, str]:
-    """Labels after more links."""
-    if labels is not None:
-        found = found.unionByName(labels.where("rep <> comp").select(F.col("comp").alias("a"), F.col("rep").alias("b")))
-    new, new_path = components(found)
-    if path:
-        shared.drop(found.sparkSession, path)
-    return new, new_path
-
-
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns: the one of the least id; of rows that repeat its id, any one."""
-    spark = documents.sparkSession
-    found, _ = shared.written(groups(documents).where("kept").select("doc_id"), "kept")
-    repeats = not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    named = found.where("doc_id is not null").distinct()
-    kept = documents.join(named, "doc_id", "left_semi")
-    if repeats:
-        twice = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-        kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.unionByName(documents.where("doc_id is null")).select(documents.columns)
+    """One document of each group, with all its columns: the one of the least id.
+
+    A row goes if no row of its id is kept; of rows that repeat an id, any one stays.  Rows without an id stay.
+    """
+    found, _ = shared.written(groups(documents).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "kept")
+    gone, _ = shared.written(found.where("not kept").select("doc_id"), "gone")
+    kept = documents.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(documents.columns)
+    twice = found.where("kept and n > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(documents.columns)
