@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from matchloom.llm import langid, lines, neardup, packing, shared, toxicity
 
+#: Documents this alike (shingles in common, per cent of all) are near duplicates; ``op6_near_duplicates`` has a limit of its own.
+NEAR_PERCENT = 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is told with some margin; learns from the documents' own ``lang``."""
@@ -31,8 +34,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
-    return neardup.keep_one(docs)
+    """Keeps one document of each group of near duplicates, linked from a similarity of 0.8 on."""
+    return neardup.keep_one(docs, NEAR_PERCENT)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

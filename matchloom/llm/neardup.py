@@ -2,11 +2,11 @@
 
 Method.  A text is the set of its distinct five-word shingles.  Texts with equal sets form a class, and one
 document of each class goes on.  Trees branch these sets by minwise tokens: a set goes to the
-child named by its least token under a hash function of the node.  ``TREES`` independent
+child named by its least token under a hash function of the node.  Several independent
 functions branch the root; a node of at most ``SMALL`` sets is compared exhaustively, on full
 sets; a larger one branches again with ``BRANCHES`` functions of its own, so sets that share only a
 passage part quickly.  Two sets of similarity s part at the root with probability
-(1 - s)**TREES: 1.2e-5 at 0.85.
+(1 - s)**trees, and there are as many trees as bring that to ``MISS`` at the limit: 6 at 0.85, 7 at 0.8.
 
 Large nodes are first compared in chunks of bounded size, each with the same few pivots, which
 joins a large group of near copies into one component without looking at all its pairs.  A node whose sets are all
@@ -28,6 +28,7 @@ An empty table gives no rows.  Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +39,11 @@ from pyspark.sql import functions as F
 from . import columnar, shared
 
 WIDTH = 5
-#: Linked if 100 * shared >= PERCENT * union.
+#: Linked if 100 * shared >= percent * union.
 PERCENT = 85
-TREES, BRANCHES, DEPTH = 6, 2, 16
+#: How likely two sets at the limit may part at the roots of all trees.
+MISS = 1.3e-5
+BRANCHES, DEPTH = 2, 16
 SMALL, PIVOTS, TOKENS = 192, 6, 1 << 19
 #: How much wider chunks are where all are compared with all, as each set then goes to fewer tasks.
 WIDER = 6
@@ -74,23 +77,28 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x, np.uint64).view(np.int64))
 
 
-def facts(documents: DataFrame) -> DataFrame:
+def trees_for(percent: int) -> int:
+    """The number of trees at which sets at the limit part at every root with probability ``MISS`` at most."""
+    return math.ceil(math.log(MISS) / math.log(1 - percent / 100))
+
+
+def facts(documents: DataFrame, trees: int) -> DataFrame:
     """doc_id, size of the set, its fingerprint (two longs) and its minwise token for each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            size, out = np.zeros(n, np.int64), np.zeros((2 + TREES, n), np.uint64)
+            size, out = np.zeros(n, np.int64), np.zeros((2 + trees, n), np.uint64)
             for k, s in enumerate(_sets(batch.column(1))):
                 if size_k := len(s):
                     size[k] = size_k
                     out[0, k], out[1, k] = np.bitwise_xor.reduce(columnar.mix(s)), columnar.mix(s ^ _SEEDS[63]).sum()
-                    for t in range(TREES):
+                    for t in range(trees):
                         out[2 + t, k] = columnar.mix(s ^ _SEEDS[t]).min()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), *map(_signed, out)], ["doc_id", "n_shingles", "f1", "f2", *(f"h{t}" for t in range(TREES))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), *map(_signed, out)], ["doc_id", "n_shingles", "f1", "f2", *(f"h{t}" for t in range(trees))])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, f1 long, f2 long, " + ", ".join(f"h{t} long" for t in range(TREES)))
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, f1 long, f2 long, " + ", ".join(f"h{t} long" for t in range(trees)))
 
 
 def _few(rows: DataFrame, key: str, other: DataFrame) -> DataFrame:
@@ -111,14 +119,14 @@ def set_table(documents: DataFrame, reps: DataFrame) -> DataFrame:
     return _few(reps.select("rep"), "rep", texts).select("rep", "text").mapInArrow(run, "rep long, tokens binary")
 
 
-def links(sets: list[np.ndarray]) -> np.ndarray:
+def links(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """For each of a few sets, the least place of a set that it is joined with by links among them."""
     m = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     root = np.arange(m)
     if m == 2:
         common = len(np.intersect1d(*sets, assume_unique=True))
-        linked = 100 * common >= PERCENT * (size.sum() - common)
+        linked = 100 * common >= percent * (size.sum() - common)
         return np.zeros(2, np.int64) if linked else root
     _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(root, size)
@@ -134,7 +142,7 @@ def links(sets: list[np.ndarray]) -> np.ndarray:
         block[owner[a:b], column[a:b] - first] = 1
         common += block @ block.T
     shared_tokens = common.astype(np.int64)
-    linked = 100 * shared_tokens >= PERCENT * (size[:, None] + size[None, :] - shared_tokens)
+    linked = 100 * shared_tokens >= percent * (size[:, None] + size[None, :] - shared_tokens)
     np.fill_diagonal(linked, True)
     while True:  # least place reachable
         least = np.where(linked, root[None, :], m).min(1)
@@ -144,7 +152,7 @@ def links(sets: list[np.ndarray]) -> np.ndarray:
         root = least
 
 
-def compare(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, str]:
+def compare(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, str]:
     """Links (a, b) between the components that the rows (node, rep, comp) of each node join, a < b, as a written table.
 
     Nodes are of bounded size.  A node gives one link for each component that it joins to another, none for what is joined already.
@@ -160,7 +168,7 @@ def compare(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, str]:
 
         def found() -> Iterator[pa.RecordBatch]:
             if len(set(comps)) > 1:
-                pairs = np.unique(np.stack([links(tokens), np.array(comps)]), axis=1)  # by place of the group, then component
+                pairs = np.unique(np.stack([links(tokens, percent), np.array(comps)]), axis=1)  # by place of the group, then component
                 same = pairs[0, 1:] == pairs[0, :-1]
                 first = np.concatenate(([0], np.where(same, 0, np.arange(1, pairs.shape[1]))))
                 least = pairs[1][np.maximum.accumulate(first)]
@@ -231,10 +239,10 @@ def components(edges: DataFrame, few: int = FEW_LINKS) -> tuple[DataFrame, str]:
             return now, path
 
 
-def relabel(labels: DataFrame | None, path: str | None, rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, str]:
+def relabel(labels: DataFrame | None, path: str | None, rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, str]:
     """rep and comp of every set that is not the least of its component, after the links that the rows give."""
     spark = rows.sparkSession
-    edges, edges_path = compare(rows, sets)
+    edges, edges_path = compare(rows, sets, percent)
     joined, joined_path = components(edges)
     new = joined.where("comp <> least").select(F.col("comp").alias("rep"), F.col("least").alias("comp"))
     if labels is not None:
@@ -314,15 +322,16 @@ def _branch(live: DataFrame, sets: DataFrame) -> DataFrame:
     return _few(live.select("node", "rep"), "rep", sets).select("node", "rep", "tokens").mapInArrow(run, "node long, rep long, n long, parent long")
 
 
-def groups(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row."""
+def groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row; documents are linked from a similarity of ``percent`` on."""
     spark = documents.sparkSession
-    seen, _ = shared.written(facts(documents), "facts")
+    trees = trees_for(percent)
+    seen, _ = shared.written(facts(documents, trees), "facts")
     same = ["f1", "f2", "n_shingles"]
     whole = seen.where("n_shingles > 0 and doc_id is not null")
-    reps, _ = shared.written(whole.groupBy(*same).agg(F.min("doc_id").cast("long").alias("rep"), *(F.first(f"h{t}").alias(f"h{t}") for t in range(TREES))), "classes")
+    reps, _ = shared.written(whole.groupBy(*same).agg(F.min("doc_id").cast("long").alias("rep"), *(F.first(f"h{t}").alias(f"h{t}") for t in range(trees))), "classes")
 
-    of_tree = [F.struct(F.lit(t).alias("tree"), _bucket(F.col(f"h{t}"), t).alias("node"), F.col("rep"), F.col("n_shingles").alias("n")) for t in range(TREES)]
+    of_tree = [F.struct(F.lit(t).alias("tree"), _bucket(F.col(f"h{t}"), t).alias("node"), F.col("rep"), F.col("n_shingles").alias("n")) for t in range(trees)]
     nodes = reps.select(F.explode(F.array(*of_tree)).alias("x")).select("x.*")
     live, pivots, paths = _impure(nodes, None)
     named, named_path = shared.written(live.select("rep").distinct(), "named")
@@ -338,7 +347,7 @@ def groups(documents: DataFrame) -> DataFrame:
                 shared.drop(spark, *now_paths)
                 break
             if depth <= DEPTH:
-                labels, labels_path = relabel(labels, labels_path, _groups(now, pivots), sets)
+                labels, labels_path = relabel(labels, labels_path, _groups(now, pivots), sets, percent)
             large = now.where("chunks > 1")
             if large.isEmpty():
                 shared.drop(spark, *now_paths)
@@ -351,7 +360,7 @@ def groups(documents: DataFrame) -> DataFrame:
             crowded, crowded_path = shared.written(crowded, "crowded")
             dense = left.join(crowded, "node", "left_semi")
             if not crowded.isEmpty():
-                labels, labels_path = relabel(labels, labels_path, _exact(dense), sets)
+                labels, labels_path = relabel(labels, labels_path, _exact(dense), sets, percent)
                 new = dense.select("rep", F.col("node").alias("sid"), F.col("m").alias("size"))
                 new = (settled.unionByName(new) if settled is not None else new).groupBy("rep").agg(F.max_by("sid", F.struct("size", "sid")).alias("sid"), F.max("size").alias("size"))
                 new, new_path = shared.written(new, "settled")
@@ -372,12 +381,12 @@ def groups(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def keep_one(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each group, with all its columns: the one of the least id.
 
     A row goes if no row of its id is kept; of rows that repeat an id, any one stays.  Rows without an id stay.
     """
-    found, _ = shared.written(groups(documents).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "kept")
+    found, _ = shared.written(groups(documents, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "kept")
     gone, _ = shared.written(found.where("not kept").select("doc_id"), "gone")
     kept = documents.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(documents.columns)
     twice = found.where("kept and n > 1").select("doc_id")

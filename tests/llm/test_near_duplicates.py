@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from helpers import DOCUMENTS, ODD_TEXTS, odd_rows, text
 
+import corpus_pipeline
 from matchloom.llm import neardup
 
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -148,3 +149,14 @@ def test_one_of_each_group_stays(spark):
     rows = corpus(3)
     kept = {r.doc_id for r in neardup.keep_one(spark.createDataFrame(rows, DOCUMENTS)).collect()}
     assert kept == {least for _, least in brute(rows).values()}
+
+
+def test_percent(spark):
+    words = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join(words[:n]), "en", "s", 0) for k, n in ((1, 104), (2, 84))]  # 100 and 80 shingles: exactly 80 per cent
+    rows += [(k, " ".join(f"v{w}" for w in words[:n]), "en", "s", 0) for k, n in ((3, 104), (4, 83))]  # 79 per cent
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    assert {r.doc_id: r.component_id for r in neardup.groups(docs, 80).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r.doc_id for r in neardup.groups(docs, 85).where("kept").collect()} == {1, 2, 3, 4}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {1, 3, 4}
+    assert (neardup.trees_for(85), neardup.trees_for(80)) == (6, 7)
