@@ -3,13 +3,17 @@
 Method.  A page is parsed into its elements.  Each element with text gets a hash of its
 subtree (tags and text, without attributes); Spark counts, for each host, on how many pages a subtree
 stands, and subtrees found on more than ``RATIO`` of the host's pages, and on at least ``LEAST``, are deleted as template.
+So are layout elements (``LAYOUT``; within an article ``PARTS`` only) found on over ``SHARE`` of the
+pages and next to ``LEAST`` different articles or more.  The longest text in the largest part of the page
+outside the element stands for the article next to it, so what recurs in near copies of an article is not taken for a template; nor is what
+holds over half of a page's text counted on that page.
 Elements whose tag, role, class or id says that they are navigation, header, footer, sidebar, notice,
 advert, form, comments or hidden are deleted as well.  Of what stays, the text of the article
 (or the main part, or the body) is returned, a line for each block.  Equal pages of a host
 count once, so copies of a page do not turn it into a template.
 
 Scale.  The counting pass shuffles hashes only, with partial aggregation, so a hot host is summed where
-its pages lie.  A host has at most (elements a page) / RATIO template subtrees, as each stands on that share of its pages.
+its pages lie.  A host has at most (elements a page) / SHARE template subtrees, as each stands on that share of its pages.
 The table of them is written and measured: up to ``BROADCAST_BYTES`` it is broadcast and the pages
 never move; beyond, (page, subtree) hashes are joined with it and the few hits joined back.
 
@@ -33,6 +37,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 RATIO, LEAST = 0.5, 10
+SHARE = 0.01
 BROADCAST_BYTES = 8 << 20
 
 # Element names of HTML.
@@ -50,6 +55,9 @@ CLOSES = {
 _FENCES = frozenset("ul ol dl table select menu article section div main body html".split())
 _KEEPS_P = frozenset(["caption", "legend", "summary", "figcaption"])
 _ENDS_P = BLOCK - _KEEPS_P - {"body", "html", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt"} | {"li", "dd", "dt"}
+#: Elements that pages are laid out with, and those of them that also lay out an article's extras.
+LAYOUT = frozenset("div section center header hgroup details fieldset address ul ol dl table".split())
+PARTS = frozenset(["div", "section"])
 #: Elements that never hold article text.
 AWAY = frozenset("nav footer aside form button select option menu dialog template svg math canvas object audio video map head search datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
@@ -215,12 +223,45 @@ def _trees(page: Page, gone: list[bool]) -> list[int]:
     return out
 
 
-def trees(source: str | None) -> list[int]:
-    """The distinct subtree hashes of a page."""
+def _around(page: Page, gone: list[bool]) -> list[int | None]:
+    """For each layout element with at most half of the page's text, a hash of the longest text in the largest part outside it; None for others."""
+    n = len(page.tags)
+    own = [""] * n
+    for node, text in page.texts:
+        if text is not None and node >= 0 and not gone[node] and (text := " ".join(text.split())):
+            own[node] += text + " "
+    size, longest = [len(x) for x in own], own.copy()  # all text below, and its longest piece
+    top = [[(len(x), x, -1), (0, "", -1)] for x in own] + [[(0, "", -1), (0, "", -1)]]  # the two largest parts of each element: its own text and its children
+    for k in range(n - 1, -1, -1):
+        parent = page.parents[k]  # -1, the last of top, if none
+        top[parent] = sorted([*top[parent], (size[k], longest[k], k)], key=lambda part: -part[0])[:2]
+        if parent >= 0:
+            size[parent] += size[k]
+            longest[parent] = max(longest[parent], longest[k], key=len)
+    total = sum(map(len, own))
+    inside: list[bool] = []
+    outside: list[tuple[int, str]] = []
+    out: list[int | None] = []
+    for k, (tag, parent) in enumerate(zip(page.tags, page.parents)):
+        inside.append(tag in ("article", "main") or parent >= 0 and inside[parent])
+        beside = next(part for part in top[parent] if part[2] != k)[:2]
+        outside.append(max(beside, outside[parent] if parent >= 0 else beside, key=lambda part: part[0]))
+        fits = tag in (PARTS if inside[k] else LAYOUT) and 0 < 2 * size[k] <= total
+        out.append(xxhash.xxh3_64_intdigest(outside[k][1].encode("utf-8", "surrogatepass")) - (1 << 63) if fits and outside[k][0] else None)
+    return out
+
+
+def trees(source: str | None) -> dict[int, int | None]:
+    """The distinct subtree hashes of a page, and for layout elements a hash of the text around."""
     if not source:
-        return []
+        return {}
     page = parse(source)
-    return list(dict.fromkeys(h for h, tag in zip(_trees(page, _gone(page)), page.tags) if h and tag not in ("html", "body")))
+    gone = _gone(page)
+    out: dict[int, int | None] = {}
+    for h, tag, around in zip(_trees(page, gone), page.tags, _around(page, gone)):
+        if h and tag not in ("html", "body") and out.get(h) is None:
+            out[h] = around
+    return out
 
 
 def main_text(source: str | None, template: frozenset[int] = frozenset()) -> str:
@@ -270,21 +311,24 @@ def host(url: Column) -> Column:
 
 
 def _subtrees(pages: DataFrame) -> DataFrame:
-    """host, page (hash of the html) and tree (hash of a subtree), each once."""
+    """host, page (hash of the html), tree (hash of a subtree) and the text around it (hash or null), each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [trees(x.as_py()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["host", "page", "trees"])
+            arrays = [pa.array(x, pa.list_(pa.int64())) for x in ([list(f) for f in found], [list(f.values()) for f in found])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["host", "page", "trees", "around"])
 
-    return pages.select("host", "page", "html").mapInArrow(run, "host string, page long, trees array<long>").select("host", "page", F.explode("trees").alias("tree")).distinct()
+    found = pages.select("host", "page", "html").mapInArrow(run, "host string, page long, trees array<long>, around array<long>")
+    return found.select("host", "page", F.explode(F.arrays_zip("trees", "around")).alias("x")).select("host", "page", F.col("x.trees").alias("tree"), F.col("x.around").alias("around")).distinct()
 
 
-def templates(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def templates(pages: DataFrame, ratio: float = RATIO, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """host and trees, the hashes of its template subtrees, for hosts that have any.  Needs host, page and html."""
     total = pages.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least)
-    held = _subtrees(pages).groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return held.join(total, "host").where(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.collect_list("tree").alias("trees"))
+    held = _subtrees(pages).groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("around").alias("articles")).where(F.col("n") >= least)
+    usual, laid = F.col("n") > ratio * F.col("pages"), (F.col("articles") >= least) & (F.col("articles") > share * F.col("pages"))
+    return held.join(total, "host").where(usual | laid).groupBy("host").agg(F.collect_list("tree").alias("trees"))
 
 
 def extract(pages: DataFrame, ratio: float = RATIO, least: int = LEAST, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -45,6 +45,19 @@ def test_templates_of_a_host_go(spark, broadcast_bytes):
     assert html.extract(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_templates_of_parts_of_a_host_go(spark):
+    rows = []
+    for k in range(120):  # six layouts of 20 pages, each with a top and a foot of its own; a line, a list item and bold words recur in a third of the articles
+        top, foot = f"<div><div>Home {k % 6}</div><div>About us</div></div>", f"<div><p>All rights of layout {k % 6} are with us</p></div>"
+        line = "" if k % 3 else "<p>It is <b>what</b> it is.</p><ul><li>salt</li><li>" + f"{k}</li></ul>"
+        rows.append((k, "http://a.example/", f"<body>{top}<div><h1>Piece {k}</h1>{line}<p>A longer text, number {k}, of its own</p></div>{foot}</body>"))
+    same = "<p>one article that has been put up again and again, hardly changed</p><div><p>with a box of its own in it</p></div>"
+    rows += [(200 + k, "http://a.example/", f"<body><div>{same}<p>seen {k}</p></div></body>") for k in range(30)]
+    out = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, PAGES).repartition(4)).collect()}
+    assert all(out[k] == f"Piece {k}\n{'' if k % 3 else 'It is what it is.\nsalt\n' + str(k) + '\n'}A longer text, number {k}, of its own" for k in range(120))
+    assert all("with a box of its own in it" in out[200 + k] for k in range(30))  # near copies of one article
+
+
 def test_very_long_page():
     body = "<p>" + "word " * 200_000 + "</p>"
     assert len(html.main_text(f"<article>{body * 2}</article>")) == 2 * (200_000 * 5 - 1) + 1
