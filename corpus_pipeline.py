@@ -49,8 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to ``documents``; what a stage has written goes when the next has read it."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = shared.written(stage(spark, docs, sf_dir), name)
+        with shared.scope(spark) as keep:
+            docs, path = keep(stage(spark, docs, sf_dir), name)
+        if last:
+            shared.drop(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)

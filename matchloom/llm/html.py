@@ -319,7 +319,7 @@ def _subtrees(pages: DataFrame) -> DataFrame:
             arrays = [pa.array(x, pa.list_(pa.int64())) for x in ([list(f) for f in found], [list(f.values()) for f in found])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["host", "page", "trees", "around"])
 
-    found = pages.select("host", "page", "html").mapInArrow(run, "host string, page long, trees array<long>, around array<long>")
+    found = shared.bounded(pages).select("host", "page", "html").mapInArrow(run, "host string, page long, trees array<long>, around array<long>")
     return found.select("host", "page", F.explode(F.arrays_zip("trees", "around")).alias("x")).select("host", "page", F.col("x.trees").alias("tree"), F.col("x.around").alias("around")).distinct()
 
 
@@ -348,4 +348,4 @@ def extract(pages: DataFrame, ratio: float = RATIO, least: int = LEAST, broadcas
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return known.select("page_id", "url", "html", "trees").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return shared.bounded(known).select("page_id", "url", "html", "trees").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import columnar, labelled
+from . import columnar, labelled, shared
 
 _BITS = 16
 _SPACE = 1 << _BITS
@@ -186,4 +186,4 @@ def score(documents: DataFrame, model: QualityModel, threshold: float = 0.3, fol
             yield pa.RecordBatch.from_arrays([ids, *map(pa.array, out)], ["doc_id", "held_out", "score", "predicted"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return shared.bounded(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")

@@ -98,7 +98,7 @@ def facts(documents: DataFrame, trees: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), *map(_signed, out)], ["doc_id", "n_shingles", "f1", "f2", *(f"h{t}" for t in range(trees))])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, f1 long, f2 long, " + ", ".join(f"h{t} long" for t in range(trees)))
+    return shared.bounded(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, f1 long, f2 long, " + ", ".join(f"h{t} long" for t in range(trees)))
 
 
 def _few(rows: DataFrame, key: str, other: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def set_table(documents: DataFrame, reps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in _sets(part.column(1))], pa.binary())], ["rep", "tokens"])
 
     texts = documents.select(F.col("doc_id").alias("rep"), "text")
-    return _few(reps.select("rep"), "rep", texts).select("rep", "text").mapInArrow(run, "rep long, tokens binary")
+    return _few(shared.bounded(reps).select("rep"), "rep", texts).select("rep", "text").mapInArrow(run, "rep long, tokens binary")
 
 
 def links(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
@@ -186,7 +186,7 @@ def compare(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
                     tokens.append(np.frombuffer(raw.as_buffer(), np.uint64))
         yield from found()
 
-    out = shared.written(dealt.mapInArrow(run, "a long, b long"), "links")
+    out = shared.written(shared.bounded(dealt).mapInArrow(run, "a long, b long"), "links")
     shared.drop(spark, held_path)
     return out
 
@@ -319,7 +319,7 @@ def _branch(live: DataFrame, sets: DataFrame) -> DataFrame:
             size = [len(raw.as_buffer()) // 8 for raw in batch.column(2)]
             yield pa.RecordBatch.from_arrays([_signed(children.ravel()), pa.array(np.repeat(rep, BRANCHES)), pa.array(np.repeat(size, BRANCHES)), pa.array(np.repeat(node, BRANCHES))], ["node", "rep", "n", "parent"])
 
-    return _few(live.select("node", "rep"), "rep", sets).select("node", "rep", "tokens").mapInArrow(run, "node long, rep long, n long, parent long")
+    return _few(shared.bounded(live).select("node", "rep"), "rep", sets).select("node", "rep", "tokens").mapInArrow(run, "node long, rep long, n long, parent long")
 
 
 def groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -101,7 +101,7 @@ def cut(documents: DataFrame, path: str, capacity: int = CAPACITY, with_ids: boo
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     extra = ", ids array<int>" if with_ids else ""
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long{extra}")
+    return shared.bounded(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long{extra}")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -158,7 +158,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, bucket, np.int32)), pa.array(index)], [*names, "_bucket", "_at"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    numbered, _ = shared.written(dealt.mapInArrow(number, f"{fields}, _bucket int, _at long"), "packing")
+    numbered, _ = shared.written(shared.bounded(dealt).mapInArrow(number, f"{fields}, _bucket int, _at long"), "packing")
     counts = sorted((r["length"], r["_bucket"], r["count"]) for r in numbered.groupBy("_bucket", "length").count().toLocalIterator())
     total: dict[int, int] = {}
     base: dict[int, tuple[list[int], list[int]]] = {}  # length -> buckets, ranks before each

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import columnar, labelled
+from . import columnar, labelled, shared
 
 SAMPLE, SAMPLE_BYTES = 4000, 8 << 20
 TREES, DEPTH, BINS, RATE, L2, LEAST = 60, 4, 48, 0.15, 1.0, 4.0
@@ -220,4 +220,4 @@ def judge(documents: DataFrame, forest: Forest, threshold: float = 0.5) -> DataF
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *COUNTS, "base_failed", "kept", "score"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, kept boolean, score double")
+    return shared.bounded(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, kept boolean, score double")

@@ -99,7 +99,7 @@ def blocks(rows: DataFrame, every: int = EVERY) -> DataFrame:
 
     names = ["kind", "serial", "width", "ids", "vectors"]
     schema = pa.schema([("kind", pa.string()), ("serial", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
-    return rows.select("vec_id", "embedding").where("vec_id is not null").mapInArrow(run, "kind string, serial long, width int, ids binary, vectors binary")
+    return shared.bounded(rows).select("vec_id", "embedding").where("vec_id is not null").mapInArrow(run, "kind string, serial long, width int, ids binary, vectors binary")
 
 
 def _unpacked(width: int, ids: pa.Scalar, vectors: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
