@@ -5,6 +5,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -51,9 +52,11 @@ def test_pieces_query(spark):
 
 def test_encoder_like_the_library():
     plain = tokenizers.Tokenizer.from_file(VOCABULARY)
-    plain.encode_special_tokens = True
     own = packing.Encoder(VOCABULARY)
-    for text in ODD + mixtures(3000, 3) + [" " * 5000 + "x", "y" * 30000]:
+    added = [t.content for t in plain.get_added_tokens_decoder().values()]
+    assert added and own.encode(added[0]).tolist() == [plain.token_to_id(added[0])]
+    marked = [f"hello {t} world" for t in added] + [f"{t}x {t}\n{t}{t}" for t in added] + [t[:-1] for t in added] + [t.upper() for t in added]
+    for text in ODD + marked + mixtures(3000, 3) + [" " * 5000 + "x", "y" * 30000]:
         assert own.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text[:80])
 
 
@@ -99,15 +102,43 @@ def best_fit_decreasing(lengths, capacity):
     return len(gaps)
 
 
-def test_plan_is_as_good_as_one_by_one():
-    rng = random.Random(5)
-    for _ in range(60):
-        lengths = [rng.choice([rng.randint(1, 50), rng.randint(1, 12), 17]) for _ in range(rng.randint(1, 200))]
-        counts = {n: lengths.count(n) for n in set(lengths)}
-        runs = packing.plan(counts, 50)
-        assert sum(size for *_, size in runs) == len(lengths)
-        used = max(first + size for _, _, first, _, size in runs)
-        assert used <= best_fit_decreasing(lengths, 50) + 1
+def test_matched_brackets():
+    rng = random.Random(4)
+    for _ in range(200):
+        brackets = [rng.choice([1, 1, -1]) for _ in range(rng.randint(1, 60))]
+        stack, pairs = [], set()
+        for k, b in enumerate(brackets):
+            if b > 0:
+                stack.append(k)
+            elif stack:
+                pairs.add((k, stack.pop()))
+        assert set(zip(*(x.tolist() for x in packing.matched(np.array(brackets))))) == pairs
+
+
+LENGTHS = {
+    "any": lambda rng: rng.randint(1, 50), "short": lambda rng: rng.randint(1, 12), "long": lambda rng: rng.randint(20, 50), "same": lambda rng: 17, "two": lambda rng: rng.choice([34, 15]),
+    "whole": lambda rng: rng.choice([50, 49, 1]), "mixed": lambda rng: rng.choice([rng.randint(1, 50), rng.randint(1, 6), 17]),
+}
+
+
+@pytest.mark.parametrize("task_rows", [1 << 18, 40])
+@pytest.mark.parametrize("kind", sorted(LENGTHS))
+def test_packing_is_as_good_as_one_by_one(spark, monkeypatch, kind, task_rows):
+    """Against best-fit decreasing, piece by piece; with small tasks, most matches are between ranges."""
+    monkeypatch.setattr(packing, "TASK_ROWS", task_rows)
+    rng = random.Random(kind)
+    lengths = [LENGTHS[kind](rng) for _ in range(600)]
+    rows = spark.createDataFrame([(k, 0, n) for k, n in enumerate(lengths)], "doc_id long, piece int, length long").repartition(3)
+    by_sequence = {}
+    out = packing.pack(rows, 50).collect()
+    assert sorted((r.doc_id, r.length) for r in out) == list(enumerate(lengths))
+    for r in out:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by_sequence.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 50
+    best = best_fit_decreasing(lengths, 50)
+    assert len(by_sequence) <= best + 1
 
 
 def test_packing_many_copies_odd_rows_and_clashes(spark):
@@ -119,9 +150,11 @@ def test_packing_many_copies_odd_rows_and_clashes(spark):
     assert packing.best_fit(same.limit(0), VOCABULARY).collect() == []
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(1, 2)], "length long, offset long"))
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame([(65,), (1,)], "length long"), 64)
 
 
 def test_ids_come_along(spark):
     docs = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
     r = packing.pack(packing.cut(docs, VOCABULARY, with_ids=True)).first()
-    assert r.ids == packing.Encoder(VOCABULARY).encode("some words here").tolist() + [0] and r.sequence_id == 0
+    assert r.ids == packing.Encoder(VOCABULARY).encode("some words here").tolist() + [0] and r.offset == 0
