@@ -1,7 +1,7 @@
 """MinHash near-duplicate groups by a chosen-path similarity join.
 
-Method.  A text is the set of its distinct five-word shingles.  Texts with equal sets form a class, and one
-document of each class goes on.  Trees branch these sets by minwise tokens: a set goes to the
+Method.  A text is the set of its distinct five-word shingles.  Texts with equal sets form a class, known by a number of
+its own, and one text of each class goes on.  Trees branch these sets by minwise tokens: a set goes to the
 child named by its least token under a hash function of the node.  Several independent
 functions branch the root; a node of at most ``SMALL`` sets is compared exhaustively, on full
 sets; a larger one branches again with ``BRANCHES`` functions of its own, so sets that share only a
@@ -11,7 +11,7 @@ passage part quickly.  Two sets of similarity s part at the root with probabilit
 Large nodes are first compared in chunks of bounded size, each with the same few pivots, which
 joins a large group of near copies into one component without looking at all its pairs.  A node whose sets are all
 in one component is done.  A node that branching would not thin out, or that
-is ``DEPTH`` deep, is settled exactly: its sets are compared with each other chunk by chunk, but for pairs that are in
+is more than ``DEPTH`` deep, is settled exactly: its sets are compared with each other chunk by chunk, but for pairs that are in
 one component or met in a node that was settled before.  Nothing is capped: each pair of a node is compared, parted by
 branching or joined already.
 
@@ -22,8 +22,9 @@ that they are few; otherwise both sides are shuffled.  Components come from dist
 label propagation with pointer jumping over star-shaped links.
 
 Edge cases.  Null, empty and wordless texts have empty sets: no links, their own component, kept.  A null id
-has a null component and is kept.  Rows that repeat an id and its text fall in one class.
-An empty table gives no rows.  Other columns are ignored.
+has a null component and is kept.  Rows that repeat an id are one document to ``groups``, whatever their texts: what any of them is linked
+with is in the id's component.  To ``keep_one`` they are as many documents as they have different texts, and
+one row stays of each group of texts.  An empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,8 +83,13 @@ def trees_for(percent: int) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - percent / 100))
 
 
+def _text_hash() -> Column:
+    """Tells apart the texts of rows that repeat an id."""
+    return F.xxhash64("text")
+
+
 def facts(documents: DataFrame, trees: int) -> DataFrame:
-    """doc_id, size of the set, its fingerprint (two longs) and its minwise token for each tree."""
+    """doc_id, a hash of the text, size of the set, its fingerprint (two longs) and its minwise token for each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,10 +101,10 @@ def facts(documents: DataFrame, trees: int) -> DataFrame:
                     out[0, k], out[1, k] = np.bitwise_xor.reduce(columnar.mix(s)), columnar.mix(s ^ _SEEDS[63]).sum()
                     for t in range(trees):
                         out[2 + t, k] = columnar.mix(s ^ _SEEDS[t]).min()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), *map(_signed, out)], ["doc_id", "n_shingles", "f1", "f2", *(f"h{t}" for t in range(trees))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), *map(_signed, out)], ["doc_id", "text_hash", "n_shingles", "f1", "f2", *(f"h{t}" for t in range(trees))])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return shared.bounded(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, f1 long, f2 long, " + ", ".join(f"h{t} long" for t in range(trees)))
+    return shared.bounded(documents).select("doc_id", "text", _text_hash().alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, f1 long, f2 long, " + ", ".join(f"h{t} long" for t in range(trees)))
 
 
 def _few(rows: DataFrame, key: str, other: DataFrame) -> DataFrame:
@@ -107,7 +113,7 @@ def _few(rows: DataFrame, key: str, other: DataFrame) -> DataFrame:
 
 
 def set_table(documents: DataFrame, reps: DataFrame) -> DataFrame:
-    """rep, size and set (sorted tokens as bytes) of the documents named."""
+    """rep and set (sorted tokens as bytes) of the classes named, from the text that stands for each (``one``: id and hash of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,8 +121,9 @@ def set_table(documents: DataFrame, reps: DataFrame) -> DataFrame:
                 part = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in _sets(part.column(1))], pa.binary())], ["rep", "tokens"])
 
-    texts = documents.select(F.col("doc_id").alias("rep"), "text")
-    return _few(shared.bounded(reps).select("rep"), "rep", texts).select("rep", "text").mapInArrow(run, "rep long, tokens binary")
+    named = shared.bounded(reps).select("rep", "one.doc_id", "one.text_hash")
+    named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    return documents.select("doc_id", "text", _text_hash().alias("text_hash")).join(named, ["doc_id", "text_hash"]).select("rep", "text").mapInArrow(run, "rep long, tokens binary")
 
 
 def links(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
@@ -322,20 +329,24 @@ def _branch(live: DataFrame, sets: DataFrame) -> DataFrame:
     return _few(shared.bounded(live).select("node", "rep"), "rep", sets).select("node", "rep", "tokens").mapInArrow(run, "node long, rep long, n long, parent long")
 
 
-def groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row; documents are linked from a similarity of ``percent`` on."""
+def classes(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Every row's doc_id, text_hash, n_shingles, and, if it has an id and words, comp and one, as a written table.
+
+    comp numbers a component of texts that are linked from a similarity of ``percent`` on; one is the least (doc_id, text_hash) of it.
+    """
     spark = documents.sparkSession
     trees = trees_for(percent)
-    seen, _ = shared.written(facts(documents, trees), "facts")
+    seen, seen_path = shared.written(facts(documents, trees), "facts")
     same = ["f1", "f2", "n_shingles"]
     whole = seen.where("n_shingles > 0 and doc_id is not null")
-    reps, _ = shared.written(whole.groupBy(*same).agg(F.min("doc_id").cast("long").alias("rep"), *(F.first(f"h{t}").alias(f"h{t}") for t in range(trees))), "classes")
+    held = whole.groupBy(*same).agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), *(F.first(f"h{t}").alias(f"h{t}") for t in range(trees)))
+    reps, reps_path = shared.written(held.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     of_tree = [F.struct(F.lit(t).alias("tree"), _bucket(F.col(f"h{t}"), t).alias("node"), F.col("rep"), F.col("n_shingles").alias("n")) for t in range(trees)]
     nodes = reps.select(F.explode(F.array(*of_tree)).alias("x")).select("x.*")
     live, pivots, paths = _impure(nodes, None)
-    named, named_path = shared.written(live.select("rep").distinct(), "named")
-    sets, sets_path = shared.written(set_table(documents, named), "sets")
+    asked, asked_path = shared.written(live.select("rep").distinct().join(reps.select("rep", "one"), "rep"), "named")
+    sets, sets_path = shared.written(set_table(documents, asked), "sets")
     labels, labels_path = None, None
     settled, settled_path = None, None
     # trees by turns: what one has joined or compared, the next need not send its sets for again
@@ -346,8 +357,7 @@ def groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
             if now.isEmpty():
                 shared.drop(spark, *now_paths)
                 break
-            if depth <= DEPTH:
-                labels, labels_path = relabel(labels, labels_path, _groups(now, pivots), sets, percent)
+            labels, labels_path = relabel(labels, labels_path, _groups(now, pivots), sets, percent)
             large = now.where("chunks > 1")
             if large.isEmpty():
                 shared.drop(spark, *now_paths)
@@ -371,25 +381,58 @@ def groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
             shared.drop(spark, children_path, *left_paths, crowded_path)
             todo = thin
             paths.append(thin_path)
-    shared.drop(spark, *paths, named_path, sets_path, *([settled_path] if settled_path else []))
+    shared.drop(spark, *paths, asked_path, sets_path, *([settled_path] if settled_path else []))
     if labels is None:
         labels = spark.createDataFrame([], "rep long, comp long")
-    named = reps.join(labels, "rep", "left").select(*same, F.coalesce("comp", "rep").alias("_comp"))
-    out = seen.select("doc_id", *same).join(named, same, "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("_comp")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    of_others = labels.join(reps.select("rep", "one"), "rep").groupBy("comp").agg(F.min("one").alias("least"))
+    of_all = of_others.join(reps.select(F.col("rep").alias("comp"), "one"), "comp").select("comp", F.least("least", "one").alias("least"))
+    joined = reps.select(*same, "rep", "one").join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    joined = joined.join(of_all, "comp", "left").select(*same, "comp", F.coalesce("least", "one").alias("one"))
+    out = seen.where("n_shingles > 0 and doc_id is not null").select("doc_id", "text_hash", *same).join(joined, same)
+    names = ["doc_id", "text_hash", "n_shingles", "comp", "one"]
+    rest = seen.where("not (n_shingles > 0 and doc_id is not null)").select(*names[:3], F.lit(None).cast("long").alias("comp"), F.lit(None).cast(reps.schema["one"].dataType).alias("one"))
+    found, _ = shared.written(out.select(names).unionByName(rest), "found")
+    shared.drop(spark, seen_path, reps_path, *([labels_path] if labels_path else []))
+    return found
+
+
+def groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row; documents are linked from a similarity of ``percent`` on."""
+    spark = documents.sparkSession
+    rows = classes(documents, percent).select("doc_id", "n_shingles", "comp", F.col("one.doc_id").alias("least"))
+    spans = rows.where("comp is not null").groupBy("doc_id").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("doc_id", "a")
+    spans, spans_path = shared.written(spans, "spans")
+    if spans.isEmpty():  # no id has texts of two components
+        shared.drop(spark, spans_path)
+    else:
+        edges = rows.where("comp is not null").join(spans, "doc_id").where("a < comp").select("a", F.col("comp").alias("b")).distinct()
+        merged, merged_path = components(edges)
+        merged = merged.withColumnRenamed("least", "root")
+        lowest = rows.where("comp is not null").join(merged, "comp").groupBy("root").agg(F.min("least").alias("lowest"))
+        merged, _ = shared.written(merged.join(lowest, "root").select("comp", "lowest"), "merged")
+        shared.drop(spark, spans_path, merged_path)
+        rows = rows.join(merged, "comp", "left").withColumn("least", F.coalesce("lowest", "least"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, with all its columns: the one of the least id.
+    """One row of each group of texts, with all its columns: the one of the least id, then of the least hash of its text.
 
-    A row goes if no row of its id is kept; of rows that repeat an id, any one stays.  Rows without an id stay.
+    Of rows that repeat an id and its text any one stays.  Rows without an id stay, and so do those without words, one for each id and text.
     """
-    found, _ = shared.written(groups(documents, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "kept")
-    gone, _ = shared.written(found.where("not kept").select("doc_id"), "gone")
-    kept = documents.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(documents.columns)
-    twice = found.where("kept and n > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(documents.columns)
+    spark = documents.sparkSession
+    found = classes(documents, percent).where("doc_id is not null")
+    key = ["doc_id", "text_hash"]
+    found = found.groupBy(*key).agg(F.first(F.coalesce((F.col("doc_id") != F.col("one.doc_id")) | (F.col("text_hash") != F.col("one.text_hash")), F.lit(False))).alias("goes"), F.count(F.lit(1)).alias("n")).where("goes or n > 1")
+    gone, _ = shared.written(found, "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    other = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"), "goes", "n")
+    aside = {c: f"_{k}" for k, c in enumerate(documents.columns) if c not in ("doc_id", "text")}  # columns of any name pass through
+    inside = documents.select("doc_id", "text", *(F.col(f"`{c}`").alias(a) for c, a in aside.items()))
+    joined = inside.join(other, (F.col("doc_id") == F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_hash")), "left")
+    kept = joined.where("goes is null or not goes")
+    if not gone.where("not goes").isEmpty():  # repeated rows
+        twice = kept.where("goes is not null")
+        kept = kept.where("goes is null").unionByName(twice.dropDuplicates(["_gone_id", "_gone_hash"]))
+    return kept.select(*(F.col(aside.get(c, c)).alias(c) for c in documents.columns))

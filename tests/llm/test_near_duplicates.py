@@ -69,6 +69,49 @@ def corpus(seed=1):
     return rows
 
 
+def by_id(rows):
+    """The same by plain search, where an id may have several texts: {id: least id reachable}."""
+    sets = [next(iter(sets_of([r]).values())) for r in rows]
+    parent = {r[0]: r[0] for r in rows}
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+                x, y = find(rows[i][0]), find(rows[j][0])
+                parent[max(x, y)] = min(x, y)
+    return {k: find(k) for k in parent}
+
+
+def test_repeated_ids(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    four = [(5, a, "en", "s", 0), (5, b, "en", "s", 0), (7, a + " z", "en", "s", 0), (9, b + " z", "en", "s", 0)]
+    assert {(r.doc_id, r.component_id, r.kept) for r in neardup.groups(spark.createDataFrame(four, DOCUMENTS)).collect()} == {(5, 5, True), (7, 5, False), (9, 5, False)}
+    assert sorted(r.text for r in neardup.keep_one(spark.createDataFrame(four, DOCUMENTS)).collect()) == [a, b]
+    rng = random.Random(9)
+    rows = [(rng.randrange(150), *r[1:]) for r in corpus(4)] + [(3, a, "en", "s", 0)] * 3 + [(3, None, "en", "s", 0), (3, "", "en", "s", 0)]
+    out = neardup.groups(spark.createDataFrame(rows, DOCUMENTS).repartition(4)).collect()
+    truth = by_id(rows)
+    assert len(out) == len(rows)
+    assert all(r.component_id == (truth[r.doc_id] if r.n_shingles else r.doc_id) for r in out)
+    kept = neardup.keep_one(spark.createDataFrame(rows, DOCUMENTS).repartition(4)).collect()
+    texts = list(dict.fromkeys(r[1] for r in rows))
+    group = brute([(k, t) for k, t in enumerate(texts)])
+    wordless = {(r[0], r[1]) for r in rows if not sets_of([r])[r[0]]}
+    assert len({group[texts.index(r.text)][1] for r in kept if r.text}) == len([r for r in kept if r.text]) == len({g for k, (n, g) in group.items() if n})
+    assert {(r.doc_id, r.text) for r in kept if not r.text} == wordless
+    first = {}
+    for r in rows:
+        if r[1]:
+            first[group[texts.index(r[1])][1]] = min(first.get(group[texts.index(r[1])][1], r[0]), r[0])
+    assert all(r.doc_id == first[group[texts.index(r.text)][1]] for r in kept if r.text)
+
+
 def run(spark, rows):
     out = neardup.groups(spark.createDataFrame(rows, DOCUMENTS).repartition(4)).collect()
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
@@ -143,6 +186,8 @@ def test_odd_rows(spark):
     kept = neardup.keep_one(rows)
     assert kept.columns == rows.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, k) for k in range(len(ODD_TEXTS))] + [(True, 0)] * 2
+    clash = rows.withColumns({"goes": rows["doc_id"], "n": rows["doc_id"], "one": rows["text"], "_1": rows["text"], "_gone_id": rows["text"]})
+    assert neardup.keep_one(clash).columns == clash.columns and neardup.keep_one(clash).count() == kept.count()
 
 
 def test_one_of_each_group_stays(spark):
