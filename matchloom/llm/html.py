@@ -8,29 +8,32 @@ pages and next to ``LEAST`` different articles or more.  The longest text in the
 outside the element stands for the article next to it, so what recurs in near copies of an article is not taken for a template; nor is what
 holds over half of a page's text counted on that page.
 Elements whose tag, role, class or id says that they are navigation, header, footer, sidebar, notice,
-advert, form, comments or hidden are deleted as well.  Of what stays, the text of the article
-(or the main part, or the body) is returned, a line for each block.  Equal pages of a host
+advert, form, comments or hidden are deleted as well; a class says so only if all of its parts do (``cookie-notice``, but not
+``share-price``).  Of what stays, the text of the article, with articles beside it at least half as long
+(or of the main part, or the body), is returned, a line for each block.  Equal pages of a host
 count once, so copies of a page do not turn it into a template.
 
 Scale.  The counting pass shuffles hashes only, with partial aggregation, so a hot host is summed where
 its pages lie.  A host has at most (elements a page) / SHARE template subtrees, as each stands on that share of its pages.
-The table of them is written and measured: up to ``BROADCAST_BYTES`` it is broadcast and the pages
+The table of them is written and measured: up to ``BROADCAST_BYTES`` it is broadcast, once for each worker, and the pages
 never move; beyond, (page, subtree) hashes are joined with it and the few hits joined back.
 
 Edge cases.  Null or empty html gives an empty text.  A null or unreadable url counts as one host of its own.
 Unclosed and misplaced tags are closed as browsers do for paragraphs, items and cells; stray end tags are
-ignored; an unclosed comment, script or tag reaches to the end.  An empty table gives no rows.  Other columns are ignored.
+ignored; an unclosed comment, script or tag reaches to the end.  Time is linear in the page, however deep it is nested.  An empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +41,7 @@ from . import shared
 
 RATIO, LEAST = 0.5, 10
 SHARE = 0.01
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 2 << 20
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,15 +69,20 @@ MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promotion promotions banner "
     "nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar sidebars aside footer footers masthead topbar toolbar pagination pager "
     "cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup login "
-    "comment comments commentlist respond disqus discussion replies reply share sharing social related recommended recommendations widget widgets skip "
-    "search searchbox form".split()
+    "comment comments commentlist respond disqus replies reply share sharing social related recommended recommendations widget widgets skip search searchbox form".split()
+)
+#: Words that say nothing beside them.
+FILLERS = frozenset(
+    "area article articles bar block body bottom box btn btns button buttons close container content count entry global icon icons inner item items js left link links "
+    "list main open outer page panel post posts primary right row secondary section site slot thread toggle top unit wp wrap wrapper".split()
 )
 _HEAD_MARKS = frozenset(["header", "headers"])
-_NEGATIONS = frozenset(["no", "not", "has", "with", "without", "is"])
+_OF_ARTICLE = frozenset("article articles entry post posts content section".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/>]+)")
-_WORD = re.compile(r"[a-z0-9]+")
+#: Quotes open a value only after an equals sign; elsewhere they are characters of a name or a value.
+_TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
+_WORD = re.compile(r"[^\W_]+")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
 
@@ -88,15 +96,27 @@ class Page:
     away: list[bool] = field(default_factory=list)
     header: list[bool] = field(default_factory=list)
     texts: list[tuple[int, str | None]] = field(default_factory=list)
-    titled: set[int] = field(default_factory=set)
-    framed: set[int] = field(default_factory=set)
+
+    def holding(self, *names: str) -> list[bool]:
+        """For each element, whether an element of these names is inside it."""
+        out = [False] * len(self.tags)
+        for k in range(len(self.tags) - 1, -1, -1):
+            if (parent := self.parents[k]) >= 0 and (out[k] or self.tags[k] in names):
+                out[parent] = True
+        return out
+
+
+def _says(value: str, words: frozenset[str], fillers: frozenset[str]) -> bool:
+    """Whether a class or id is made of the words and nothing but fillers and numbers beside them."""
+    parts = [part for part in _WORD.findall(value) if not part[0].isdigit()]
+    return not words.isdisjoint(parts) and all(part in words or part in fillers for part in parts)
 
 
 def _marks(tag: str, raw: str) -> tuple[bool, bool]:
-    """Whether attributes send the element away, and whether they call it a header."""
+    """Whether attributes send the element away, and whether they call it a header of the site."""
     away = header = False
-    for name, a, b, c, bare in _ATTRIBUTE.findall(raw):
-        name, value = (name or bare).lower(), (a or b or c).lower()
+    for name, a, b, c in _ATTRIBUTE.findall(raw):
+        name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN_STYLE.search(value):
             away = True
         elif name == "role":
@@ -104,31 +124,37 @@ def _marks(tag: str, raw: str) -> tuple[bool, bool]:
                 away = True
         elif name in ("class", "id"):
             for word in value.split():
-                parts = _WORD.findall(word)
-                if parts and parts[0] not in _NEGATIONS:
-                    away = away or not MARKS.isdisjoint(parts)
-                    header = header or not _HEAD_MARKS.isdisjoint(parts)
+                away = away or _says(word, MARKS, FILLERS)
+                header = header or _says(word, _HEAD_MARKS, FILLERS - _OF_ARTICLE)
     return away, header
 
 
 def parse(source: str) -> Page:
     page = Page()
     stack: list[int] = []
+    places: dict[str, list[int]] = {}  # of open elements in the stack, by name
+    fences: list[int] = []
     tags, texts = page.tags, page.texts
 
+    def last(name: str) -> int:
+        found = places.get(name)
+        return found[-1] if found else -1
+
     def close(depth: int) -> None:
         while len(stack) > depth:
-            if tags[stack[-1]] in BLOCK:
+            name = tags[stack[-1]]
+            if name in BLOCK:
                 texts.append((stack[-1], None))
             stack.pop()
+            places[name].pop()
+            if name in _FENCES:
+                fences.pop()
 
-    def close_nearest(names: tuple[str, ...]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            name = tags[stack[k]]
-            if name in names:
-                close(k)
-            elif name in _FENCES:
-                return
+    def close_above_fence(names: tuple[str, ...]) -> None:
+        fence = fences[-1] if fences else -1
+        lowest = [at[k] for name in names if (at := places.get(name)) and (k := bisect_right(at, fence)) < len(at)]
+        if lowest:
+            close(min(lowest))
 
     def open_(tag: str, raw: str) -> None:
         away, header = _marks(tag, raw) if raw else (False, False)
@@ -136,11 +162,10 @@ def parse(source: str) -> Page:
         tags.append(tag)
         page.parents.append(stack[-1] if stack else -1)
         page.away.append(away or tag in AWAY)
-        page.header.append(header or tag == "header")
-        if tag in ("h1", "h2"):
-            page.titled.update(stack)
-        elif tag in ("article", "main"):
-            page.framed.update(stack)
+        page.header.append(header)
+        places.setdefault(tag, []).append(len(stack))
+        if tag in _FENCES:
+            fences.append(len(stack))
         stack.append(node)
         if tag in BLOCK:
             texts.append((node, None))
@@ -152,23 +177,20 @@ def parse(source: str) -> Page:
         found = _TAG.search(source, at)
         start = found.start() if found else end
         if start > at:
-            texts.append((stack[-1] if stack else -1, source[at:start]))
+            texts.append((stack[-1] if stack else -1, entities.unescape(source[at:start])))
         if not found:
             break
         at = found.end()
-        name = found[2] or found[5]
+        name = found[2]
         if not name:
             if source.startswith("<![CDATA[", start):
-                texts.append((stack[-1] if stack else -1, entities.escape(source[start + 9 : at - 3])))
+                texts.append((stack[-1] if stack else -1, source[start + 9 : at].removesuffix("]]>")))
             continue
-        tag, raw = name.lower(), found[3] or found[6] or ""
-        if found[1] or found[4]:  # an end tag
-            for k in range(len(stack) - 1, -1, -1):
-                if tags[stack[k]] == tag:
-                    close(k)
-                    break
-                if tags[stack[k]] in ("article", "main", "body") and tag not in ("html", "body", "main", "article", "div", "section"):
-                    break
+        tag, raw = name.lower(), found[3] or ""
+        if found[1]:  # an end tag
+            k = last(tag)
+            if k >= 0 and (tag in ("html", "body", "main", "article", "div", "section") or k > max(last("article"), last("main"), last("body"))):
+                close(k)
             continue
         if tag in RAW:
             stop = _RAW_END[tag].search(source, at)
@@ -177,15 +199,10 @@ def parse(source: str) -> Page:
         if tag in VOID:
             texts.append((stack[-1] if stack else -1, None if tag == "hr" else " "))
             continue
-        if tag in _ENDS_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if tags[stack[k]] == "p":
-                    close(k)
-                    break
-                if tags[stack[k]] in _FENCES:
-                    break
+        if tag in _ENDS_P and last("p") > (fences[-1] if fences else -1):
+            close(last("p"))
         if tag in CLOSES:
-            close_nearest(CLOSES[tag])
+            close_above_fence(CLOSES[tag])
         open_(tag, raw)
         if raw.endswith("/") and tag not in BLOCK:
             close(len(stack) - 1)
@@ -197,11 +214,12 @@ def _gone(page: Page) -> list[bool]:
     """For each element, whether it or one that holds it is away."""
     out: list[bool] = []
     inside: list[bool] = []
+    titled, framed = page.holding("h1", "h2"), page.holding("article", "main")
     for k, (tag, parent) in enumerate(zip(page.tags, page.parents)):
         within = parent >= 0 and (inside[parent] or page.tags[parent] in ("article", "main"))
-        own = page.away[k] or page.header[k] and not (within and k in page.titled)
-        if k in page.framed or tag in ("html", "body", "article", "main") and not (page.away[k] and within):
-            own = own and k not in page.framed and tag not in ("html", "body") and page.away[k]
+        own = page.away[k] or tag == "header" and not (within and titled[k]) or page.header[k] and not within
+        if framed[k] or tag in ("html", "body", "article", "main") and not (page.away[k] and within):
+            own = own and not framed[k] and tag not in ("html", "body") and page.away[k]
         inside.append(within)
         out.append(own or parent >= 0 and out[parent])
     return out
@@ -273,28 +291,20 @@ def main_text(source: str | None, template: frozenset[int] = frozenset()) -> str
     if template:
         for k, h in enumerate(_trees(page, gone)):
             gone[k] = gone[k] or h in template or page.parents[k] >= 0 and gone[page.parents[k]]
-    size: dict[int, int] = {}  # text below each candidate for the main part
-    total = 0
-    candidate = ["article" == t or "main" == t for t in page.tags]
+    size = [0] * len(page.tags)  # text below each element
     for node, text in page.texts:
-        if text is None or node >= 0 and gone[node]:
-            continue
-        total += (n := len(text) - text.count(" "))
-        while node >= 0:
-            if candidate[node]:
-                size[node] = size.get(node, 0) + n
-            node = page.parents[node]
-    for name in ("article", "main"):
-        best = max((k for k in size if page.tags[k] == name), key=lambda k: (size[k], -k), default=None)
-        whole = max((size[k] for k in size if page.tags[k] == "main"), default=0) if name == "article" else 0
-        if best is not None and 2 * size[best] >= whole:
-            break
-    blocks, line = [], []
-    inside = [False] * len(page.tags)
+        if text is not None and node >= 0 and not gone[node]:
+            size[node] += len(text) - text.count(" ")
+    for k in range(len(size) - 1, -1, -1):
+        if (parent := page.parents[k]) >= 0:
+            size[parent] += size[k]
+    chosen = _chosen(page, size)
+    inside: list[bool] = []
     for k, parent in enumerate(page.parents):
-        inside[k] = best is None or k == best or parent >= 0 and inside[parent]
+        inside.append(not chosen or k in chosen or parent >= 0 and inside[parent])
+    blocks, line = [], []
     for node, text in page.texts:
-        if text is None or (best is not None if node < 0 else gone[node] or not inside[node]):
+        if text is None or (bool(chosen) if node < 0 else gone[node] or not inside[node]):
             if text is None and line:
                 blocks.append("".join(line))
                 line = []
@@ -302,7 +312,18 @@ def main_text(source: str | None, template: frozenset[int] = frozenset()) -> str
         line.append(text)
     if line:
         blocks.append("".join(line))
-    return "\n".join(b for block in blocks if (b := " ".join(entities.unescape(block).split())))
+    return "\n".join(b for block in blocks if (b := " ".join(block.split())))
+
+
+def _chosen(page: Page, size: list[int]) -> set[int]:
+    """The elements that hold the article: the longest and those beside it of at least half its length, or the main part; none for the whole page."""
+    longest = {name: max((k for k, tag in enumerate(page.tags) if tag == name and size[k]), key=lambda k: (size[k], -k), default=None) for name in ("article", "main")}
+    article, main = longest["article"], longest["main"]
+    if article is not None:
+        beside = {k for k, tag in enumerate(page.tags) if tag == "article" and page.parents[k] == page.parents[article] and 2 * size[k] >= size[article]}
+        if main is None or 2 * sum(size[k] for k in beside) >= size[main]:
+            return beside
+    return {main} if main is not None else set()
 
 
 def host(url: Column) -> Column:
@@ -336,16 +357,21 @@ def extract(pages: DataFrame, ratio: float = RATIO, least: int = LEAST, broadcas
     spark = pages.sparkSession
     hosted = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"))
     common, path = shared.written(templates(hosted, ratio, least), "templates")
+    known: Broadcast | None = None
     if shared.size(spark, path) <= broadcast_bytes:
-        known = hosted.join(F.broadcast(common), "host", "left")
+        known = spark.sparkContext.broadcast({r["host"]: frozenset(r["trees"]) for r in common.toLocalIterator()})
+        shared.drop(spark, path)
+        asked = hosted.select("page_id", "url", "html", "host")
     else:
         hits = _subtrees(hosted).join(common.select("host", F.explode("trees").alias("tree")), ["host", "tree"])
-        known = hosted.join(hits.groupBy("host", "page").agg(F.collect_list("tree").alias("trees")), ["host", "page"], "left")
+        asked = hosted.join(hits.groupBy("host", "page").agg(F.collect_list("tree").alias("trees")), ["host", "page"], "left").select("page_id", "url", "html", "trees")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none: frozenset[int] = frozenset()
         for batch in batches:
-            texts = [main_text(x.as_py(), frozenset(t.as_py() or ())) for x, t in zip(batch.column(2), batch.column(3))]
+            of_row = [known.value.get(x, none) if known is not None else frozenset(x or ()) for x in batch.column(3).to_pylist()]
+            texts = [main_text(x.as_py(), t) for x, t in zip(batch.column(2), of_row)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return shared.bounded(known).select("page_id", "url", "html", "trees").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return shared.bounded(asked).mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

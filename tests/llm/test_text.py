@@ -1,5 +1,7 @@
 """Main text of pages and line dedup."""
 
+import time
+
 import duckdb
 import pytest
 from helpers import DOCUMENTS, ODD_TEXTS, odd_rows
@@ -23,12 +25,27 @@ PAGES = "page_id long, url string, html string"
         ("<p title='a>b'>x</p></div></span>y", "x\ny"), ("<p>a<!-- no end", "a"), ("<p>a<script>no end", "a"), ("a < b &lt;p&gt; &#x41;&#66; &bogus;", "a < b <p> AB &bogus;"),
         ("<main><p>one</p><article>x</article><p>two and more text</p></main>", "one\nx\ntwo and more text"),
         ("<div role=navigation>n</div><blockquote>q<hr>r</blockquote>", "q\nr"),
+        ("<p title=don't>hello</p><p title=won't>bye</p>", "hello\nbye"), ("<div><a title=it's href=x>Para one is here.</a><p>second</p><p class=o'k>third</p></div>", "Para one is here.\nsecond\nthird"),
+        ('<p a="x>y" b = \'>\' c>z</p>', "z"), ('<p a="x>y</p><p>z</p>', "y\nz"), ("<p a=>x</p>", "x"), ("<p a=b=c\"d>x</p>", "x"), ("&<b>lt;</b> &amp;lt; &am<!-- -->p;", "&lt; &lt; &am p;".replace("&am p;", "&amp;")),
+        ("<!-->a<!--->b<!-- c --!>d", "abd"), ("<main><article>one long piece</article><article>another one</article><article>x</article></main>", "one long piece\nanother one"),
+        ("<i><article><b>" + "</i>" * 3 + "x</article>y", "x"), ("<article><header class=article-header><h2>T</h2></header><div class=article-header>u</div></article>", "T\nu"),
     ],
 )
 def test_main_text(source, expected):
     assert html.main_text(source) == expected
 
 
+@pytest.mark.parametrize("name", ["share-price", "search-result", "form-text", "related-work", "discussion", "social-science", "article-header", "no-sidebar", "menuetto", "entry-header", "comment-by-the-author"])
+def test_class_names_that_stay(name):
+    assert html.main_text(f"<article><p>a</p><div class='{name}'>b</div></article>") == "a\nb"
+    assert html.main_text(f"<body><p>a</p><div class='x {name}'>b</div></body>") == "a\nb"
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-box", "ad-300x250", "cookie-notice", "share-buttons", "related-posts", "comments-area", "site-footer", "main-nav", "newsletter_signup", "comment"])
+def test_class_names_that_go(name):
+    assert html.main_text(f"<article><p>a</p><div class='{name}'>b</div></article>") == "a"
+
+
 def site(host, n, banner="<div class=x><p>Join the <b>club</b> today</p></div>"):
     return [(k, f"http://{host}/{k}", f"<body>{banner}<div><p>text {k} of its own</p></div></body>") for k in range(n)]
 
@@ -64,6 +81,14 @@ def test_very_long_page():
     assert html.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "</i>" * 100_000 + "x", "<b>x" * 200_000, "<i><article>" + "<b>" * 90_000 + "</i>" * 90_000 + "x", "<div><h1>x" * 60_000, "<ul><li>x" * 70_000, "<p a='" * 100_000 + "x", "<table><tr><td>x" * 40_000, "<b><p>x" * 100_000])
+def test_time_is_linear(page):
+    began = time.process_time()
+    html.trees(page)
+    html.main_text(page)
+    assert time.process_time() - began < 20  # about 1 MB; nested loops would take an hour
+
+
 def cleaned(spark, rows, **more):
     return {r.doc_id: r for r in lines.clean(spark.createDataFrame(rows, DOCUMENTS), F.col("source"), count=True, **more).collect()}
 
