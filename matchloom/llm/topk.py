@@ -1,17 +1,17 @@
 """Exact top-k search by integer inner product, with MaxScore pruning.
 
 Method.  Vectors are packed into shards, queries into blocks; every block meets every shard once.
-A query's terms are its dimensions.  In a shard each term has a bound, the most it can add to a score;
-with the k-th best score so far as threshold, the terms with the smallest bounds, as many as cannot reach the threshold
-together, are non-essential.  The essential terms are traversed for the whole shard (as one matrix
-product with the other terms masked); rows whose partial score and the bound of the rest (the sum of term
-bounds, or the product of the norms of the rest, whichever is less) stay below the threshold
-are dropped.  The others are probed in the remaining terms a few at a time while they are competitive.
-Each shard gives at most k rows a query (all ties counted, then the smaller ids), and shards are merged by rank.
-
-Scale.  The query set (one row in ``EVERY``) meets all rows in blocks: each query block is sent to
-each bucket of shards once, so what moves is vectors + queries * buckets.  A task holds one block and one
-shard at a time.  Nothing is broadcast.
+A query's terms are its dimensions.  A shard is cut into lists of rows that are alike (by their strongest dimension and its sign), and each
+list has for each term the most that it can add to a score.  With the k-th best score so far as threshold,
+a list whose bounds in all stay below it is passed over.  In the others the terms with the smallest bounds, as
+many as cannot reach the threshold together, are non-essential: only the essential terms are traversed (one matrix product of the
+queries that share them), and rows whose partial score and the bound of the rest stay below the threshold are dropped.
+The others are probed in the remaining terms, a few at a time, while they are competitive.  Where no terms can be spared the traversal is the
+plain product.  A shard gives at most k rows a query (all ties counted, then the smaller ids), and shards are merged by rank.
+
+Scale.  The query set (one row in ``EVERY``) meets all rows in blocks.  Shards are dealt evenly to buckets; a task holds the shards of one
+bucket, about ``HELD`` at most, and the query blocks stream past them, so what moves is vectors + queries * buckets.
+Nothing is broadcast.
 
 Edge cases.  Vectors that are null or hold null or non-finite components, and rows with a null id,
 take no part.  Shorter vectors read as padded with zeros; an empty vector scores 0.  Rows with the id of the query
@@ -21,7 +21,6 @@ Python integers and clipped to the range of long.  An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.numbering import with_row_number
 from . import shared
 
 TOP, EVERY, SCALE = 20, 20, 64
 SHARD_ROWS, BLOCK_ROWS = 8192, 512
-#: Query blocks whose thresholds a task remembers.
-REMEMBERED = 256
+#: Shards (4 MB each at 64 dimensions) that a task holds, and rows of a list.
+HELD, LIST_ROWS = 32, 512
 #: Terms probed at a time.
 STEP = 8
 
@@ -107,102 +107,159 @@ def _unpacked(width: int, ids: pa.Scalar, vectors: pa.Scalar) -> tuple[np.ndarra
     return i, np.frombuffer(vectors.as_buffer(), "<f8").reshape(len(i), width)
 
 
-def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, best: np.ndarray, top: int = TOP) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its place, and the ids and scores of its best rows of one shard that can be among its ``top``.
+def _bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The most that each term can add to each query's score where components lie between low and high."""
+    return np.maximum(q * high, q * low)
+
+
+class Shard:
+    """Rows of a shard in lists of like rows, with the least and greatest component of each list in each dimension."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        strong = np.abs(vectors).argmax(1) if vectors.shape[1] else np.zeros(len(ids), np.int64)
+        sign = np.take_along_axis(vectors, strong[:, None], 1)[:, 0] > 0 if vectors.shape[1] else strong > 0
+        order = np.lexsort((ids, strong * 2 + sign))
+        self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
+        self.by_id = np.argsort(self.ids, kind="stable")
+        self.largest = float(np.abs(vectors).max(initial=0))
+        self.starts = np.arange(0, len(ids), LIST_ROWS)
+        self.low, self.high = (f.reduceat(self.vectors, self.starts, axis=0) for f in (np.minimum, np.maximum))
+
+    def padded(self, width: int) -> Shard:
+        return self if width <= self.vectors.shape[1] else Shard(self.ids, np.pad(self.vectors, ((0, 0), (0, width - self.vectors.shape[1]))))
+
+    def own(self, query_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Queries, and the places of the rows that have their id."""
+        known = self.ids[self.by_id]
+        a, b = np.searchsorted(known, query_ids, "left"), np.searchsorted(known, query_ids, "right")
+        return np.repeat(np.arange(len(query_ids)), b - a), self.by_id[np.concatenate([np.arange(x, y) for x, y in zip(a, b)] or [np.zeros(0, np.int64)]).astype(np.int64)]
+
+
+def _ranked(row: np.ndarray, ids: np.ndarray, score: np.ndarray, top: int) -> np.ndarray:
+    """Places of the ``top`` best of each query, by query, falling score and rising id."""
+    order = np.lexsort((ids, -score, row))
+    row = row[order]
+    return order[np.arange(len(row)) - np.searchsorted(row, row) < top]
+
+
+def _traverse(q: np.ndarray, v: np.ndarray, low: np.ndarray, high: np.ndarray, threshold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, place and score of the rows of one list that reach the thresholds: essential terms first, then the others while it is worth it."""
+    bound = np.maximum(_bounds(q, low, high), 0)
+    order = np.argsort(bound.mean(0), kind="stable")  # one order for all queries, so that their products go together
+    rising = np.cumsum(bound[:, order], 1)
+    spared = (rising < threshold[:, None]).sum(1)
+    few = spared >= max(1, q.shape[1] // 4)
+    found = []
+    for mine, spare in ((np.flatnonzero(~few), 0), (np.flatnonzero(few), int(spared[few].min(initial=q.shape[1])))):
+        if not len(mine):
+            continue
+        essential = order[spare:]
+        score = (q[mine][:, essential] if spare else q[mine]) @ (v[:, essential] if spare else v).T
+        ahead = rising[mine, spare - 1] if spare else np.zeros(len(mine), q.dtype)
+        row, place = np.nonzero(score + ahead[:, None] >= threshold[mine, None])
+        total = score[row, place]
+        for k in range(spare, 0, -STEP):  # the terms with the largest bounds first
+            terms = order[max(0, k - STEP) : k]
+            total = total + np.einsum("ij,ij->i", q[mine[row]][:, terms], v[place][:, terms])
+            rest = rising[mine, k - STEP - 1] if k > STEP else np.zeros(len(mine), q.dtype)
+            alive = total + rest[row] >= threshold[mine[row]]
+            row, place, total = row[alive], place[alive], total[alive]
+        found.append((mine[row], place, total))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def search(query_ids: np.ndarray, queries: np.ndarray, shard: Shard, best: np.ndarray, top: int = TOP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries, and ids and scores of the rows of one shard that can be among the ``top`` of each, that many at most.
 
     ``best`` holds the best scores of each query so far (falling, -inf where there are fewer) and is brought up to date.
-    Ids are sorted.
     """
-    width = max(queries.shape[1], vectors.shape[1])
-    queries, vectors = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (queries, vectors))
-    reach = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, width)
+    shard = shard.padded(queries.shape[1])
+    width = shard.vectors.shape[1]
+    queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
+    reach = float(np.abs(queries).max(initial=0)) * shard.largest * max(1, width)
     if reach >= 2.0**52:
-        yield from _search_integers(query_ids, queries, ids, vectors, top)
-        return
-    kind = np.float32 if reach < 2**23 and float(np.square(vectors).sum(1).max(initial=0)) < 2**23 else np.float64
-    q, v = queries.astype(kind), vectors.astype(kind)
-    threshold = best[:, top - 1]
-    bound = np.maximum(q * v.max(0), q * v.min(0)) if len(v) else q  # the most that each term can add
-    order = np.argsort(bound, 1, kind="stable")
-    rising = np.cumsum(np.maximum(np.take_along_axis(bound, order, 1), 0), 1)
-    spare = (rising < threshold[:, None]).sum(1)  # how many terms are non-essential
-    rest = np.zeros(q.shape, bool)
-    np.put_along_axis(rest, order, np.arange(width)[None, :] < spare[:, None], 1)
-    score = np.where(rest, kind(0), q) @ v.T
-    slack = np.sqrt(np.square(np.where(rest, q, kind(0))).sum(1))[:, None] * np.sqrt(rest.astype(kind) @ np.square(v).T)
-    most = np.where(rest, np.maximum(bound, 0), kind(0)).sum(1)[:, None]
-    own = _own(query_ids, ids)
-    score[own] = -np.inf
-    row, column = np.nonzero(score + np.minimum(slack, most) + 1 >= threshold[:, None]) if np.isfinite(threshold).any() else np.nonzero(score > -np.inf)
-    total = score[row, column].astype(np.float64)
-    alive = total > -np.inf
-    row, column, total = row[alive], column[alive], total[alive]
-    # probe the remaining terms, those with the largest bounds first, while the row is competitive
-    for k in range(int(spare.max(initial=0)), 0, -STEP):
-        part = order[:, max(0, k - STEP) : k]
-        ahead = rising[:, max(0, k - STEP) - 1] if k > STEP else np.zeros(len(q))
-        use = np.arange(max(0, k - STEP), k)[None, :] < spare[:, None]
-        for a in range(0, len(row), 1 << 18):
-            piece = slice(a, a + (1 << 18))
-            terms = part[row[piece]]
-            total[piece] += np.where(use[row[piece]], queries[row[piece, None], terms] * vectors[column[piece, None], terms], 0).sum(1)
-        alive = total + np.where(k <= spare[row], ahead[row], np.inf) >= threshold[row]
-        row, column, total = row[alive], column[alive], total[alive]
-    alive = total >= threshold[row]
-    row, column, total = row[alive], column[alive], total[alive]
-    edge = np.searchsorted(row, np.arange(len(q) + 1))
-    for k in range(len(q)):
-        if edge[k] < edge[k + 1]:
-            places, scores = column[edge[k] : edge[k + 1]], total[edge[k] : edge[k + 1]]
-            first = np.argsort(-scores, kind="stable")[:top]  # places rise with ids
-            best[k] = -np.sort(-np.concatenate((best[k], scores[first])))[:top]
-            yield k, ids[places[first]], scores[first].astype(np.int64)
-
-
-def _own(query_ids: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the rows that have the id of the query."""
-    a, b = np.searchsorted(ids, query_ids, "left"), np.searchsorted(ids, query_ids, "right")
-    return np.repeat(np.arange(len(query_ids)), b - a), np.concatenate([np.arange(x, y) for x, y in zip(a, b)] or [np.zeros(0, np.int64)]).astype(np.int64)
-
-
-def _search_integers(query_ids, queries, ids, vectors, top):
+        return _search_integers(query_ids, queries, shard.ids, shard.vectors, top)
+    kind = np.float32 if reach < 2**23 else np.float64  # sums of whole numbers are exact in either
+    q, v, low, high = (x.astype(kind, copy=False) for x in (queries, shard.vectors, shard.low, shard.high))
+    threshold = best[:, top - 1].astype(kind)
+    cold = ~np.isfinite(threshold)
+    parts = []
+    if cold.any():
+        some = np.flatnonzero(cold)
+        score = q[some] @ v.T
+        a, b = shard.own(query_ids[some])
+        score[a, b] = -np.inf
+        enough = -np.partition(-score, top - 1, 1)[:, top - 1] if score.shape[1] > top else np.full(len(some), -np.inf, kind)
+        row, place = np.nonzero((score >= enough[:, None]) & (score > -np.inf))
+        parts.append((some[row], place, score[row, place]))
+    warm = np.flatnonzero(~cold)
+    if len(warm):
+        most = np.maximum(q[warm], 0) @ high.T + np.minimum(q[warm], 0) @ low.T
+        alive = most >= threshold[warm, None]
+        if alive.mean() > 0.5:  # hardly a list is passed over: all at once
+            row, place, score = _traverse(q[warm], v, low.min(0), high.max(0), threshold[warm])
+            parts.append((warm[row], place, score))
+        else:
+            for k in np.flatnonzero(alive.any(0)):
+                some, at = warm[alive[:, k]], int(shard.starts[k])
+                row, place, score = _traverse(q[some], v[at : at + LIST_ROWS], low[k], high[k], threshold[some])
+                parts.append((some[row], place + at, score))
+    row, place, score = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    ids = shard.ids[place]
+    others = ids != query_ids[row]
+    row, ids, score = row[others], ids[others], score[others].astype(np.float64)
+    first = _ranked(row, ids, score, top)
+    row, ids, score = row[first], ids[first], score[first]
+    fresh = np.full((len(q), top), -np.inf)
+    fresh[row, np.arange(len(row)) - np.searchsorted(row, row)] = score
+    best[:] = -np.sort(-np.concatenate((best, fresh), 1), 1)[:, :top]
+    return row, ids, score.astype(np.int64)
+
+
+def _search_integers(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with whole numbers of any size."""
     limit = (1 << 63) - 1
-    whole = np.array([[int(x) for x in r] for r in vectors], object).reshape(vectors.shape)
-    for k, own in enumerate(query_ids):
-        scores = [max(-limit - 1, min(limit, x)) for x in (whole @ np.array([int(x) for x in queries[k]], object)).tolist()] if queries.shape[1] else [0] * len(ids)
-        first = sorted((-s, p) for p, s in enumerate(scores) if ids[p] != own)[:top]
-        if first:
-            yield k, ids[[p for _, p in first]], np.array([-s for s, _ in first], np.int64)
+    whole = [[int(x) for x in r] for r in vectors]
+    found = []
+    for k, (own, query) in enumerate(zip(query_ids, queries)):
+        asked = [int(x) for x in query]
+        scores = [max(-limit - 1, min(limit, sum(x * y for x, y in zip(r, asked)))) for r in whole]
+        found += [(k, i, s) for s, i in sorted(((s, int(i)) for s, i in zip(scores, ids) if i != own), key=lambda x: (-x[0], x[1]))[:top]]
+    return tuple(np.array(x, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
 
 
 def top_k(rows: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score."""
     spark = rows.sparkSession
-    packed, _ = shared.written(blocks(rows, every), "vectors")
+    packed, path = shared.written(blocks(rows, every), "vectors")
     shards = packed.where("kind = 'shard'")
-    ways = max(1, min(shards.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    bucket = F.pmod(F.xxhash64("serial"), F.lit(ways)).cast("int")
-    asked = packed.where("kind = 'query'").select(F.col("serial").alias("q"), F.col("width").alias("qw"), F.col("ids").alias("qi"), F.col("vectors").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(ways - 1))).alias("bucket"))
-    met = shards.select(bucket.alias("bucket"), "width", "ids", "vectors").join(asked, "bucket").select("q", "qw", "qi", "qv", "width", "ids", "vectors")
+    n = shards.count()
+    ways = max(1, min(n, max(-(-n // HELD), int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    numbered = with_row_number(shards.select("serial"), "number", [F.col("serial")])
+    payload = ["serial", "width", "ids", "vectors"]
+    held = shards.join(numbered, "serial").select(F.pmod("number", F.lit(ways)).cast("int").alias("bucket"), F.lit(0).alias("asks"), *payload)
+    asked = packed.where("kind = 'query'").select(F.explode(F.sequence(F.lit(0), F.lit(ways - 1))).alias("bucket"), F.lit(1).alias("asks"), *payload)
+    dealt = held.unionByName(asked).repartitionByRange(ways, "bucket").sortWithinPartitions("bucket", "asks", "serial")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[int, np.ndarray] = OrderedDict()
+        bucket, mine = None, []
         for batch in batches:
             for k in range(batch.num_rows):
-                q, qw, qi, qv, width, ids, vectors = (c[k] for c in batch.columns)
-                query_ids, queries = _unpacked(qw.as_py(), qi, qv)
-                best = known.pop(q.as_py(), None)
-                if best is None:
-                    best = np.full((len(query_ids), top), -np.inf)
-                known[q.as_py()] = best
-                if len(known) > REMEMBERED:
-                    known.popitem(last=False)
-                found = list(search(query_ids, queries, *_unpacked(width.as_py(), ids, vectors), best, top))
+                at, asks, _, width, ids, vectors = (c[k] for c in batch.columns)
+                if at.as_py() != bucket:
+                    bucket, mine = at.as_py(), []
+                ids, vectors = _unpacked(width.as_py(), ids, vectors)
+                if not asks.as_py():
+                    mine.append(Shard(ids, vectors.astype(np.float32) if np.abs(vectors).max(initial=0) < 2**23 else vectors))
+                    continue
+                best = np.full((len(ids), top), -np.inf)
+                found = [search(ids, vectors, s, best, top) for s in mine]
                 if found:
-                    size = [len(i) for _, i, _ in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids[[p for p, _, _ in found]], size)), pa.array(np.concatenate([i for _, i, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], ["query_id", "vec_id", "score"])
+                    row, vec_id, score = (np.concatenate(x) for x in zip(*found))
+                    first = _ranked(row, vec_id, score, top)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (ids[row], vec_id, score)], ["query_id", "vec_id", "score"])
 
-    partial = met.mapInArrow(run, "query_id long, vec_id long, score long")
+    partial = shared.bounded(dealt).mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

@@ -53,15 +53,18 @@ def test_search_in_any_order_and_small_k(spark):
     assert found(spark, rows, top=3, every=10) == brute(rows, 3, 10)
 
 
-def test_pruning_keeps_all_winners():
+@pytest.mark.parametrize("spread", [0.2, 1, 5])
+def test_pruning_keeps_all_winners(spread):
     rng = np.random.default_rng(8)
-    vectors = np.floor(64 * rng.normal(size=(500, 32)) / 6)
-    ids, queries = np.arange(500), vectors[::20]
+    centres = rng.normal(size=(20, 32))
+    vectors = np.floor(64 * (centres[rng.integers(0, 20, 5000)] + spread * rng.normal(size=(5000, 32))) / 6)
+    ids, queries = rng.permutation(5000), vectors[::50]
     best = np.full((len(queries), 5), -np.inf)
     seen = {k: [] for k in range(len(queries))}
-    for a in range(0, 500, 100):
-        for k, i, s in topk.search(ids[::20], queries, ids[a : a + 100], vectors[a : a + 100], best, 5):
-            seen[k] += list(zip((-s).tolist(), i.tolist()))
+    for a in range(0, 5000, 1250):
+        for k, i, s in zip(*topk.search(ids[::50], queries, topk.Shard(ids[a : a + 1250], vectors[a : a + 1250]), best, 5)):
+            seen[k].append((-int(s), int(i)))
     for k, q in enumerate(queries):
-        scores = sorted((-int(q @ v), j) for j, v in enumerate(vectors) if j != 20 * k)
+        scores = sorted((-int(q @ v), int(i)) for v, i in zip(vectors, ids) if i != ids[50 * k])
         assert sorted(seen[k])[:5] == scores[:5]
+        assert best[k].tolist() == [-s for s, _ in scores[:5]]
