@@ -1,7 +1,7 @@
 """A bounded, repeatable sample of labelled rows for fitting on the driver.
 
-Rows are chosen by a hash of their id, so the sample is the same however the
-tables are partitioned, and it costs one pass over two narrow columns to size
+Rows are chosen by a hash of their id and text, so the sample is the same however the
+tables are partitioned, ids that repeat with other texts are as many rows, and it costs one pass to size
 it.  ``bound`` limits the rows and ``byte_bound`` the text that reach the driver.
 """
 
@@ -31,26 +31,25 @@ def sample(documents: DataFrame, strata: DataFrame, stratum: str, bound: int, by
     """About ``bound`` rows of (doc_id, text, stratum) at most for each stratum value.
 
     ``strata`` has doc_id and stratum.  Rows with a null stratum, id or text are left out.
-    A stratum with fewer rows is taken whole.  Of a larger one, ids are taken by a hash up to
+    A stratum with fewer rows is taken whole; equal rows count once.  Of a larger one, rows are taken by a hash up to
     the share that keeps the rows near ``bound`` and their texts near ``byte_bound`` bytes; texts are
-    never cut.  Only ids and lengths are shuffled; the ids chosen, whose number is bounded, are
+    never cut.  Only ids, hashes and lengths are shuffled; those of the rows chosen, whose number is bounded, are
     broadcast to fetch the texts.
     """
-    key = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(_SPACE))
-    texts = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    texts = documents.select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit(17)).alias("_key")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     strata = strata.select("doc_id", stratum).where(F.col(stratum).isNotNull()).distinct()
-    narrow = texts.select("doc_id", F.octet_length("text").alias("_size")).join(strata, "doc_id")
+    narrow = texts.select("doc_id", "_key", F.octet_length("text").alias("_size")).join(strata, "doc_id").distinct()
     facts = narrow.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("b")).collect()
     keep = F.lit(False)
     for value, n, size in facts:
         share = min(1.0, bound / n, byte_bound / max(1, size))
-        keep |= (F.col(stratum) == F.lit(value)) & (key < F.lit(int(share * _SPACE) + 1))
-    chosen = narrow.where(keep).select("doc_id", stratum).distinct().toArrow()
+        keep |= (F.col(stratum) == F.lit(value)) & (F.pmod("_key", F.lit(_SPACE)) < F.lit(int(share * _SPACE) + 1))
+    chosen = narrow.where(keep).select("doc_id", "_key", stratum).toArrow()
     if not len(chosen):
-        return chosen.add_column(1, "text", pa.array([], pa.string()))
-    ids = documents.sparkSession.createDataFrame(chosen, strata.schema)
-    taken = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", stratum, key.alias("_key")).toArrow()
-    return taken.sort_by([("_key", "ascending"), ("doc_id", "ascending"), ("text", "ascending")]).drop_columns(["_key"])
+        return chosen.drop_columns(["_key"]).add_column(1, "text", pa.array([], pa.string()))
+    ids = documents.sparkSession.createDataFrame(chosen, narrow.select("doc_id", "_key", stratum).schema)
+    taken = texts.join(F.broadcast(ids), ["doc_id", "_key"]).dropDuplicates(["doc_id", "_key", stratum]).select("doc_id", "text", stratum, F.pmod("_key", F.lit(_SPACE)).alias("_at")).toArrow()
+    return taken.sort_by([("_at", "ascending"), ("doc_id", "ascending"), ("text", "ascending"), (stratum, "ascending")]).drop_columns(["_at"])
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:

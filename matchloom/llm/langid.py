@@ -7,10 +7,10 @@ bytes in all wins.  The score is a confidence from the margin to the runner-up,
 ``keep_known`` rejects texts whose margin is narrow.
 
 Scale.  Dictionaries hold at most ``DICTIONARY_BYTES`` each and the sample is sized by one
-aggregate over two narrow columns; the number of languages is limited by ``MOST_LANGUAGES``, the most
-frequent first.  Prediction is one map pass over the whole texts.
+aggregate over two narrow columns.  Every language with a text to learn from gets a dictionary; more than
+``MOST_LANGUAGES``, which workers could not hold, are an error.  Prediction is one map pass over the whole texts.
 
-Edge cases.  Null text, and text without a letter, give ``und`` and score 0.  A null id is never
+Edge cases.  Null text, and text without a letter (digits, marks and other numerals are none), give ``und`` and score 0.  A null id is never
 held out and never learned from.  Ties go to the more frequent language, then to the one that sorts first.  With
 nothing to learn from, every text is ``und``.  Repeated rows are predicted alike; other columns are ignored.
 """
@@ -32,8 +32,10 @@ from . import labelled, shared
 
 UNKNOWN = "und"
 DICTIONARY_BYTES = 48 << 10
-SAMPLE_ROWS, SAMPLE_BYTES = 600, 2 << 20
-MOST_LANGUAGES = 256
+SAMPLE_ROWS, SAMPLE_BYTES = 400, 2 << 20
+#: Bytes of a text that go into a dictionary in one piece, at least.
+WINDOW = 96
+MOST_LANGUAGES = 4096
 SEGMENT_BYTES = 2 << 10
 LEVEL = 6
 #: A margin of this share of the best size counts as certain.
@@ -43,7 +45,7 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def clean(text: str) -> bytes:
-    """Letters, lowered, in words with one blank between them."""
+    """Letters and numerals but digits, lowered, in words with one blank between them."""
     return _NOT_LETTERS.sub(" ", text).strip().lower().encode("utf-8", "surrogatepass")
 
 
@@ -59,17 +61,21 @@ def own_lines(texts: list[str], common: set[str]) -> list[str]:
 
 
 def dictionary(texts: list[str], limit: int = DICTIONARY_BYTES, common: set[str] = frozenset()) -> bytes:
-    """Raw content of an equal share of each text, so that no long text crowds out the others."""
+    """Raw content: pieces of the texts by turns, one of each text before the second of any, spread over the whole of each."""
     cleaned = [c for c in dict.fromkeys(map(clean, own_lines(texts, common))) if c]
-    if not cleaned:
-        return b""
-    share = max(256, limit // len(cleaned))
-    out = b"\n".join(c[:share] for c in cleaned)
-    for c in sorted(cleaned, key=len, reverse=True):  # few texts: fill up from the longest
-        if len(out) >= limit:
-            break
-        out += b"\n" + c[share : share + limit - len(out)]
-    return out[:limit]
+    share = max(WINDOW, limit // max(1, len(cleaned)))
+    out, size, turn, more = [], 0, 0, True
+    while more and size < limit:
+        more = False
+        for c in cleaned:
+            n = -(-len(c) // share)
+            if turn < n and size < limit:
+                at = (turn * 7919 + len(c)) % n * share
+                out.append(c[at : at + share])
+                size += len(out[-1]) + 1
+                more = True
+        turn += 1
+    return b"\n".join(out)[:limit].ljust(8, b"\n")  # the least that the library takes
 
 
 @lru_cache(maxsize=4)
@@ -84,11 +90,11 @@ def _compressors(dictionaries: tuple[tuple[str, bytes], ...]) -> list[zstandard.
 
 def predict(text: str | None, dictionaries: tuple[tuple[str, bytes], ...]) -> tuple[str, float, float]:
     """Language, score, and the margin as a share of the best size."""
-    body = clean(text) if text else b""
-    if not body or not dictionaries:
+    if not text or not dictionaries or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0, 0.0
     if len(dictionaries) == 1:
         return dictionaries[0][0], 1.0, 1.0
+    body = clean(text)
     cut = [body[k : k + SEGMENT_BYTES] for k in range(0, len(body), SEGMENT_BYTES)]
     sizes = [sum(len(c.compress(part)) for part in cut) for c in _compressors(dictionaries)]
     first, second = np.argsort(sizes, kind="stable")[:2]
@@ -99,16 +105,17 @@ def predict(text: str | None, dictionaries: tuple[tuple[str, bytes], ...]) -> tu
 def fit(documents: DataFrame, folds: int = 4, held: int = 2) -> tuple[tuple[str, bytes], ...]:
     """One dictionary for each language of the documents outside the held-out fold, the most frequent language first."""
     known = documents.select("doc_id", "lang").where((labelled.fold(F.col("doc_id"), folds) != held) & F.col("lang").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
     if not counts:
         return ()
-    known = known.where(F.col("lang").isin([r["lang"] for r in counts]))
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     texts: dict[str, list[str]] = {}
     rows = labelled.sample(documents, known, "lang", SAMPLE_ROWS, SAMPLE_BYTES)
     for lang, text in zip(rows["lang"].to_pylist(), rows["text"].to_pylist()):
         texts.setdefault(lang, []).append(text)
     common = shared_lines([t for group in texts.values() for t in group])
-    return tuple((lang, raw) for lang in [r["lang"] for r in counts] if (group := texts.get(lang)) and len(raw := dictionary(group, common=common)) >= 8)
+    return tuple((r["lang"], dictionary(texts[r["lang"]], common=common)) for r in counts if r["lang"] in texts)
 
 
 def identify(documents: DataFrame, dictionaries: tuple[tuple[str, bytes], ...], folds: int = 4, held: int = 2) -> DataFrame:
