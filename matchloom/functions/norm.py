@@ -28,7 +28,6 @@ def _folding() -> tuple[str, str]:
 
 #: Letters that equal an ASCII letter without their accent, and those ASCII letters.
 ACCENTED_LETTERS, PLAIN_LETTERS = _folding()
-_FOLD = str.maketrans(ACCENTED_LETTERS, PLAIN_LETTERS)
 
 
 def text(value: Column | str) -> Column:
@@ -45,11 +44,6 @@ def norm(s: Column) -> Column:
     return F.rtrim(fold_accents(s.cast("string")))
 
 
-def norm_py(s: str) -> str:
-    """The same in Python, for use inside Arrow functions."""
-    return s.translate(_FOLD).rstrip(" ")
-
-
 def same(a: Column, b: Column) -> Column:
     """Equality under the rule; null if either side is."""
     return F.collate(a.cast("string"), COLLATION) == F.collate(b.cast("string"), COLLATION)

@@ -64,14 +64,14 @@ def _low_levenshtein(a: Column, b: Column, t: int) -> Column:
     return _one_null(a, b, t, near, F.lit(True))
 
 
-def _normalised(a: Column, b: Column, threshold: Number, measure: Callable[[Column, Column], Column]) -> Column:
+def _normalised(a: Column, b: Column, threshold: Number, measure: Callable[[Column, Column, Column], Column]) -> Column:
     t = Decimal(str(threshold))
     if t <= 0:
         return _equal(a, b) if t == 0 else F.lit(False)
     if t >= 1:
         return F.lit(True)
     longer = F.when(_size(a) < _size(b), _size(b)).otherwise(_size(a))  # unknown for a null first text
-    return _sure(measure(a, b) <= F.lit(t) * longer)
+    return _sure(measure(a, b, F.floor(F.lit(t) * longer)) <= F.lit(t) * longer)
 
 
 def levenshtein_normalised(a: Column | str, b: Column | str, threshold: Number) -> Column:
@@ -103,7 +103,7 @@ def _low_normalised(a: Column, b: Column, threshold: Number, within: Callable[[C
 
 def osa(a: Column | str, b: Column | str, threshold: Number) -> Column:
     """Optimal string alignment distance up to the threshold."""
-    return _sure(distance.osa_distance(a, b) <= int(threshold))
+    return _sure(distance.osa_distance(a, b, F.lit(int(threshold))) <= int(threshold))
 
 
 def osa_low(a: Column | str, b: Column | str, threshold: Number) -> Column:
@@ -111,9 +111,7 @@ def osa_low(a: Column | str, b: Column | str, threshold: Number) -> Column:
     a, b, t = text(a), text(b), int(threshold)
     if t <= 0:
         return _equal(a, b) if t == 0 else F.lit(False)
-    banded = distance.pairwise(lambda x, y: distance.osa(x, y, t), "int")
-    close = F.abs(_size(a) - _size(b)) <= t
-    near = F.when(close, banded(F.when(close, a), F.when(close, b)) <= t)
+    near = distance.osa_distance(a, b, F.lit(t)) <= t
     return _one_null(a, b, t, near, F.lit(True))
 
 
@@ -124,12 +122,12 @@ def osa_normalised(a: Column | str, b: Column | str, threshold: Number) -> Colum
 
 def osa_low_normalised(a: Column | str, b: Column | str, threshold: Number) -> Column:
     """The same with the threshold cut to whole edits; a null first text matches everything but null."""
-    return _low_normalised(text(a), text(b), threshold, lambda x, y, t: distance.osa_distance(x, y) <= t)
+    return _low_normalised(text(a), text(b), threshold, lambda x, y, t: distance.osa_distance(x, y, t) <= t)
 
 
 def damerau_levenshtein(a: Column | str, b: Column | str, threshold: Number) -> Column:
     """Damerau-Levenshtein distance up to the threshold."""
-    return _sure(distance.damerau_levenshtein_distance(a, b) <= int(threshold))
+    return _sure(distance.damerau_levenshtein_distance(a, b, F.lit(int(threshold))) <= int(threshold))
 
 
 def damerau_levenshtein_normalised(a: Column | str, b: Column | str, threshold: Number) -> Column:
@@ -139,12 +137,12 @@ def damerau_levenshtein_normalised(a: Column | str, b: Column | str, threshold:
 
 def jaro(a: Column | str, b: Column | str, threshold: Number) -> Column:
     """Jaro similarity of at least the threshold."""
-    return _sure(distance.jaro_similarity(a, b) >= Decimal(str(threshold)))
+    return _sure(distance.jaro_similarity(a, b, F.lit(Decimal(str(threshold)))) >= Decimal(str(threshold)))
 
 
 def jaro_winkler(a: Column | str, b: Column | str, threshold: Number) -> Column:
     """Jaro-Winkler similarity of at least the threshold."""
-    return _sure(distance.jaro_winkler_similarity(a, b) >= Decimal(str(threshold)))
+    return _sure(distance.jaro_winkler_similarity(a, b, least=float(threshold)) >= Decimal(str(threshold)))
 
 
 PREDICATES: dict[str, Callable[..., Column]] = {

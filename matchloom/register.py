@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions import distance, strings
-from .functions.norm import ACCENTED_LETTERS, COLLATION, PLAIN_LETTERS, norm_py
+from .functions.norm import ACCENTED_LETTERS, COLLATION, PLAIN_LETTERS
 
 _EQUAL = f"(a COLLATE {COLLATION} = b COLLATE {COLLATION})"
 _FOLD = f"rtrim(translate({{}}, '{ACCENTED_LETTERS}', '{PLAIN_LETTERS}'))"
@@ -65,9 +65,9 @@ SQL_FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "fn_string_split_item": ("string STRING, separator STRING DEFAULT ',', item INT DEFAULT 0", "STRING", r"coalesce(get(split(string, concat(r'\Q', separator, r'\E'), -1), greatest(item, 0)), '')"),
     "fn_gradient_hex": ("target DOUBLE, lower_ DOUBLE, upper_ DOUBLE, hexmin STRING, hexmax STRING", "STRING", f"CASE WHEN lower_ = upper_ THEN hexmin ELSE concat('#', {_channel(1)}, {_channel(3)}, {_channel(5)}) END"),
     "fn_levenshtein_distance": (_TWO, "INT", _measure(f"levenshtein({_A}, {_B})")),
-    "fn_osa_distance": (_TWO, "INT", _measure("matchloom_osa(a, b)")),
-    "fn_damerau_levenshtein_distance": (_TWO, "INT", _measure("matchloom_damerau(a, b)")),
-    "fn_jaro_similarity": (_TWO, "DECIMAL(9,8)", f"CAST(CASE WHEN {_EQUAL} THEN 1 ELSE coalesce(matchloom_jaro(a, b), 0) END AS DECIMAL(9,8))"),
+    "fn_osa_distance": (_TWO, "INT", _measure(f"matchloom_osa({_A}, {_B})")),
+    "fn_damerau_levenshtein_distance": (_TWO, "INT", _measure(f"matchloom_damerau({_A}, {_B})")),
+    "fn_jaro_similarity": (_TWO, "DECIMAL(9,8)", f"CAST(CASE WHEN {_EQUAL} THEN 1 ELSE coalesce(matchloom_jaro({_A}, {_B}), 0) END AS DECIMAL(9,8))"),
     "fn_jaro_winkler_similarity": (
         f"{_TWO}, scaling DOUBLE DEFAULT 0.1, max_prefix INT DEFAULT 4",
         "DECIMAL(9,8)",
@@ -92,13 +92,6 @@ SQL_FUNCTIONS: dict[str, tuple[str, str, str]] = {
 }
 
 
-def _of_pairs(function: Callable[[str, str], object]) -> Callable[[pd.Series, pd.Series], pd.Series]:
-    def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else function(norm_py(x), norm_py(y)) for x, y in zip(left, right)], dtype=object)
-
-    return run
-
-
 def _of_values(function: Callable[[str], object]) -> Callable[[pd.Series], pd.Series]:
     def run(values: pd.Series) -> pd.Series:
         return values.map(function, na_action="ignore")
@@ -108,9 +101,8 @@ def _of_values(function: Callable[[str], object]) -> Callable[[pd.Series], pd.Se
 
 def register(spark: SparkSession) -> list[str]:
     """Registers all; returns their names."""
-    for name, function, kind in (("osa", distance.osa, "int"), ("damerau", distance.damerau, "int"), ("jaro", distance.jaro, "double")):
-
-        spark.udf.register(f"matchloom_{name}", F.pandas_udf(_of_pairs(function), kind))
+    for name, function, kind in (("osa", distance.osa_many, "int"), ("damerau", distance.damerau_many, "int"), ("jaro", distance.jaro_many, "double")):
+        spark.udf.register(f"matchloom_{name}", distance.batched(function, kind))
     for name, function in (("fn_title_case", strings.title_text), ("fn_json_formatter", strings.json_text)):
         spark.udf.register(name, F.pandas_udf(_of_values(function), "string"))
     for name, (parameters, kind, body) in SQL_FUNCTIONS.items():

@@ -1,8 +1,10 @@
 """Golden values, the matrix of nulls, and properties of the functions."""
 
+import random
 from datetime import date
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,6 +14,8 @@ from matchloom import functions as fn
 from matchloom.functions import distance, patterns
 from matchloom.functions.strings import json_text, title_text
 
+from . import one_by_one
+
 
 def values(spark, *columns):
     return list(spark.range(1).select(*(c.alias(f"c{k}") for k, c in enumerate(columns))).first())
@@ -92,12 +96,39 @@ def plain(a, b):
 @settings(max_examples=400, deadline=None)
 @given(words, words, st.integers(0, 6))
 def test_distance_properties(a, b, most):
-    o, d = distance.osa(a, b), distance.damerau(a, b)
-    assert o == distance.osa(b, a) and d == distance.damerau(b, a)
+    o, d = one_by_one.osa(a, b), one_by_one.damerau(a, b)
+    assert o == one_by_one.osa(b, a) and d == one_by_one.damerau(b, a)
     assert d <= o <= plain(a, b)
     assert (o == 0) == (a == b) == (d == 0)
-    assert distance.osa(a, b, most) == min(o, most + 1)
-    assert 0 <= distance.jaro(a, b) <= 1 and distance.jaro(a, a) == 1
+    assert one_by_one.osa(a, b, most) == min(o, most + 1)
+    assert 0 <= one_by_one.jaro(a, b) <= 1 and one_by_one.jaro(a, a) == 1
+
+
+@pytest.mark.parametrize("cells", [distance.CELLS, 60])
+def test_many_pairs_like_one_by_one(monkeypatch, cells):
+    monkeypatch.setattr(distance, "CELLS", cells)
+    rng = random.Random(3)
+    a = ["".join(rng.choice("abcd\0é😀") for _ in range(rng.choice([0, 1, 2, 5, 9, 30]))) for _ in range(1500)]
+    b = ["".join(x if rng.random() < 0.8 else rng.choice("abcd") for x in t)[rng.randint(0, 2) :] + rng.choice(["", "ba"]) if rng.random() < 0.7 else rng.choice(a) for t in a]
+    b = [t[1] + t[0] + t[2:] if len(t) > 1 and rng.random() < 0.3 else t for t in b]
+    most = np.array([rng.choice([0, 1, 2, 3, 5, 40]) for _ in a])
+    for many, one in ((distance.osa_many, one_by_one.osa), (distance.damerau_many, one_by_one.damerau), (distance.jaro_many, one_by_one.jaro)):
+        whole = [one(x, y) for x, y in zip(a, b)]
+        assert many(a, b).tolist() == pytest.approx(whole, abs=1e-12)
+        if many is not distance.jaro_many:
+            assert many(a, b, most).tolist() == [min(d, t + 1) for d, t in zip(whole, most.tolist())]
+        assert many([], []).tolist() == []
+
+
+def test_thresholds_do_not_change_verdicts(spark):
+    names = [None, "", "a", "ab", "ba", "abc", "martha", "marhta", "dwayne", "duane", "dixon", "dicksonx", "ca", "abcdefgh", "abdcefhg"]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    for t in (0, 1, 2, 4):
+        for n in ("osa", "damerau_levenshtein"):
+            assert pairs.where(fn.PREDICATES[n]("a", "b", t) != F.coalesce(getattr(fn, n if n != "osa" else "osa_distance", fn.damerau_levenshtein_distance)("a", "b") <= t, F.lit(False))).count() == 0
+    for t in ("0.2", "0.5", "0.9", "0.961111", "0.99"):
+        assert pairs.where(fn.PREDICATES["jaro"]("a", "b", t) != (fn.jaro_similarity("a", "b") >= Decimal(t))).count() == 0
+        assert pairs.where(fn.PREDICATES["jaro_winkler"]("a", "b", t) != (fn.jaro_winkler_similarity("a", "b") >= Decimal(t))).count() == 0
 
 
 def test_low_rules_equal_plain_rules(spark):
