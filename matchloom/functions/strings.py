@@ -153,13 +153,14 @@ def split_rows(string: Column | str, separator: str = ",") -> Column:
 
 
 def hexcode_to_rgb(code: Column | str) -> Column:
-    """Array of (rgb, value) for ``inline``: three rows; null values for null; no rows for codes of another length."""
+    """Array of (rgb, value) for ``inline``: three rows; null values for null; no rows for codes of another length; digits that are none are an error."""
     c = text(code)
-    full = F.when(F.length(c) == 4, F.regexp_replace(c, "#?([0-9A-Fa-f])", "$1$1")).otherwise(F.substring(c, 2, 6))
-    full = F.when(F.length(c) == 4, F.regexp_replace(F.substring(c, 2, 3), "(.)", "$1$1")).otherwise(full)
-    one = lambda name, at: F.struct(F.lit(name).alias("rgb"), F.conv(F.substring(full, at, 2), 16, 10).cast("int").alias("value"))
+    full = F.when(F.length(c) == 4, F.regexp_replace(F.substring(c, 2, 3), "([\\s\\S])", "$1$1")).otherwise(F.substring(c, 2, 6))
+    sound = F.when(full.rlike("^[0-9A-Fa-f]{6}$"), full).otherwise(F.raise_error(F.concat(F.lit("not a colour: "), c)).cast("string"))
+    one = lambda name, at: F.struct(F.lit(name).alias("rgb"), F.conv(F.substring(sound, at, 2), 16, 10).cast("int").alias("value"))
+    nothing = F.array(*(F.struct(F.lit(name).alias("rgb"), F.lit(None).cast("int").alias("value")) for name in "rgb"))
     rows = F.array(one("r", 1), one("g", 3), one("b", 5))
-    return F.when(c.isNull() | F.length(c).isin(4, 7), rows).otherwise(F.array().cast("array<struct<rgb:string,value:int>>"))
+    return F.when(c.isNull(), nothing).when(F.length(c).isin(4, 7), rows).otherwise(F.array().cast("array<struct<rgb:string,value:int>>"))
 
 
 def _channel(code: Column, at: int) -> Column:

@@ -6,6 +6,6 @@ from .mashing import mash
 from .matching import Rule, match
 from .render import select_to_html, select_to_html_colour
 from .reshape import string_table_split, transpose
-from .timer import Timer, print_parts, report
+from .timer import Timer, print_parts, printed_parts, report
 
-__all__ = ["Field", "Rule", "Timer", "db_creator", "definitions", "mash", "match", "print_parts", "report", "select_to_html", "select_to_html_colour", "string_table_split", "structure_compliance", "transpose"]
+__all__ = ["Field", "Rule", "Timer", "db_creator", "definitions", "mash", "match", "print_parts", "printed_parts", "report", "select_to_html", "select_to_html_colour", "string_table_split", "structure_compliance", "transpose"]

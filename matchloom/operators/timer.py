@@ -6,9 +6,12 @@ import hashlib
 from collections.abc import Iterator
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.norm import text
+
 LOG = "session_id string, process string, instance_id long, task_start timestamp_ntz, instance_start timestamp_ntz, instance_end timestamp_ntz, batch_id string, plan_id string"
 
 
@@ -62,7 +65,8 @@ def report(log: DataFrame) -> DataFrame:
     for by, of in (("plan", "task_duration"), ("batch", "task_duration"), ("process", "instance_duration")):
         key = by if by == "process" else f"{by}_id"
         facts = timed.groupBy("session_id", key).agg(F.min(of).alias(f"{by}_min"), (F.sum(of) / F.count(of)).cast("long").alias(f"{by}_avg"), F.max(of).alias(f"{by}_max"))
-        timed = timed.join(facts, ["session_id", key])
+        facts = facts.withColumnsRenamed({"session_id": "__session", key: "__key"})  # nulls are groups of their own
+        timed = timed.join(facts, timed["session_id"].eqNullSafe(facts["__session"]) & timed[key].eqNullSafe(facts["__key"])).drop("__session", "__key")
     return timed
 
 
@@ -78,3 +82,12 @@ def print_parts(string: str, most: int = 4000) -> Iterator[str]:
         else:
             yield part[:at]
             string = string[at + 1 :]
+
+
+def printed_parts(string: Column | str) -> Column:
+    """The parts of each text, in order; null for null."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: list(print_parts(x)), na_action="ignore")
+
+    return F.pandas_udf(run, "array<string>")(text(string))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..functions.predicates import PREDICATES
 from ..functions.strings import MINOR_WORDS
-from ..operators import Field, mash, match, report, select_to_html, select_to_html_colour, string_table_split, structure_compliance, transpose
+from ..operators import Field, definitions, mash, match, printed_parts, report, select_to_html, select_to_html_colour, string_table_split, structure_compliance, transpose
 from ..sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,6 +113,45 @@ def hexcode_to_rgb(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.inline(fn.hexcode_to_rgb(code)))
 
 
+_SHORT = "printf('%03x', (p_partkey * 37) % 4096)"
+
+
+@_add("hexcode_short", " UNION ALL ".join(f"SELECT p_partkey, '{c}' AS rgb, ('0x' || substr({_SHORT}, {k}, 1) || substr({_SHORT}, {k}, 1))::INT AS value FROM part WHERE p_partkey % 3 <> 0" for k, c in ((1, "r"), (2, "g"), (3, "b"))))
+def hexcode_short(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of three digits, and codes of another length, which give no rows."""
+    code = F.concat(F.when(F.col("p_partkey") % 3 == 0, "#1").otherwise("#"), F.lower(F.lpad(F.hex((F.col("p_partkey") * 37) % 4096), 3, "0")))
+    return table(spark, d, "part").select("p_partkey", F.inline(fn.hexcode_to_rgb(code)))
+
+
+_PAIR = "regexp_full_match(rest[1:2], '[A-Z][A-Z]')"
+
+
+@_add(
+    "extract_windows",
+    f"""WITH RECURSIVE w AS (SELECT DISTINCT o_orderpriority AS s, o_orderpriority AS rest, '' AS kept FROM orders
+    UNION ALL SELECT s, CASE WHEN {_PAIR} THEN rest[2:] ELSE rest[3:] END, CASE WHEN {_PAIR} THEN kept || rest[1:1] ELSE kept END FROM w WHERE rtrim(rest, ' ') <> '')
+    SELECT o_orderkey, kept || rest AS capitals FROM orders JOIN w ON s = o_orderpriority WHERE rtrim(rest, ' ') = ''""",
+)
+def extract_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of two characters."""
+    return table(spark, d, "orders").select("o_orderkey", fn.extract_pattern("o_orderpriority", "[A-Z][A-Z]", 2).alias("capitals"))
+
+
+@_add("replace_settled", "SELECT doc_id, md5(regexp_replace(text, 'e+n', 'n', 'g')) AS text_md5 FROM documents")
+def replace_settled(spark: SparkSession, d: str) -> DataFrame:
+    """Until nothing changes."""
+    return table(spark, d, "documents").select("doc_id", F.md5(fn.replace_all("text", "en", "n", strict=False)).alias("text_md5"))
+
+
+_NESTED = "'{' || chr(10) || chr(9) || '\"a\": [' || chr(10) || chr(9) || chr(9) || event_id || ',' || chr(10) || chr(9) || chr(9) || '{' || chr(10) || chr(9) || chr(9) || chr(9) || '\"b\": \"' || event_type || '\"' || chr(10) || chr(9) || chr(9) || '}' || chr(10) || chr(9) || '],'"
+
+
+@_add("json_nested", f"SELECT event_id, {_NESTED} || chr(10) || chr(9) || '\"p\": ' || replace(replace(props, '{{', '{{' || chr(10) || chr(9) || chr(9)), '}}', chr(10) || chr(9) || '}}') || chr(10) || '}}' AS props FROM events")
+def json_nested(spark: SparkSession, d: str) -> DataFrame:
+    nested = F.concat(F.lit('{"a" : [ '), F.col("event_id").cast("string"), F.lit(',\n{"b":"'), "event_type", F.lit('"}],\t"p":'), "props", F.lit(" }"))
+    return table(spark, d, "events").select("event_id", fn.json_formatter(nested).alias("props"))
+
+
 @_add("json_formatter", r"SELECT event_id, replace(replace(props, '{', '{' || chr(10) || chr(9)), '}', chr(10) || '}') AS props FROM events")
 def json_formatter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", fn.json_formatter("props").alias("props"))
@@ -212,6 +252,21 @@ def match_sizes(spark: SparkSession, d: str) -> DataFrame:
     return match(table(spark, d, "part"), "p_partkey", "p_brand", "p_retailprice DESC", "p_size,exact,1;p_name,levenshtein_low,5")
 
 
+_SPELLINGS = ("Éa", "Ea", "Ea ", "Ob")
+
+
+@_add(
+    "match_spellings",
+    f"""WITH n AS (SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) AS pid, c_custkey AS id, lpad(c_nationkey::VARCHAR, 2, '0') || CASE c_custkey % 4 WHEN 3 THEN 'Ob' ELSE 'Ea' END AS block, c_mktsegment FROM customer),
+    k AS (SELECT block, row_number() OVER (ORDER BY block) AS partition FROM (SELECT DISTINCT block FROM n))
+    SELECT k.partition, l.pid AS l_pid, r.pid AS r_pid, l.id AS l_id, r.id AS r_id FROM n l JOIN n r ON l.block = r.block AND l.pid < r.pid AND l.c_mktsegment = r.c_mktsegment JOIN k ON k.block = l.block""",
+)
+def match_spellings(spark: SparkSession, d: str) -> DataFrame:
+    """Blocking keys that differ in accents and trailing blanks only."""
+    spelling = F.element_at(F.array(*map(F.lit, _SPELLINGS)), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return match(table(spark, d, "customer"), "c_custkey", F.concat(F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), spelling), "c_acctbal ASC", "c_mktsegment,exact,1")
+
+
 _NEAR = "jaro_similarity(l.c_name, r.c_name)"
 _ALIKE = "CASE " + " ".join(f"WHEN left(l.c_name, {k}) = left(r.c_name, {k}) THEN {k}" for k in (4, 3, 2, 1)) + " ELSE 0 END"
 
@@ -244,6 +299,17 @@ def match_and_mash(spark: SparkSession, d: str) -> DataFrame:
     return mash(match_parts(spark, d), master_key="l_id", duplicate_key="r_id", update_columns=["l_pid"], priority="l_pid ASC")
 
 
+def _rounds_from(n: int) -> str:
+    """The same where only the rows of a source rewrite others."""
+    return _rounds(n).replace("SELECT *, row_number() OVER (ORDER BY l_pid, l_id, r_id) AS p FROM m", "SELECT *, row_number() OVER (ORDER BY l_pid, l_id, r_id) AS p, l_id % 2 AS source FROM m").replace("x ON x.p < y.p", "x ON x.source = 1 AND x.p < y.p").replace("r_id, y.p FROM", "r_id, y.p, y.source FROM")
+
+
+@_add("mash_from_source", f"{_MATCHED}, {_rounds_from(8)}")
+def mash_from_source(spark: SparkSession, d: str) -> DataFrame:
+    pairs = match_parts(spark, d)
+    return mash(pairs.where("l_id % 2 = 0"), pairs.where("l_id % 2 = 1"), master_key="l_id", duplicate_key="r_id", update_columns=["l_pid"], priority="l_pid ASC")
+
+
 # structure, shape, reports
 
 
@@ -272,6 +338,12 @@ def table_split(spark: SparkSession, d: str) -> DataFrame:
     return string_table_split(spark, "Boss,Location;Massive Moss Charger,Greenpath;Hornet,;False Knight,Crossroads")
 
 
+@_add("string_table_split_wide", "SELECT * FROM (VALUES ('a;b', 'c'), ('', '|')) AS t(Column1, Column2)")
+def table_split_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Separators of several characters, no header."""
+    return string_table_split(spark, "a;b||c;;|||", "||", ";;", header=False)
+
+
 _NATIONS = ", ".join(f"max(CASE WHEN n_nationkey = {k} THEN {{}} END) AS \"{k}\"" for k in range(25))
 
 
@@ -327,7 +399,7 @@ def html_colour(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LOG = """WITH e AS (SELECT *, min(ts) OVER (PARTITION BY user_id) AS t0, coalesce(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), min(ts) OVER (PARTITION BY user_id)) AS s0 FROM events),
-x AS (SELECT user_id::VARCHAR AS session_id, (user_id % 5)::VARCHAR AS plan_id, (user_id % 10)::VARCHAR AS batch_id, coalesce(event_type, '') AS process,
+x AS (SELECT user_id::VARCHAR AS session_id, nullif(user_id % 5, 2)::VARCHAR AS plan_id, nullif(user_id % 10, 3)::VARCHAR AS batch_id, coalesce(event_type, '') AS process,
   row_number() OVER (PARTITION BY user_id, t0 ORDER BY s0, event_id) AS process_instance, event_id AS instance_id, t0 AS task_start, max(ts) OVER (PARTITION BY user_id, t0) AS task_end, s0 AS instance_start, ts AS instance_end FROM e),
 y AS (SELECT *, ((epoch_us(task_end) - epoch_us(task_start)) // 1000)::BIGINT AS task_duration, ((epoch_us(instance_end) - epoch_us(instance_start)) // 1000)::BIGINT AS instance_duration FROM x)
 SELECT *, """ + ", ".join(
@@ -339,12 +411,52 @@ SELECT *, """ + ", ".join(
 
 @_add("timer_report", _LOG)
 def timer(spark: SparkSession, d: str) -> DataFrame:
-    """The events of each user as a task, each event ending an instance."""
+    """The events of each user as a task, each event ending an instance; some have no plan or batch."""
     own = Window.partitionBy("user_id")
     first = F.min("ts").over(own)
     log = table(spark, d, "events").select(
         F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("process"), F.col("event_id").alias("instance_id"), first.alias("task_start"),
         F.coalesce(F.lag("ts").over(own.orderBy("ts", "event_id")), first).alias("instance_start"), F.col("ts").alias("instance_end"),
-        (F.col("user_id") % 10).cast("string").alias("batch_id"), (F.col("user_id") % 5).cast("string").alias("plan_id"),
+        F.nullif(F.col("user_id") % 10, F.lit(3)).cast("string").alias("batch_id"), F.nullif(F.col("user_id") % 5, F.lit(2)).cast("string").alias("plan_id"),
     )
     return report(log)
+
+
+@_add(
+    "print_parts",
+    """WITH RECURSIVE s AS (SELECT doc_id, -1 AS part, replace(text, chr(13), chr(10)) AS rest, NULL::VARCHAR AS printed FROM documents WHERE text IS NOT NULL
+    UNION ALL SELECT doc_id, part + 1, CASE WHEN p = 0 THEN rest[4001:] ELSE rest[p + 1:] END, CASE WHEN p = 0 THEN rest[1:4000] ELSE rest[1:p - 1] END
+      FROM (SELECT *, CASE WHEN contains(rest[1:4000], chr(10)) THEN length(rest[1:4000]) - position(chr(10) IN reverse(rest[1:4000])) + 1 ELSE 0 END AS p FROM s) WHERE rtrim(rest, ' ') <> '')
+    SELECT doc_id, part::INT AS part, md5(printed) AS printed_md5 FROM s WHERE part >= 0""",
+)
+def printed(spark: SparkSession, d: str) -> DataFrame:
+    """Long texts in the parts that are printed one after another."""
+    return table(spark, d, "documents").select("doc_id", F.posexplode(printed_parts("text")).alias("part", "printed")).select("doc_id", "part", F.md5("printed").alias("printed_md5"))
+
+
+_ROWS = "string_agg(chr(9) || '(' || n_nationkey || ', ''' || n_name || ''', ' || n_regionkey || ')', ',' || chr(10) ORDER BY n_nationkey)"
+
+
+@_add(
+    "db_creator",
+    f"""SELECT kind, place, name, text FROM (VALUES
+      ('SC', 1, NULL, 'CREATE SCHEMA IF NOT EXISTS `made`'),
+      ('FN', 2, 'twice', 'CREATE OR REPLACE FUNCTION `made`.`twice`(n INT) RETURNS INT RETURN n * 2'),
+      ('U', 3, 'nations', 'CREATE TABLE IF NOT EXISTS `made`.`nations` (' || chr(10) || '  n_nationkey INT COMMENT ''the key'',' || chr(10) || '  n_name STRING,' || chr(10) || '  n_regionkey INT)' || chr(10) || 'USING parquet' || chr(10) || 'PARTITIONED BY (n_regionkey)' || chr(10) || 'COMMENT ''by region'''),
+      ('V', 5, 'first', 'CREATE OR REPLACE VIEW `made`.`first` AS SELECT n_name FROM made.nations WHERE n_nationkey = 0')) AS t(kind, place, name, text)
+    UNION ALL SELECT 'DT', 4, 'nations', 'INSERT INTO `made`.`nations` (`n_nationkey`, `n_name`, `n_regionkey`)' || chr(10) || 'VALUES' || chr(10) || {_ROWS} FROM nation""",
+)
+def created(spark: SparkSession, d: str) -> DataFrame:
+    """The definitions of a schema that is made for this and dropped again."""
+    made = f"made_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE SCHEMA {made}")
+    try:
+        spark.sql(f"CREATE TABLE {made}.nations (n_nationkey INT COMMENT 'the key', n_name STRING, n_regionkey INT) USING parquet PARTITIONED BY (n_regionkey) COMMENT 'by region'")
+        table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").write.insertInto(f"{made}.nations")
+        spark.sql(f"CREATE VIEW {made}.first AS SELECT n_name FROM {made}.nations WHERE n_nationkey = 0")
+        spark.sql(f"CREATE FUNCTION {made}.twice(n INT) RETURNS INT RETURN n * 2")
+        found = definitions(spark, [made], data=True)
+    finally:
+        spark.sql(f"DROP SCHEMA {made} CASCADE")
+    rows = [(x.kind, k, x.name, x.text.replace(made, "made")) for k, x in enumerate(found, 1)]
+    return spark.createDataFrame(rows, "kind string, place int, name string, text string")
