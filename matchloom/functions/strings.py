@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from datetime import date
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -41,19 +42,54 @@ def extract_pattern(string: Column | str, pattern: str = "[A..Z,0-9]", pattern_l
         tail = F.regexp_extract(s, "( *)$", 1)
         one = patterns.to_regex(pattern)
         return F.concat(F.regexp_replace(F.rtrim(s), f"(?!{one})[\\s\\S]", F.lit("")), tail)
-    exact = re.compile(f"(?:{patterns.to_regex(pattern)})\\Z")
+    return _mapped(lambda x: extract_pattern_text(x, pattern, pattern_length))(s)
 
-    def keep(x: str) -> str:
-        out, rest = [], x
-        while rest.rstrip(" "):
-            if exact.match(rest[:pattern_length]):
-                out.append(rest[0])
-                rest = rest[1:]
-            else:
-                rest = rest[pattern_length:]
-        return "".join(out) + rest
 
-    return _mapped(keep)(s)
+@lru_cache(maxsize=256)
+def _compiled(pattern: str) -> re.Pattern[str]:
+    return patterns.compiled(pattern)
+
+
+def extract_param_text(value: str, key: str, separator: str, include_key: bool) -> str | None:
+    """``extract_param`` of one string."""
+    found = _compiled(key).search(value)
+    if not found:
+        return None
+    end = value.find(separator, found.end()) if separator else -1
+    return value[found.start() if include_key else found.end() : end if end >= 0 else len(value)]
+
+
+def extract_pattern_text(value: str, pattern: str, pattern_length: int) -> str:
+    """``extract_pattern`` of one string."""
+    exact = _compiled(pattern)
+    out, at = [], 0
+    end = len(value.rstrip(" "))
+    while at < end:
+        if exact.fullmatch(value[at : at + pattern_length]):
+            out.append(value[at])
+            at += 1
+        else:
+            at += pattern_length
+    return "".join(out) + value[at:]
+
+
+def replace_text(value: str, old: str | None, new: str | None, strict: bool) -> str | None:
+    """``replace_all`` of one string."""
+    if not old:
+        return value
+    is_set = "]" in old
+    pattern = _compiled(old)
+    if new is None:
+        return None if pattern.search(value) else value
+    if strict and new in value:
+        return value
+    once = pattern.search(new) is not None
+    for _ in range(len(value) + 64):
+        after = pattern.sub(lambda _m: new, value) if is_set else value.replace(old, new)
+        if once or after == value:
+            return after
+        value = after
+    raise ValueError(f"replacing {old!r} by {new!r} does not settle")
 
 
 def _mapped(function):
@@ -89,17 +125,7 @@ def replace_all(string: Column | str, old: str | None, new: str | None, strict:
     elif old == new * 2 and len(new) == 1 and not is_set:  # collapsing runs
         done = F.regexp_replace(s, f"{re.escape(new)}{{2,}}", F.lit(new.replace("\\", "\\\\").replace("$", "\\$")))
     else:
-        pattern = re.compile(regex)
-
-        def settle(x: str) -> str:
-            for _ in range(len(x) + 64):
-                y = pattern.sub(lambda _m: new, x)
-                if y == x:
-                    return x
-                x = y
-            raise ValueError(f"replacing {old!r} by {new!r} does not settle")
-
-        done = _mapped(settle)(s)
+        done = _mapped(lambda x: replace_text(x, old, new, False))(s)
     return F.when(s.contains(new), s).otherwise(done) if strict else done
 
 

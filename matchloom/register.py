@@ -48,6 +48,10 @@ def _hexes(code: str, at: int) -> str:
     return f"CAST(conv(substring({wide}, {at}, 2), 16, 10) AS DOUBLE)"
 
 
+def _sound(value: str) -> str:
+    return f"CASE WHEN hexcode IS NULL OR NOT length(hexcode) IN (4, 7) THEN NULL WHEN substring(hexcode, 2) RLIKE '^[0-9A-Fa-f]+$' THEN {value} ELSE CAST(raise_error(concat('not a colour: ', hexcode)) AS DOUBLE) END"
+
+
 def _channel(at: int) -> str:
     a, b = _hexes("hexmin", at), _hexes("hexmax", at)
     return f"lpad(hex(pmod(CAST({a} + ({b} - {a}) * try_divide(target - lower_, upper_ - lower_) AS BIGINT), 256)), 2, '0')"
@@ -56,6 +60,9 @@ def _channel(at: int) -> str:
 #: name -> (parameters, type or RETURNS TABLE, body)
 SQL_FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "fn_age": ("start_date DATE, end_date DATE DEFAULT NULL", "INT", "CAST((CAST(date_format(coalesce(end_date, current_date()), 'yyyyMMdd') AS INT) - CAST(date_format(start_date, 'yyyyMMdd') AS INT)) / 10000 AS INT)"),
+    "fn_extract_param": ("string STRING, key STRING, separator STRING DEFAULT ';', include_key BOOLEAN DEFAULT false", "STRING", "matchloom_extract_param(string, key, separator, include_key)"),
+    "fn_extract_pattern": ("string STRING, pattern STRING DEFAULT '[A..Z,0-9]', pattern_length INT DEFAULT 1", "STRING", "matchloom_extract_pattern(string, pattern, pattern_length)"),
+    "fn_replace": ("old STRING, new STRING, strict BOOLEAN DEFAULT true, string STRING DEFAULT NULL", "STRING", "matchloom_replace(string, old, new, strict)"),
     "fn_fingerprint": ("string STRING", "STRING", r"regexp_replace(lower(string), r'[^\p{IsLatin}0-9]', '')"),
     "fn_start_case": (
         "string STRING",
@@ -87,7 +94,7 @@ SQL_FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "tf_hexcode_to_rgb": (
         "hexcode STRING",
         "TABLE (rgb STRING, value INT)",
-        "SELECT c, CAST(v AS INT) FROM (SELECT stack(3, " + ", ".join(f"'{c}', {_hexes('hexcode', k)}" for c, k in (("r", 1), ("g", 3), ("b", 5))) + ") AS (c, v)) WHERE hexcode IS NULL OR length(hexcode) IN (4, 7)",
+        "SELECT c, CAST(v AS INT) FROM (SELECT stack(3, " + ", ".join(f"'{c}', {_sound(_hexes('hexcode', k))}" for c, k in (("r", 1), ("g", 3), ("b", 5))) + ") AS (c, v)) WHERE hexcode IS NULL OR length(hexcode) IN (4, 7)",
     ),
 }
 
@@ -99,12 +106,26 @@ def _of_values(function: Callable[[str], object]) -> Callable[[pd.Series], pd.Se
     return run
 
 
+def _extract_param(string: pd.Series, key: pd.Series, separator: pd.Series, include_key: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or k is None else strings.extract_param_text(x, k, s or "", bool(i)) for x, k, s, i in zip(string, key, separator, include_key)], dtype=object)
+
+
+def _extract_pattern(string: pd.Series, pattern: pd.Series, pattern_length: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or p is None else strings.extract_pattern_text(x, p, int(n)) for x, p, n in zip(string, pattern, pattern_length)], dtype=object)
+
+
+def _replace(string: pd.Series, old: pd.Series, new: pd.Series, strict: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else strings.replace_text(x, a, b, bool(s)) for x, a, b, s in zip(string, old, new, strict)], dtype=object)
+
+
 def register(spark: SparkSession) -> list[str]:
     """Registers all; returns their names."""
     for name, function, kind in (("osa", distance.osa_many, "int"), ("damerau", distance.damerau_many, "int"), ("jaro", distance.jaro_many, "double")):
         spark.udf.register(f"matchloom_{name}", distance.batched(function, kind))
     for name, function in (("fn_title_case", strings.title_text), ("fn_json_formatter", strings.json_text)):
         spark.udf.register(name, F.pandas_udf(_of_values(function), "string"))
+    for name, function in (("extract_param", _extract_param), ("extract_pattern", _extract_pattern), ("replace", _replace)):  # their patterns may be columns
+        spark.udf.register(f"matchloom_{name}", F.pandas_udf(function, "string"))
     for name, (parameters, kind, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
     return ["fn_title_case", "fn_json_formatter", *SQL_FUNCTIONS]

@@ -45,3 +45,24 @@ def test_others(spark, pairs):
     assert rows("SELECT t.k, s.value FROM VALUES (1, 'x;y') AS t(k, v), LATERAL tf_string_split(t.v, ';') AS s") == [(1, "x"), (1, "y")]
     assert rows("SELECT * FROM tf_hexcode_to_rgb('#181848')") == [("r", 24), ("g", 24), ("b", 72)]
     assert rows("SELECT * FROM tf_hexcode_to_rgb('#12345')") == []
+
+
+def test_patterns_under_sql_names(spark, pairs):
+    one = lambda sql: spark.sql(f"SELECT {sql}").first()[0]
+    assert one("fn_extract_param('server=<server>;database=<database>', 'database_')") == "<database>"
+    assert one("fn_extract_pattern('Execute Order 66')") == "EO66" and one("fn_replace('  ', ' ', false, 'Three   spaces.')") == "Three spaces."
+    rows = spark.createDataFrame([(x,) for x in (None, "", "  ", "a=1;b=2", "b=;a=é", "12ab34 ", "ABCd EF", "aab ab", "x.y.z", "New Old")], "s string")
+    for key, separator, whole in (("[ab]=", ";", True), ("b=", ";", False), ("_=", "=", False), ("q", ";", False)):
+        assert rows.where(~F.expr(f"fn_extract_param(s, '{key}', '{separator}', {whole})").eqNullSafe(fn.extract_param("s", key, separator, whole))).collect() == []
+    for pattern, n in (("[A..Z,0-9]", 1), ("[A-Z][A-Z]", 2), ("[0-9][0-9]", 2), ("[^a]", 1), ("_b_", 3)):
+        assert rows.where(~F.expr(f"fn_extract_pattern(s, '{pattern}', {n})").eqNullSafe(fn.extract_pattern("s", pattern, n))).collect() == []
+    for old, new, strict in (("ab", "b", False), ("  ", " ", False), ("[^0-9]", "", False), ("Old", "New", True), ("a", "aa", False), (".", "$1", False), ("", "x", False), (None, "x", True), ("a", None, True)):
+        shown = ", ".join("NULL" if x is None else f"'{x}'" for x in (old, new))
+        assert rows.where(~F.expr(f"fn_replace({shown}, {strict}, s)").eqNullSafe(fn.replace_all("s", old, new, strict))).collect() == [], (old, new)
+
+
+def test_bad_colours_are_errors(spark, pairs):
+    for shown in ("SELECT * FROM tf_hexcode_to_rgb('#zzzzzz')", "SELECT * FROM tf_hexcode_to_rgb('#12g')"):
+        with pytest.raises(Exception, match="not a colour"):
+            spark.sql(shown).collect()
+    assert {r[1] for r in spark.sql("SELECT * FROM tf_hexcode_to_rgb(CAST(NULL AS STRING))").collect()} == {None}

@@ -1,0 +1,35 @@
+"""Reading and writing of tables."""
+
+import pytest
+
+from matchloom import sources
+
+
+def test_delimited_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Boss;Location\n1;Greenpath\n;\n")
+    (tmp_path / "b.csv").write_text("1,x y\n2,\n")
+    named = sources.delimited(spark, str(tmp_path / "a.csv"), ";")
+    assert named.dtypes == [("Boss", "string"), ("Location", "string")]
+    assert [tuple(r) for r in named.collect()] == [("1", "Greenpath"), (None, None)]
+    bare = sources.delimited(spark, str(tmp_path / "b.csv"), header=False)
+    assert bare.columns == ["Column1", "Column2"] and [tuple(r) for r in bare.collect()] == [("1", "x y"), ("2", None)]
+
+
+def test_tables_of_the_catalog(spark):
+    rows = spark.range(3).withColumnRenamed("id", "k")
+    try:
+        sources.save(rows, "kept_rows")
+        assert sorted(r.k for r in spark.table("kept_rows").collect()) == [0, 1, 2]
+        with pytest.raises(Exception, match="already exists"):
+            sources.save(rows, "kept_rows")
+        sources.save(rows, "kept_rows", "append")
+        assert spark.table("kept_rows").count() == 6
+    finally:
+        spark.sql("DROP TABLE IF EXISTS kept_rows")
+
+
+def test_parquet_scans_read_only_what_is_asked(spark, tmp_path):
+    spark.range(100).selectExpr("id as k", "id * 2 as v", "string(id) as t").write.parquet(str(tmp_path / "rows.parquet"))
+    found = sources.table(spark, str(tmp_path), "rows").where("k > 90").select("v")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 9 and "GreaterThan(k,90)" in plan and "struct<k:bigint,v:bigint>" in plan
