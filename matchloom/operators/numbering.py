@@ -1,28 +1,16 @@
-"""Global row numbers without moving all rows to one task, and lineage cuts that survive lost executors."""
+"""Global row numbers without moving all rows to one task, and orders from text."""
 
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_INDEX_BITS = 33  # as monotonically_increasing_id lays out its values
-
+from .tables import written
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows from the checkpoint folder that executors share; only a local session without one gets a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if configured := context.getConf().get("spark.checkpoint.dir"):
-            context.setCheckpointDir(configured)
-        elif context.master.startswith("local["):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="matchloom-"))
-        else:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return df.checkpoint()
+_INDEX_BITS = 33  # as monotonically_increasing_id lays out its values
 
 
 def order_by(priority: str | Column | Sequence[str | Column] | None) -> list[tuple[Column, bool]]:
@@ -72,12 +60,13 @@ def with_row_number(df: DataFrame, name: str, order: Sequence[Column]) -> DataFr
     spark = df.sparkSession
     ways = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.repartitionByRange(ways, *order).sortWithinPartitions(*order)
-    placed = cut(keyed.withColumn("__at", F.monotonically_increasing_id()))
+    placed, _ = written(keyed.withColumn("__at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("__at", _INDEX_BITS)
     before, total = [], 0
     for p, n in sorted((r[0], r[1]) for r in placed.groupBy(part.alias("p")).count().collect()):
         before.append((p, total))
         total += n
-    offset = F.create_map(*[F.lit(x) for pair in before for x in pair]) if before else F.create_map(F.lit(0), F.lit(0))
+    offsets = spark.createDataFrame(before, "__part long, __before long")  # as many rows as partitions
     index = F.col("__at").bitwiseAND(F.lit((1 << _INDEX_BITS) - 1))
-    return placed.withColumn(name, (F.element_at(offset, part.cast("int")) + index + 1).cast("long")).drop("__at")
+    joined = placed.join(F.broadcast(offsets), part == F.col("__part"))
+    return joined.withColumn(name, (F.col("__before") + index + 1).cast("long")).drop("__at", "__part", "__before")

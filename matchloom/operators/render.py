@@ -1,15 +1,14 @@
-"""Result sets as one cell of HTML.  They are for reports: more rows than ``MOST_ROWS`` are refused."""
+"""Result sets as one cell of HTML.  Rows are sorted, numbered and turned into text where they lie; the cell is joined last, by one task, as it is one string."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.strings import gradient_hex
-from .numbering import order_by, sort_columns
+from .numbering import order_by, sort_columns, with_row_number
 
-MOST_ROWS = 100_000
 #: The colours of the coloured table.
 MAIN, BLACK, WHITE, DARK_ACCENT, LIGHT_ACCENT, GREY = "#181848", "#000000", "#ffffff", "#541b8c", "#72abe3", "#cfcfcf"
 NEGATIVE, NULL, POSITIVE = "#8c1b1b", "#8c8c1b", "#1b8c1b"
@@ -20,12 +19,9 @@ def _is_number(df: DataFrame, name: str) -> bool:
 
 
 def _numbered(df: DataFrame, order: str | Column | list | None) -> DataFrame:
-    """Rows numbered from 0 in the order asked, ties by all columns; one cell is made of them in the end, so one task may sort them."""
+    """Rows numbered from 0 in the order asked, ties by all columns."""
     sort = sort_columns(order_by(order)) + [F.col(f"`{c}`").cast("string").asc() for c in df.columns]
-    few = df.limit(MOST_ROWS + 1)
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    held = few.withColumn("__n", F.row_number().over(Window.orderBy(*sort)) - 1).withColumn("__all", n)
-    return held.withColumn("__n", F.when(F.col("__all") <= MOST_ROWS, F.col("__n")).otherwise(F.raise_error(F.lit(f"more than {MOST_ROWS} rows")).cast("int"))).drop("__all")
+    return with_row_number(df, "__n", sort).withColumn("__n", F.col("__n") - 1)
 
 
 def _joined(rows: DataFrame) -> DataFrame:
