@@ -172,7 +172,7 @@ def _sweep(todo: DataFrame, gaps: DataFrame, low: int, high: int, ways: int) ->
     # what ranges leave: pieces take from the nearest range before theirs that has gaps left, the last left first
     left: dict[int, list[int]] = {}
     got = pieces = 0
-    for r in swept.groupBy("bucket").agg(F.sum(F.when(F.col("bracket") > 0, F.col("n")).otherwise(0)).alias("o"), F.sum(F.when(F.col("bracket") < 0, F.col("n")).otherwise(0)).alias("c"), F.count_if(F.col("bracket") < 0).alias("pieces")).toLocalIterator():
+    for r in swept.groupBy("bucket").agg(F.sum(F.when(F.col("bracket") > 0, F.col("n")).otherwise(0)).alias("o"), F.sum(F.when(F.col("bracket") < 0, F.col("n")).otherwise(0)).alias("c"), F.count_if(F.col("bracket") < 0).alias("pieces")).collect():
         left[r["bucket"]] = [r["o"], r["c"]]
         pieces += r["pieces"]
         got += r["pieces"] - r["c"]
@@ -196,14 +196,15 @@ def _sweep(todo: DataFrame, gaps: DataFrame, low: int, high: int, ways: int) ->
     closed = swept.where("bracket < 0")
     placed = closed.where("sequence >= 0").select("p", "sequence")
     open_pieces = closed.where("sequence < 0")
-    if runs:
-        run_table, from_table = spark.createDataFrame(runs, "bucket int, first long, use long, `from` int, top long"), spark.createDataFrame(taken, "bucket int, low long")
-        asked = open_pieces.join(F.broadcast(run_table), "bucket").where("at >= first and at < first + use").select("p", F.col("from").alias("bucket"), (F.col("top") - (F.col("at") - F.col("first"))).alias("k"))
-        given = swept.where("bracket > 0").join(F.broadcast(from_table), "bucket").where("at + n > low").select("bucket", "sequence", F.explode(F.sequence(F.greatest("at", "low"), F.col("at") + F.col("n") - 1)).alias("k"))
-        placed = placed.unionByName(asked.join(given, ["bucket", "k"]).select("p", "sequence"))
+    if not runs:  # all matches are within ranges, and written
+        return placed, open_pieces.select("p"), got, []
+    run_table, from_table = spark.createDataFrame(runs, "bucket int, first long, use long, `from` int, top long"), spark.createDataFrame(taken, "bucket int, low long")
+    asked = open_pieces.join(F.broadcast(run_table), "bucket").where("at >= first and at < first + use").select("p", F.col("from").alias("bucket"), (F.col("top") - (F.col("at") - F.col("first"))).alias("k"))
+    given = swept.where("bracket > 0").join(F.broadcast(from_table), "bucket").where("at + n > low").select("bucket", "sequence", F.explode(F.sequence(F.greatest("at", "low"), F.col("at") + F.col("n") - 1)).alias("k"))
+    placed = placed.unionByName(asked.join(given, ["bucket", "k"]).select("p", "sequence"))
     rest_table = spark.createDataFrame(rest, "bucket int, first long")
     todo = open_pieces.join(F.broadcast(rest_table), "bucket").where("at >= first").select("p")
-    return placed, todo, got, [path]
+    return shared.written(placed, "placed")[0], todo, got, [path]
 
 
 def _open(todo: DataFrame, step: int, capacity: int, ways: int) -> DataFrame:
@@ -232,7 +233,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     if clash := {"sequence_id", "offset"} & set(pieces.columns):
         raise ValueError(f"columns {sorted(clash)} are set by packing")
-    count = {r["length"]: r["count"] for r in pieces.groupBy("length").count().toLocalIterator()}
+    count = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     if odd := [n for n in count if n is None or not 0 < n <= capacity]:
         raise ValueError(f"lengths out of range: {odd[:5]}")
     held = pieces.select(F.struct(*(F.col(f"`{c}`") for c in pieces.columns)).alias("p"))
@@ -262,7 +263,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             temporary += paths
             if not got:
                 break
-            found, _ = shared.written(found, "placed")
             placed.append(found)
             left -= got
             used = found.groupBy("sequence").agg(F.sum("p.length").alias("used"))
@@ -290,7 +290,7 @@ def _kept(gaps: DataFrame, last: str | None) -> tuple[DataFrame, str, dict[int,
     table, path = shared.written(gaps, "gaps")
     if last:
         shared.drop(gaps.sparkSession, last)
-    return table, path, {r["room"]: r["count"] for r in table.groupBy("room").count().toLocalIterator()}
+    return table, path, {r["room"]: r["count"] for r in table.groupBy("room").count().collect()}
 
 
 def best_fit(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
