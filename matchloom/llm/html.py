@@ -359,7 +359,7 @@ def extract(pages: DataFrame, ratio: float = RATIO, least: int = LEAST, broadcas
     common, path = shared.written(templates(hosted, ratio, least), "templates")
     known: Broadcast | None = None
     if shared.size(spark, path) <= broadcast_bytes:
-        known = spark.sparkContext.broadcast({r["host"]: frozenset(r["trees"]) for r in common.toLocalIterator()})
+        known = spark.sparkContext.broadcast({r["host"]: frozenset(r["trees"]) for r in common.collect()})
         shared.drop(spark, path)
         asked = hosted.select("page_id", "url", "html", "host")
     else:
