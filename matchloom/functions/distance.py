@@ -21,7 +21,7 @@ from .norm import norm, same, text
 #: The distance between two nulls.
 NULLS = 2147483647
 #: Cells of all tables' rows that are worked on at a time.
-CELLS = 1 << 17
+CELLS = 1 << 15
 _FAR = 1 << 28
 
 
