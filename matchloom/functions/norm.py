@@ -35,8 +35,8 @@ def text(value: Column | str) -> Column:
 
 
 def fold_accents(s: Column) -> Column:
-    """Latin letters without accents."""
-    return F.translate(s, ACCENTED_LETTERS, PLAIN_LETTERS)
+    """Latin letters without accents; text of one byte a character has none."""
+    return F.when(F.octet_length(s) == F.length(s), s).otherwise(F.translate(s, ACCENTED_LETTERS, PLAIN_LETTERS))
 
 
 def norm(s: Column) -> Column:
