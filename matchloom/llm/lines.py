@@ -62,13 +62,16 @@ def clean(rows: DataFrame, host: Column, ratio: float = RATIO, least: int = LEAS
         hits = lines.join(common.select("__line_host", F.explode("__line_common").alias("__line")), ["__line_host", "__line"])
         hits = hits.groupBy("__line_host", "__line_row").agg(F.collect_list("__line").alias("__line_common"))
         found = hosted.join(hits, ["__line_host", "__line_row"], "left")
-    drop = lambda x: F.array_contains(F.col("__line_common"), F.xxhash64(F.trim(x))) & (F.trim(x) != "")
-    kept = F.filter(_lines(F.col("text")), lambda x: ~drop(x))
-    text = F.when(F.col("__line_common").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    # the page's own boilerplate first, by hashes of both sides: no line is looked up in a list as long as its host's
+    hits = F.array_intersect(_hashes(F.col("text")), F.col("__line_common"))
+    drop = lambda x, h: F.array_contains(h, F.xxhash64(F.trim(x))) & (F.trim(x) != "")
+    kept = F.transform(F.array(hits), lambda h: F.filter(_lines(F.col("text")), lambda x: ~drop(x, h)))[0]  # evaluated once a row
+    found = found.withColumn("__line_kept", F.when(F.col("__line_common").isNotNull(), kept))
+    text = F.when(F.col("__line_common").isNull(), F.col("text")).otherwise(F.array_join("__line_kept", "\n"))
     out = [text.alias("text") if c == "text" else F.col(aside[c]).alias(c) for c in names]
     if count:
         size = F.coalesce(F.size(_lines(F.col("text"))), F.lit(0))
-        out += [size.cast("long").alias("n_lines"), F.when(F.col("__line_common").isNull() | F.col("text").isNull(), 0).otherwise(size - F.size(kept)).cast("long").alias("n_dropped")]
+        out += [size.cast("long").alias("n_lines"), F.when(F.col("__line_common").isNull() | F.col("text").isNull(), 0).otherwise(size - F.size("__line_kept")).cast("long").alias("n_dropped")]
     return found.select(*out)
 
 
