@@ -6,7 +6,7 @@ between them; a longer word also counts by its stems (its first bytes), as infle
 compounded forms are rare one by one.  The model is learned online by FTRL-proximal: each coordinate has its own
 rate, from the sum of its squared gradients, and L1 leaves a coordinate at zero until the
 evidence exceeds the penalty.  What is sent to the executors is the short list of
-coordinates that are not zero.
+coordinates that are not zero.  Coordinates that a single row has are not learned.
 
 Scale.  Fitting is on the driver, over a sample bounded by ``ToxicityModel.SAMPLE``
 rows and ``SAMPLE_BYTES`` bytes of each class.  Weights are at most 2**20 float32 whatever the corpus.
@@ -67,6 +67,8 @@ class ToxicityModel:
     #: Bounds of the fitting sample: rows and bytes of text of each class.
     SAMPLE, SAMPLE_BYTES = 4000, 8 << 20
     RATE, BETA, L1, L2, ROUNDS = 0.5, 1.0, 8.0, 0.1, 10
+    #: Gradients below this change nothing.
+    LEAST = 1e-3
 
     @classmethod
     def fit(cls, data: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> ToxicityModel:
@@ -74,26 +76,35 @@ class ToxicityModel:
         n = len(labels)
         if not n:
             return cls(np.zeros(0, np.int32), np.zeros(0, np.float32), -30.0)
-        sets, sizes = [], []
+        sets, rows, seen = [], [], np.zeros(1 << _BITS, np.int32)
         for i, j in columnar.blocks(offsets):
             part, row = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             key = np.unique((row.astype(np.int64) << _BITS) | part)
             sets.append((key & ((1 << _BITS) - 1)).astype(np.int32))
-            sizes.append(np.bincount(key >> _BITS, minlength=j - i))
-        f, at = np.concatenate(sets), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
-        model = cls._learn(f, at, labels, np.arange(n))
+            rows.append(np.bincount(key >> _BITS, minlength=j - i))
+            seen += np.bincount(sets[-1], minlength=1 << _BITS).astype(np.int32)
+        often = seen > 1  # what only one row has says nothing of others
+        names, place = np.flatnonzero(often).astype(np.int32), (np.cumsum(often) - 1).astype(np.int32)
+        for k, (part, size) in enumerate(zip(sets, rows)):  # the coordinates in use, side by side
+            kept = often[part]
+            rows[k] = np.bincount(np.repeat(np.arange(len(size)), size)[kept], minlength=len(size))
+            sets[k] = place[part[kept]]
+        f, at = np.concatenate(sets), np.concatenate(([0], np.cumsum(np.concatenate(rows))))
+        del sets
+        model = cls._learn(f, at, labels, np.arange(n), names)
         unseen = np.arange(n) % 4 == 3
         if len(set(labels[unseen])) == 2:
-            part = cls._learn(f, at, labels, np.flatnonzero(~unseen))
-            table = np.zeros(1 << _BITS)
-            table[part.index] = part.weights
+            part = cls._learn(f, at, labels, np.flatnonzero(~unseen), names)
+            table = np.zeros(len(names))
+            table[np.searchsorted(names, part.index)] = part.weights
             margins = np.array([table[f[at[k] : at[k + 1]]].sum() + part.bias for k in np.flatnonzero(unseen)])
             model.slope, model.shift = labelled.logistic(margins, labels[unseen])
         return model
 
     @classmethod
-    def _learn(cls, f: np.ndarray, at: np.ndarray, labels: np.ndarray, rows: np.ndarray) -> ToxicityModel:
-        z, squares, rng = np.zeros(1 << _BITS), np.zeros(1 << _BITS), np.random.default_rng(11)
+    def _learn(cls, f: np.ndarray, at: np.ndarray, labels: np.ndarray, rows: np.ndarray, names: np.ndarray) -> ToxicityModel:
+        """From rows of coordinates, which are places in ``names``."""
+        z, squares, table, rng = np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names)), np.random.default_rng(11)
         bias, bias_squares = 0.0, 1.0
         # classes weigh the same in total, so that the curve is centred between them
         n, up = len(rows), max(1, int(labels[rows].sum()))
@@ -101,17 +112,19 @@ class ToxicityModel:
         for _ in range(cls.ROUNDS):
             for k in rng.permutation(rows):
                 x = f[at[k] : at[k + 1]]
-                w = cls._weights(z[x], squares[x])
+                w = table[x]
                 p = 1 / (1 + np.exp(-max(-30.0, min(30.0, float(w.sum()) + bias))))
                 g = (p - labels[k]) * weight[int(labels[k])]
-                old = np.sqrt(squares[x])
-                squares[x] += g * g
-                z[x] += g - (np.sqrt(squares[x]) - old) / cls.RATE * w
+                if abs(g) < cls.LEAST:
+                    continue
+                old = squares[x]
+                new = old + g * g
+                now = z[x] + g - (np.sqrt(new) - np.sqrt(old)) / cls.RATE * w
+                squares[x], z[x], table[x] = new, now, cls._weights(now, new)
                 bias_squares += g * g
                 bias -= g * cls.RATE / np.sqrt(bias_squares)
-        w = cls._weights(z, squares)
-        kept = np.flatnonzero(w).astype(np.int32)
-        return cls(kept, w[kept].astype(np.float32), float(bias))
+        kept = np.flatnonzero(table)
+        return cls(names[kept].astype(np.int32), table[kept].astype(np.float32), float(bias))
 
     @classmethod
     def _weights(cls, z: np.ndarray, squares: np.ndarray) -> np.ndarray:

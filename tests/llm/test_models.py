@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from helpers import DOCUMENTS, LABELS, ODD_TEXTS, corpus, odd_rows
 
-from matchloom.llm import columnar, langid, nbsvm, rules, toxicity
+import zstandard
+from matchloom.llm import columnar, labelled, langid, nbsvm, rules, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -151,3 +152,139 @@ def test_block_borders_do_not_matter(monkeypatch):
 
 
 columnar_blocks = columnar.blocks
+
+
+def utf8(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+
+
+def test_language_like_sizes_one_by_one(spark, tables):
+    docs, _, rows, _ = tables
+    dictionaries = langid.fit(docs)
+    out = {r.doc_id: r for r in langid.identify(docs, dictionaries).collect()}
+    for k, r in list(rows.items())[:60]:
+        words = re.findall(r"[^\W\d_]+", r[1].lower())
+        body = " ".join(words).encode()
+        sizes = []
+        for _, raw in dictionaries:
+            content = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            content.precompute_compress(level=langid.LEVEL)
+            total = 0
+            for at in range(0, len(body), langid.SEGMENT_BYTES):
+                total += len(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False).compress(body[at : at + langid.SEGMENT_BYTES]))
+            sizes.append(total)
+        assert out[k].lang_pred == dictionaries[sizes.index(min(sizes))][0]
+
+
+def test_texts_without_a_letter_are_unknown(spark, tables):
+    dictionaries = langid.fit(tables[0])
+    odd = ["½ ²", "①", "１２", "12 _ 3", "\u0301", "...", "漢", "ª", "x½"]
+    out = {r.doc_id: r for r in langid.identify(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), dictionaries).collect()}
+    assert [(out[k].lang_pred == "und", out[k].score == 0) for k in range(len(odd))] == [(True, True)] * 6 + [(False, False)] * 3
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    rows = [(k, f"word{chr(97 + k % 26)} " * 9, f"l{k}") for k in range(300)] + [(1000, "12", "digits"), (1001, None, "nothing")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = {f"l{k}" for k in range(300) if not is_held(k, 4, 2)}
+    assert {lang for lang, raw in langid.fit(docs) if len(raw) >= 8} - {"digits"} == known
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 5)
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(docs)
+
+
+def test_dictionary_holds_pieces_of_all_texts():
+    texts = [f"{chr(97 + k)}{chr(98 + k)} " * 2000 for k in range(20)]
+    raw = langid.dictionary(texts, 4000)
+    assert 3900 <= len(raw) <= 4000 and all(f"{chr(97 + k)}{chr(98 + k)}".encode() in raw for k in range(20))
+    assert langid.dictionary([]) == b"\n" * 8
+
+
+def test_descent_reaches_the_optimum(monkeypatch):
+    """Against projected gradients of the dual, on a small problem: both objectives meet."""
+    monkeypatch.setattr(nbsvm.QualityModel, "ROUNDS", 400)
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 40, 12)) for _ in range(30)]
+    labels = np.array([int(s.min() < 3) for s in sets])
+    ratio = nbsvm.QualityModel._ratios(sets, labels)
+    weights, bias = nbsvm.QualityModel._descend(sets, labels, ratio)
+    n, sign = len(sets), np.where(labels > 0, 1.0, -1.0)
+    x = np.zeros((n, 41))
+    for k, s in enumerate(sets):
+        x[k, s] = ratio[s]
+        x[k] /= max(1e-9, np.linalg.norm(x[k]))
+        x[k, 40] = 1
+    cost = np.where(labels > 0, n / (2 * labels.sum()), n / (2 * (n - labels.sum())))
+    w = np.append(np.divide(weights[:40], ratio[:40], out=np.zeros(40), where=ratio[:40] != 0), bias)
+    primal = 0.5 * w @ w + (cost * np.maximum(0, 1 - sign * (x @ w))).sum()
+    gram = (sign[:, None] * x) @ (sign[:, None] * x).T
+    alpha, step = np.zeros(n), 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(60_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, cost)
+    dual = alpha.sum() - 0.5 * alpha @ gram @ alpha
+    assert dual - 1e-6 <= primal <= 1.02 * dual
+
+
+def test_online_learning_like_plain_loops(monkeypatch):
+    """Row by row, in dictionaries."""
+    monkeypatch.setattr(toxicity.ToxicityModel, "L1", 0.5)
+    model = toxicity.ToxicityModel
+    rng = np.random.default_rng(2)
+    sets = [sorted(set(rng.integers(0, 50, 10).tolist()) | ({60} if k % 3 == 0 else set())) for k in range(40)]
+    labels = np.array([int(k % 3 == 0) for k in range(40)])
+    f, at = np.array([x for s in sets for x in s], np.int32), np.cumsum([0] + [len(s) for s in sets])
+    found = model._learn(f, at, labels, np.arange(40), np.arange(61))
+    z, squares, bias, bias_squares = {}, {}, 0.0, 1.0
+    weight = (40 / (2 * (40 - labels.sum())), 40 / (2 * labels.sum()))
+
+    def w(x):
+        if abs(z.get(x, 0.0)) <= model.L1:
+            return 0.0
+        return (np.sign(z[x]) * model.L1 - z[x]) / ((model.BETA + np.sqrt(squares[x])) / model.RATE + model.L2)
+
+    order = np.random.default_rng(11)
+    for _ in range(model.ROUNDS):
+        for k in order.permutation(np.arange(40)):
+            now = {x: w(x) for x in sets[k]}
+            g = (1 / (1 + np.exp(-(sum(now.values()) + bias))) - labels[k]) * weight[labels[k]]
+            if abs(g) < model.LEAST:
+                continue
+            for x in sets[k]:
+                old = squares.get(x, 0.0)
+                squares[x] = old + g * g
+                z[x] = z.get(x, 0.0) + g - (np.sqrt(squares[x]) - np.sqrt(old)) / model.RATE * now[x]
+            bias_squares += g * g
+            bias -= g * model.RATE / np.sqrt(bias_squares)
+    assert {int(i): float(v) for i, v in zip(found.index, found.weights)} == pytest.approx({x: w(x) for x in sorted(z) if w(x)}, rel=1e-5)
+    assert found.bias == pytest.approx(bias) and 60 in found.index.tolist()
+
+
+def test_forest_scores_like_one_walk_a_row(spark, tables):
+    docs, labels, rows, _ = tables
+    forest = rules.fit(docs, labels)
+    texts = [r[1] for r in list(rows.values())[:50]]
+    _, x = rules.statistics(*utf8(texts))
+
+    def walk(row):
+        total = forest.bias
+        for at in forest.roots:
+            while forest.left[at] != at:
+                at = forest.left[at] if row[forest.feature[at]] <= forest.threshold[at] else forest.right[at]
+            total += forest.value[at]
+        return 1 / (1 + np.exp(-total))
+
+    assert forest.scores(x).tolist() == pytest.approx([walk(r) for r in x])
+
+
+def test_labelled_rows_are_bounded(spark):
+    """Ids that repeat with other texts are as many rows, equal rows count once."""
+    docs = spark.createDataFrame([(k, f"t{k}") for k in range(20)] + [(77, f"x{k}") for k in range(3000)] + [(5, "same")] * 500, "doc_id long, text string").repartition(3)
+    strata = spark.createDataFrame([(k, "a") for k in range(20)] + [(77, "a"), (77, "b"), (None, "a"), (3, None)], "doc_id long, s string")
+    found = labelled.sample(docs, strata, "s", 100, 1 << 20)
+    counts = Counter(found["s"].to_pylist())
+    assert 50 <= counts["a"] <= 200 and 50 <= counts["b"] <= 200
+    assert len(set(zip(*(found[c].to_pylist() for c in found.column_names)))) == len(found)
+    assert found.equals(labelled.sample(docs.repartition(5), strata, "s", 100, 1 << 20))
+    assert labelled.sample(docs, strata, "s", 10**6, 1 << 30).num_rows == 2 * 3000 + 21
+    assert len(labelled.sample(docs, strata, "s", 10**6, 10_000)) < 6021

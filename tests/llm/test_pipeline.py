@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 from helpers import DOCUMENTS, LABELS, corpus, odd_rows
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
@@ -46,9 +47,20 @@ def test_stages(spark, tmp_path):
 def test_stages_on_odd_and_empty_rows(spark, tmp_path):
     rows = odd_rows(spark, "seen string")
     spark.createDataFrame([], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
-    for docs in (rows, rows.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, docs, str(tmp_path)).select("doc_id").distinct().count() <= docs.count()
+    everything = sorted(tuple(r) for r in rows.select(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit("null"))).collect())
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, str(tmp_path))
+        assert stage(spark, rows.limit(0), str(tmp_path)).collect() == []
+        if name == "packing":
+            assert Counter((r.doc_id,) for r in out.where("piece = 0").select("doc_id").collect()) == Counter((r.doc_id,) for r in rows.select("doc_id").collect())
+            continue
+        left = sorted(tuple(r) for r in out.select(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit("null"))).collect())
+        if name == "language":  # one language is known here, and all texts with a letter are in it
+            assert left == [x for x in everything if x[1] != "null" and any(map(str.isalpha, x[1]))]
+        elif name == "near_dedup":  # rows that repeat an id and text go, nothing else is alike
+            assert left == sorted([x for x in everything if x[0] < 0] + list({x for x in everything if x[0] >= 0}))
+        else:
+            assert left == everything
 
 
 @needs_data

@@ -121,8 +121,7 @@ LENGTHS = {
 }
 
 
-@pytest.mark.parametrize("task_rows", [1 << 18, 40])
-@pytest.mark.parametrize("kind", sorted(LENGTHS))
+@pytest.mark.parametrize(("kind", "task_rows"), [*((kind, 40) for kind in sorted(LENGTHS)), ("mixed", 1 << 18)])
 def test_packing_is_as_good_as_one_by_one(spark, monkeypatch, kind, task_rows):
     """Against best-fit decreasing, piece by piece; with small tasks, most matches are between ranges."""
     monkeypatch.setattr(packing, "TASK_ROWS", task_rows)
