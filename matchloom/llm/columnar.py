@@ -2,7 +2,7 @@
 
 Everything here works on the UTF-8 buffers that Spark hands to ``mapInArrow``:
 no Python string is made for a document unless a caller asks for it.  Memory is
-bounded by ``blocks``: work arrays cover a few MB of text, or one document
+bounded by ``blocks``: work arrays cover a few hundred KB of text, or one document
 where a single document is longer than that.
 """
 
@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that work arrays cover at a time.
-BLOCK_BYTES = 1 << 20
+#: Bytes of text that work arrays, which take some forty times as much, cover at a time.
+BLOCK_BYTES = 1 << 18
 
 #: Bytes that separate words: space, tab, LF, VT, FF, CR.
 WHITE = np.zeros(256, bool)
@@ -92,7 +92,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np
     lengths = ends - starts
     full = np.flatnonzero(lengths > 0)
     at = 0
-    while at < len(full):  # a few MB at a time
+    while at < len(full):  # a few hundred KB at a time
         to = max(at + 1, int(np.searchsorted(ends[full], starts[full[at]] + (BLOCK_BYTES << 1), "right")))
         part = full[at:to]
         s, size = starts[part], lengths[part]

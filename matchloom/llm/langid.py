@@ -129,7 +129,7 @@ def identify(documents: DataFrame, dictionaries: tuple[tuple[str, bytes], ...],
             yield pa.RecordBatch.from_arrays([ids, held_out, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return shared.bounded(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return shared.bounded(documents).select("doc_id", "text").mapInArrow(shared.released(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(documents: DataFrame, dictionaries: tuple[tuple[str, bytes], ...], margin: float = 0.002) -> DataFrame:
@@ -141,4 +141,4 @@ def keep_known(documents: DataFrame, dictionaries: tuple[tuple[str, bytes], ...]
             found = [predict(x.as_py(), dictionaries) for x in batch.column(at)]
             yield batch.filter(pa.array([lang != UNKNOWN and m >= margin for lang, _, m in found], pa.bool_()))
 
-    return shared.bounded(documents).mapInArrow(run, documents.schema)
+    return shared.bounded(documents).mapInArrow(shared.released(run), documents.schema)

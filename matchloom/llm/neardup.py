@@ -104,7 +104,7 @@ def facts(documents: DataFrame, trees: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), *map(_signed, out)], ["doc_id", "text_hash", "n_shingles", "f1", "f2", *(f"h{t}" for t in range(trees))])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return shared.bounded(documents).select("doc_id", "text", _text_hash().alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, f1 long, f2 long, " + ", ".join(f"h{t} long" for t in range(trees)))
+    return shared.bounded(documents).select("doc_id", "text", _text_hash().alias("text_hash")).mapInArrow(shared.released(run), f"doc_id {kind}, text_hash long, n_shingles long, f1 long, f2 long, " + ", ".join(f"h{t} long" for t in range(trees)))
 
 
 def _few(rows: DataFrame, key: str, other: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def set_table(documents: DataFrame, reps: DataFrame) -> DataFrame:
 
     named = shared.bounded(reps).select("rep", "one.doc_id", "one.text_hash")
     named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
-    return documents.select("doc_id", "text", _text_hash().alias("text_hash")).join(named, ["doc_id", "text_hash"]).select("rep", "text").mapInArrow(run, "rep long, tokens binary")
+    return documents.select("doc_id", "text", _text_hash().alias("text_hash")).join(named, ["doc_id", "text_hash"]).select("rep", "text").mapInArrow(shared.released(run), "rep long, tokens binary")
 
 
 def links(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
@@ -193,7 +193,7 @@ def compare(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
                     tokens.append(np.frombuffer(raw.as_buffer(), np.uint64))
         yield from found()
 
-    out = shared.written(shared.bounded(dealt).mapInArrow(run, "a long, b long"), "links")
+    out = shared.written(shared.bounded(dealt).mapInArrow(shared.released(run), "a long, b long"), "links")
     shared.drop(spark, held_path)
     return out
 
@@ -228,7 +228,7 @@ def components(edges: DataFrame, few: int = FEW_LINKS) -> tuple[DataFrame, str]:
                 ends, least = _joined(*(np.concatenate(x) for x in zip(*parts)))
                 yield pa.RecordBatch.from_arrays([pa.array(ends), pa.array(least)], ["comp", "least"])
 
-        return shared.written(edges.coalesce(1).mapInArrow(settle, "comp long, least long"), "labels")
+        return shared.written(edges.coalesce(1).mapInArrow(shared.released(settle), "comp long, least long"), "labels")
     both, both_path = shared.written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     now, path = shared.written(both.groupBy(F.col("a").alias("comp")).agg(F.least(F.col("a"), F.min("b")).alias("least")), "labels")
     while True:
@@ -326,7 +326,7 @@ def _branch(live: DataFrame, sets: DataFrame) -> DataFrame:
             size = [len(raw.as_buffer()) // 8 for raw in batch.column(2)]
             yield pa.RecordBatch.from_arrays([_signed(children.ravel()), pa.array(np.repeat(rep, BRANCHES)), pa.array(np.repeat(size, BRANCHES)), pa.array(np.repeat(node, BRANCHES))], ["node", "rep", "n", "parent"])
 
-    return _few(shared.bounded(live).select("node", "rep"), "rep", sets).select("node", "rep", "tokens").mapInArrow(run, "node long, rep long, n long, parent long")
+    return _few(shared.bounded(live).select("node", "rep"), "rep", sets).select("node", "rep", "tokens").mapInArrow(shared.released(run), "node long, rep long, n long, parent long")
 
 
 def classes(documents: DataFrame, percent: int = PERCENT) -> DataFrame:

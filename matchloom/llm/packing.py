@@ -112,7 +112,7 @@ def cut(documents: DataFrame, path: str, capacity: int = CAPACITY, with_ids: boo
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     extra = ", ids array<int>" if with_ids else ""
-    return shared.bounded(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long{extra}")
+    return shared.bounded(documents).select("doc_id", "text").mapInArrow(shared.released(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long{extra}")
 
 
 def matched(brackets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +168,7 @@ def _sweep(todo: DataFrame, gaps: DataFrame, low: int, high: int, ways: int) ->
             yield batch
 
     schema = T.StructType([T.StructField("bracket", T.IntegerType()), T.StructField("sequence", T.LongType()), T.StructField("at", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("p", kind_of_piece)])
-    swept, path = shared.written(shared.bounded(dealt).mapInArrow(run, schema), "swept")
+    swept, path = shared.written(shared.bounded(dealt).mapInArrow(shared.released(run), schema), "swept")
     # what ranges leave: pieces take from the nearest range before theirs that has gaps left, the last left first
     left: dict[int, list[int]] = {}
     got = pieces = 0
@@ -225,7 +225,7 @@ def _open(todo: DataFrame, step: int, capacity: int, ways: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(order)), pa.array(sequence), pa.array(room)], ["p", "sequence", "room"])
 
     schema = T.StructType([*todo.schema, T.StructField("sequence", T.LongType()), T.StructField("room", T.IntegerType())])
-    return shared.bounded(todo.coalesce(ways)).mapInArrow(run, schema)
+    return shared.bounded(todo.coalesce(ways)).mapInArrow(shared.released(run), schema)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

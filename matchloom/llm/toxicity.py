@@ -164,7 +164,7 @@ def score(documents: DataFrame, model: ToxicityModel, threshold: float = 0.5, fo
             yield pa.RecordBatch.from_arrays([ids, *map(pa.array, out)], ["doc_id", "held_out", "score", "predicted"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return shared.bounded(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return shared.bounded(documents).select("doc_id", "text").mapInArrow(shared.released(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_clean(documents: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
@@ -176,4 +176,4 @@ def keep_clean(documents: DataFrame, model: ToxicityModel, threshold: float = 0.
         for batch in batches:
             yield batch.filter(pa.array(model.scores(*columnar.utf8(batch.column(at))) < threshold))
 
-    return shared.bounded(documents).mapInArrow(run, schema)
+    return shared.bounded(documents).mapInArrow(shared.released(run), schema)

@@ -1,7 +1,10 @@
 """What operators leave in the shared folder, and how much of a table workers get."""
 
 import os
+import re
+import tracemalloc
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -60,3 +63,29 @@ def test_workers_get_bounded_batches(spark):
             yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
 
     assert max(r.n for r in shared.bounded(rows).mapInArrow(sizes, "n long").collect()) <= 1.1 * shared.BATCH_BYTES
+
+
+def test_work_arrays_cover_little_text():
+    column = pa.array([" ".join(f"w{k}x{j}" for j in range(400)) for k in range(1000)])
+    assert column.nbytes > 2 << 20
+    tracemalloc.start()
+    try:
+        assert sum(len(s) for s in neardup._sets(column)) == 1000 * 396
+        assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_give_freed_memory_back():
+    def own():
+        with open("/proc/self/status") as f:
+            return int(re.search(r"RssAnon:\s+(\d+)", f.read())[1]) >> 10
+
+    def run(batches):
+        held = [np.ones(12_000) for _ in range(1000)]
+        kept.extend(held[::50])  # what stays keeps the C library from giving back what is freed around it
+        yield from batches
+
+    kept, before = [], own()
+    assert list(shared.released(run)(iter([1, 2]))) == [1, 2]
+    assert own() - before < 40
