@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, lines, nbsvm, neardup, packing, pieces, rules, topk, toxicity
+from . import html, langid, lines, nbsvm, neardup, packing, periodic, pieces, rules, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return periodic.digests(periodic.find(documents, periodic.planted(F.col("doc_id"), F.col("text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_top_k": op2_top_k,
@@ -75,5 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rules": op8_rules,
     "op9_lines": op9_lines,
     "op10_toxicity": op10_toxicity,
+    "op11_runs": op11_runs,
 }
 ORACLE: dict[str, str] = {"op2_top_k": topk.SQL, "op9_lines": lines.SQL}
