@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, lines, nbsvm, neardup, packing, periodic, pieces, rules, topk, toxicity
+from . import html, langid, lines, nbsvm, neardup, packing, periodic, pieces, rules, topk, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.find(documents, periodic.planted(F.col("doc_id"), F.col("text"))))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_top_k": op2_top_k,
@@ -81,5 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lines": op9_lines,
     "op10_toxicity": op10_toxicity,
     "op11_runs": op11_runs,
+    "op12_whitening": op12_whitening,
 }
 ORACLE: dict[str, str] = {"op2_top_k": topk.SQL, "op9_lines": lines.SQL}
