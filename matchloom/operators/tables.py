@@ -38,15 +38,21 @@ def _file_system(spark: SparkSession, path: str) -> tuple:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def written(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The rows as a table of the shared folder, and its path for ``drop``."""
-    spark = rows.sparkSession
+def reserved(spark: SparkSession, name: str) -> str:
+    """A new path of the shared folder; what is written there goes with its scope or the application."""
     path = f"{folder(spark)}/matchloom/{name}-{uuid.uuid4().hex}"
     files, where = _file_system(spark, path)
-    rows.write.parquet(path)
     files.deleteOnExit(where)
     if _scopes:
         _scopes[-1].append(path)
+    return path
+
+
+def written(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows as a table of the shared folder, and its path for ``drop``."""
+    spark = rows.sparkSession
+    path = reserved(spark, name)
+    rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path), path
 
 
