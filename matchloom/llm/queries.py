@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, lines, nbsvm, neardup, packing, periodic, pieces, rules, topk, toxicity, whitening
+from . import html, langid, lines, nbsvm, neardup, packing, periodic, pieces, rules, topk, toxicity, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_top_k": op2_top_k,
@@ -86,5 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_runs": op11_runs,
     "op12_whitening": op12_whitening,
+    "op13_warc": op13_warc,
 }
-ORACLE: dict[str, str] = {"op2_top_k": topk.SQL, "op9_lines": lines.SQL}
+ORACLE: dict[str, str] = {"op2_top_k": topk.SQL, "op9_lines": lines.SQL, "op13_warc": warc.SQL}

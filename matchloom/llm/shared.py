@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..operators.tables import drop, folder, scope, size, written
+from ..operators.tables import drop, folder, reserved, scope, size, written
 
 #: Bytes of rows that a Python worker gets at a time; workers and the buffers they are fed by hold a few times as much.
 BATCH_BYTES = 1 << 20
@@ -39,4 +39,4 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return whole
 
 
-__all__ = ["BATCH_BYTES", "bounded", "drop", "folder", "released", "scope", "size", "written"]
+__all__ = ["BATCH_BYTES", "bounded", "drop", "folder", "released", "reserved", "scope", "size", "written"]
