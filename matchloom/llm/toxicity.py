@@ -6,7 +6,7 @@ between them; a longer word also counts by its stems (its first bytes), as infle
 compounded forms are rare one by one.  The model is learned online by FTRL-proximal: each coordinate has its own
 rate, from the sum of its squared gradients, and L1 leaves a coordinate at zero until the
 evidence exceeds the penalty.  What is sent to the executors is the short list of
-coordinates that are not zero.  Coordinates that a single row has are not learned.
+coordinates that are not zero.
 
 Scale.  Fitting is on the driver, over a sample bounded by ``ToxicityModel.SAMPLE``
 rows and ``SAMPLE_BYTES`` bytes of each class.  Weights are at most 2**20 float32 whatever the corpus.
@@ -67,8 +67,6 @@ class ToxicityModel:
     #: Bounds of the fitting sample: rows and bytes of text of each class.
     SAMPLE, SAMPLE_BYTES = 4000, 8 << 20
     RATE, BETA, L1, L2, ROUNDS = 0.5, 1.0, 8.0, 0.1, 10
-    #: Gradients below this change nothing.
-    LEAST = 1e-3
 
     @classmethod
     def fit(cls, data: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> ToxicityModel:
@@ -76,20 +74,15 @@ class ToxicityModel:
         n = len(labels)
         if not n:
             return cls(np.zeros(0, np.int32), np.zeros(0, np.float32), -30.0)
-        sets, rows, seen = [], [], np.zeros(1 << _BITS, np.int32)
+        sets, sizes, seen = [], [], np.zeros(1 << _BITS, bool)
         for i, j in columnar.blocks(offsets):
             part, row = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             key = np.unique((row.astype(np.int64) << _BITS) | part)
             sets.append((key & ((1 << _BITS) - 1)).astype(np.int32))
-            rows.append(np.bincount(key >> _BITS, minlength=j - i))
-            seen += np.bincount(sets[-1], minlength=1 << _BITS).astype(np.int32)
-        often = seen > 1  # what only one row has says nothing of others
-        names, place = np.flatnonzero(often).astype(np.int32), (np.cumsum(often) - 1).astype(np.int32)
-        for k, (part, size) in enumerate(zip(sets, rows)):  # the coordinates in use, side by side
-            kept = often[part]
-            rows[k] = np.bincount(np.repeat(np.arange(len(size)), size)[kept], minlength=len(size))
-            sets[k] = place[part[kept]]
-        f, at = np.concatenate(sets), np.concatenate(([0], np.cumsum(np.concatenate(rows))))
+            sizes.append(np.bincount(key >> _BITS, minlength=j - i))
+            seen[sets[-1]] = True
+        names, place = np.flatnonzero(seen).astype(np.int32), (np.cumsum(seen) - 1).astype(np.int32)
+        f, at = np.concatenate([place[part] for part in sets]), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))  # the coordinates in use, side by side
         del sets
         model = cls._learn(f, at, labels, np.arange(n), names)
         unseen = np.arange(n) % 4 == 3
@@ -115,8 +108,6 @@ class ToxicityModel:
                 w = table[x]
                 p = 1 / (1 + np.exp(-max(-30.0, min(30.0, float(w.sum()) + bias))))
                 g = (p - labels[k]) * weight[int(labels[k])]
-                if abs(g) < cls.LEAST:
-                    continue
                 old = squares[x]
                 new = old + g * g
                 now = z[x] + g - (np.sqrt(new) - np.sqrt(old)) / cls.RATE * w
