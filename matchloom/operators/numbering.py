@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import size, written
 
 _INDEX_BITS = 33  # as monotonically_increasing_id lays out its values
 
@@ -51,8 +51,8 @@ def _sort(item: str) -> tuple[Column, bool]:
     return F.expr(match[1]), (match[2] or "").lower() == "desc"
 
 
-def with_row_number(df: DataFrame, name: str, order: Sequence[Column]) -> DataFrame:
-    """Numbers rows from 1 by ``order``, which should be total.
+def row_numbers(df: DataFrame, name: str, order: Sequence[Column]) -> tuple[DataFrame, int, int]:
+    """Rows numbered from 1 by ``order``, which should be total; how many they are, and the bytes of the table that holds them.
 
     Rows are range-sorted; each task numbers its own rows, and the counts of the tasks before it are added: what reaches the
     driver is one count for each partition.
@@ -60,13 +60,18 @@ def with_row_number(df: DataFrame, name: str, order: Sequence[Column]) -> DataFr
     spark = df.sparkSession
     ways = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.repartitionByRange(ways, *order).sortWithinPartitions(*order)
-    placed, _ = written(keyed.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    placed, path = written(keyed.withColumn("__at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("__at", _INDEX_BITS)
-    before, total = [], 0
-    for p, n in sorted((r[0], r[1]) for r in placed.groupBy(part.alias("p")).count().collect()):
-        before.append((p, total))
-        total += n
-    offsets = spark.createDataFrame(before, "__part long, __before long")  # as many rows as partitions
+    held, total = dict(placed.groupBy(part.cast("int").alias("p")).count().collect()), 0
+    before = []
+    for p in range(max(held, default=0) + 1):
+        before.append(total)
+        total += held.get(p, 0)
     index = F.col("__at").bitwiseAND(F.lit((1 << _INDEX_BITS) - 1))
-    joined = placed.join(F.broadcast(offsets), part == F.col("__part"))
-    return joined.withColumn(name, (F.col("__before") + index + 1).cast("long")).drop("__at", "__part", "__before")
+    offset = F.element_at(F.expr(f"array({', '.join(f'{n}L' for n in before)})"), part.cast("int") + 1)  # as many as partitions
+    return placed.withColumn(name, offset + index + 1).drop("__at"), total, size(spark, path)
+
+
+def with_row_number(df: DataFrame, name: str, order: Sequence[Column]) -> DataFrame:
+    """Rows numbered from 1 by ``order``."""
+    return row_numbers(df, name, order)[0]
