@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom.operators import Field, Rule, Timer, db_creator, definitions, mash, match, print_parts, select_to_html, select_to_html_colour, string_table_split, structure_compliance, transpose
+from matchloom.operators import mashing
 from matchloom.operators.compliance import column_errors
 from matchloom.operators.numbering import order_by, with_row_number
 from matchloom.operators.timer import duration_text
@@ -100,6 +101,40 @@ def test_mash_like_rule_by_rule(spark):
         assert run_mash(spark, rows) == emulate(rows)
 
 
+def settles(rows):
+    try:
+        return emulate(rows)
+    except AssertionError:
+        return None
+
+
+@pytest.mark.parametrize("small", [0, 1 << 30])
+def test_mash_refuses_what_never_settles_and_nothing_else(spark, monkeypatch, small):
+    monkeypatch.setattr(mashing, "SMALL", small)
+    monkeypatch.setattr(mashing, "PENDING", 3)
+    assert {settles(r) is None for r in _ADVERSE} == {True, False}
+    for rows in _ADVERSE:
+        if (wanted := settles(rows)) is None:
+            with pytest.raises(RuntimeError, match="does not settle"):
+                run_mash(spark, rows)
+        else:
+            assert run_mash(spark, rows) == wanted
+
+
+#: Rows with loops and adverse priorities; some settle and some never do.
+_ADVERSE = [[(random.Random(seed * 97 + k).choice("abcdef"), random.Random(seed * 89 + k).choice("abcdef")) for k in range(6)] for seed in range(4)]
+_ADVERSE += [[("m2", "m1"), ("m1", "m2"), ("M", "d"), ("m1", "d")], [(f"k{k}", f"k{k + 1}") for k in range(9)]]
+
+
+def test_mash_rounds_look_at_less_and_less(spark):
+    """A chain is rewritten from its start on; later rounds rewrite fewer rows."""
+    told = []
+    rows = [(k, f"k{k}", f"k{k + 1}") for k in range(9)]
+    df = spark.createDataFrame(rows, "p long, m string, d string")
+    assert {r.m for r in mash(df, master_key="m", duplicate_key="d", priority="p", on_round=lambda k, n: told.append(n)).collect()} == {"k0"}
+    assert told == sorted(told, reverse=True) and told[0] == 8 and told[-1] < 8
+
+
 def test_mash_with_source_and_nulls(spark):
     assert run_mash(spark, [("A", "B"), ("B", "C")], [("Z", "B")]) == {("A", "B"), ("Z", "B"), ("Z", "C")}
     assert run_mash(spark, [("A", "B"), (None, "B"), ("A", None)]) == {("A", "B"), (None, "B"), ("A", None)}
