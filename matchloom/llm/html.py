@@ -1,15 +1,15 @@
 """Main-text extraction from HTML with removal of site templates.
 
 Method.  A page is parsed into its elements.  Each element with text gets a hash of its
-subtree (tags and text, without attributes); Spark counts, for each host, on how many pages a subtree
+subtree (tags and text, without attributes), those that rules would delete too; Spark counts, for each host, on how many pages a subtree
 stands, and subtrees found on more than ``RATIO`` of the host's pages, and on at least ``LEAST``, are deleted as template.
 So are layout elements (``LAYOUT``; within an article ``PARTS`` only) found on over ``SHARE`` of the
 pages and next to ``LEAST`` different articles or more.  The longest text in the largest part of the page
 outside the element stands for the article next to it, so what recurs in near copies of an article is not taken for a template; nor is what
 holds over half of a page's text counted on that page.
 Elements whose tag, role, class or id says that they are navigation, header, footer, sidebar, notice,
-advert, form, comments or hidden are deleted as well; a class says so only if all of its parts do (``cookie-notice``, but not
-``share-price``).  Of what stays, the text of the article, with articles beside it at least half as long
+advert, form, comments or hidden are deleted as well, after the templates; a class says so only if all of its parts do (``cookie-notice``, but not
+``share-price``), and a form, or an element whose classes speak for both, stays if it holds most of the page's text.  Of what stays, the text of the article, with articles beside it at least half as long
 (or of the main part, or the body), is returned, a line for each block.  Equal pages of a host
 count once, so copies of a page do not turn it into a template.
 
@@ -78,6 +78,8 @@ FILLERS = frozenset(
 )
 _HEAD_MARKS = frozenset(["header", "headers"])
 _OF_ARTICLE = frozenset("article articles entry post posts content section".split())
+#: Words that call an element the article, whatever stands beside them.
+CONTENT = frozenset("article entry post story content main".split())
 
 #: Quotes open a value only after an equals sign; elsewhere they are characters of a name or a value.
 _TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z)", re.S)
@@ -95,6 +97,7 @@ class Page:
     parents: list[int] = field(default_factory=list)
     away: list[bool] = field(default_factory=list)
     header: list[bool] = field(default_factory=list)
+    doubt: list[bool] = field(default_factory=list)
     texts: list[tuple[int, str | None]] = field(default_factory=list)
 
     def holding(self, *names: str) -> list[bool]:
@@ -112,9 +115,11 @@ def _says(value: str, words: frozenset[str], fillers: frozenset[str]) -> bool:
     return not words.isdisjoint(parts) and all(part in words or part in fillers for part in parts)
 
 
-def _marks(tag: str, raw: str) -> tuple[bool, bool]:
-    """Whether attributes send the element away, and whether they call it a header of the site."""
-    away = header = False
+def _marks(tag: str, raw: str) -> tuple[bool, bool, bool]:
+    """Whether attributes send the element away, whether they call it a header of the site, and whether they doubt that it goes.
+
+    A form is in doubt, which may be laid around a whole page, and a class with words of both kinds."""
+    away = header = named = content = False
     for name, a, b, c in _ATTRIBUTE.findall(raw):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN_STYLE.search(value):
@@ -124,9 +129,10 @@ def _marks(tag: str, raw: str) -> tuple[bool, bool]:
                 away = True
         elif name in ("class", "id"):
             for word in value.split():
-                away = away or _says(word, MARKS, FILLERS)
+                named = named or _says(word, MARKS, FILLERS)
+                content = content or _says(word, CONTENT, FILLERS)
                 header = header or _says(word, _HEAD_MARKS, FILLERS - _OF_ARTICLE)
-    return away, header
+    return away or named, header, not away and (content if named else tag == "form")
 
 
 def parse(source: str) -> Page:
@@ -157,12 +163,13 @@ def parse(source: str) -> Page:
             close(min(lowest))
 
     def open_(tag: str, raw: str) -> None:
-        away, header = _marks(tag, raw) if raw else (False, False)
+        away, header, doubt = _marks(tag, raw) if raw else (False, False, tag == "form")
         node = len(tags)
         tags.append(tag)
         page.parents.append(stack[-1] if stack else -1)
         page.away.append(away or tag in AWAY)
         page.header.append(header)
+        page.doubt.append(doubt)
         places.setdefault(tag, []).append(len(stack))
         if tag in _FENCES:
             fences.append(len(stack))
@@ -210,44 +217,66 @@ def parse(source: str) -> Page:
     return page
 
 
+def _sizes(page: Page, gone: list[bool]) -> list[int]:
+    """Characters of text below each element that is not gone, without blanks."""
+    size = [0] * len(page.tags)
+    for node, text in page.texts:
+        if text is not None and node >= 0 and not gone[node]:
+            size[node] += len(text) - text.count(" ")
+    for k in range(len(size) - 1, -1, -1):
+        if (parent := page.parents[k]) >= 0:
+            size[parent] += size[k]
+    return size
+
+
 def _gone(page: Page) -> list[bool]:
-    """For each element, whether it or one that holds it is away."""
+    """For each element, whether it or one that holds it is away; one in doubt is not if it holds most of the page's text."""
+    if any(page.doubt):
+        sure = [a and not d for a, d in zip(page.away, page.doubt)]
+        size = _sizes(page, _spread(page, sure))
+        total = sum(n for n, parent in zip(size, page.parents) if parent < 0)
+        return _spread(page, [s or a and 2 * n <= total for s, a, n in zip(sure, page.away, size)])
+    return _spread(page, page.away)
+
+
+def _spread(page: Page, away: list[bool]) -> list[bool]:
     out: list[bool] = []
     inside: list[bool] = []
     titled, framed = page.holding("h1", "h2"), page.holding("article", "main")
     for k, (tag, parent) in enumerate(zip(page.tags, page.parents)):
         within = parent >= 0 and (inside[parent] or page.tags[parent] in ("article", "main"))
-        own = page.away[k] or tag == "header" and not (within and titled[k]) or page.header[k] and not within
-        if framed[k] or tag in ("html", "body", "article", "main") and not (page.away[k] and within):
-            own = own and not framed[k] and tag not in ("html", "body") and page.away[k]
+        own = away[k] or tag == "header" and not (within and titled[k]) or page.header[k] and not within
+        if framed[k] or tag in ("html", "body", "article", "main") and not (away[k] and within):
+            own = own and not framed[k] and tag not in ("html", "body") and away[k]
         inside.append(within)
         out.append(own or parent >= 0 and out[parent])
     return out
 
 
 def _trees(page: Page, gone: list[bool]) -> list[int]:
-    """Subtree hashes as signed 64-bit integers; 0 for elements that are gone or hold no text."""
+    """Subtree hashes as signed 64-bit integers, 0 for elements without text; the tree of an element that stays is without those in it that go."""
     parts: list[list[bytes]] = [[] for _ in page.tags]  # by element: its own texts, then the hashes of its children
     for node, text in page.texts:
-        if text is not None and node >= 0 and not gone[node] and (text := " ".join(text.split())):
+        if text is not None and node >= 0 and (text := " ".join(text.split())):
             parts[node].append(text.encode("utf-8", "surrogatepass"))
     out = [0] * len(page.tags)
     for k in range(len(page.tags) - 1, -1, -1):
-        if parts[k] and not gone[k]:
+        if parts[k]:
             digest = xxhash.xxh3_64_digest(b"\0".join([page.tags[k].encode("utf-8", "surrogatepass"), *parts[k]]))
             out[k] = int.from_bytes(digest, "little", signed=True) or 1
-            if (parent := page.parents[k]) >= 0:
+            if (parent := page.parents[k]) >= 0 and gone[k] == gone[parent]:
                 parts[parent].append(digest)
     return out
 
 
 def _around(page: Page, gone: list[bool]) -> list[int | None]:
-    """For each layout element with at most half of the page's text, a hash of the longest text in the largest part outside it; None for others."""
+    """For each layout element with at most half of the page's text, and each that rules delete, a hash of the longest text in the largest part outside it; None for others."""
     n = len(page.tags)
-    own = [""] * n
+    pieces: list[list[str]] = [[] for _ in page.tags]
     for node, text in page.texts:
         if text is not None and node >= 0 and not gone[node] and (text := " ".join(text.split())):
-            own[node] += text + " "
+            pieces[node].append(text)
+    own = [" ".join([*x, ""]) for x in pieces]
     size, longest = [len(x) for x in own], own.copy()  # all text below, and its longest piece
     top = [[(len(x), x, -1), (0, "", -1)] for x in own] + [[(0, "", -1), (0, "", -1)]]  # the two largest parts of each element: its own text and its children
     for k in range(n - 1, -1, -1):
@@ -264,7 +293,7 @@ def _around(page: Page, gone: list[bool]) -> list[int | None]:
         inside.append(tag in ("article", "main") or parent >= 0 and inside[parent])
         beside = next(part for part in top[parent] if part[2] != k)[:2]
         outside.append(max(beside, outside[parent] if parent >= 0 else beside, key=lambda part: part[0]))
-        fits = tag in (PARTS if inside[k] else LAYOUT) and 0 < 2 * size[k] <= total
+        fits = gone[k] or tag in (PARTS if inside[k] else LAYOUT) and 0 < 2 * size[k] <= total
         out.append(xxhash.xxh3_64_intdigest(outside[k][1].encode("utf-8", "surrogatepass")) - (1 << 63) if fits and outside[k][0] else None)
     return out
 
@@ -276,8 +305,9 @@ def trees(source: str | None) -> dict[int, int | None]:
     page = parse(source)
     gone = _gone(page)
     out: dict[int, int | None] = {}
-    for h, tag, around in zip(_trees(page, gone), page.tags, _around(page, gone)):
-        if h and tag not in ("html", "body") and out.get(h) is None:
+    for k, (h, tag, around) in enumerate(zip(_trees(page, gone), page.tags, _around(page, gone))):
+        within = gone[k] and page.parents[k] >= 0 and gone[page.parents[k]]  # goes with the element around it
+        if h and not within and tag not in ("html", "body") and out.get(h) is None:
             out[h] = around
     return out
 
@@ -291,13 +321,7 @@ def main_text(source: str | None, template: frozenset[int] = frozenset()) -> str
     if template:
         for k, h in enumerate(_trees(page, gone)):
             gone[k] = gone[k] or h in template or page.parents[k] >= 0 and gone[page.parents[k]]
-    size = [0] * len(page.tags)  # text below each element
-    for node, text in page.texts:
-        if text is not None and node >= 0 and not gone[node]:
-            size[node] += len(text) - text.count(" ")
-    for k in range(len(size) - 1, -1, -1):
-        if (parent := page.parents[k]) >= 0:
-            size[parent] += size[k]
+    size = _sizes(page, gone)
     chosen = _chosen(page, size)
     inside: list[bool] = []
     for k, parent in enumerate(page.parents):

@@ -75,6 +75,52 @@ def test_templates_of_parts_of_a_host_go(spark):
     assert all("with a box of its own in it" in out[200 + k] for k in range(30))  # near copies of one article
 
 
+ARTICLE = "<h1>Title</h1><p>First of all.</p><p>Second, and more of it.</p>"
+
+
+@pytest.mark.parametrize("wrap", ['<form id="aspnetForm" action="/">{}</form>', '<div class="entry-content share">{}</div>', '<div class="post-content widget">{}</div>'])
+def test_articles_in_doubtful_wrappers_stay(wrap):
+    page = "<nav>Home About</nav>" + wrap.format(ARTICLE + '<form class="login"><p>Log in</p></form>') + "<footer>Imprint</footer>"
+    assert html.main_text(page) == "Title\nFirst of all.\nSecond, and more of it."
+    assert html.main_text(ARTICLE + wrap.format("<p>Go</p>")).startswith("Title\nFirst") and "Go" not in html.main_text(ARTICLE + wrap.format("<p>Go</p>"))
+
+
+def brute_templates(pages, least=10):
+    """The subtrees, written out, that stand on over half of the distinct pages of a site, or beside as many articles as asked."""
+    seen, beside, total = {}, {}, set(pages)
+    for source in total:
+        page = html.parse(source)
+        gone = html._gone(page)
+
+        def tree(k):
+            own = [" ".join(t.split()) for node, t in page.texts if node == k and t is not None and t.strip()]
+            below = [x for c in range(k + 1, len(page.tags)) if page.parents[c] == k and gone[c] == gone[k] and (x := tree(c))]
+            return (page.tags[k], *own, *below) if own or below else None
+
+        hashes, around = html._trees(page, gone), html._around(page, gone)
+        for k, tag in enumerate(page.tags):
+            if (t := tree(k)) and tag not in ("html", "body") and not (gone[k] and page.parents[k] >= 0 and gone[page.parents[k]]):
+                seen.setdefault(t, (hashes[k], set()))[1].add(source)
+                beside.setdefault(t, set()).add(around[k])
+    share = html.SHARE * len(total)
+    return {h for t, (h, on) in seen.items() if len(on) >= least and (len(on) > len(total) / 2 or len(beside[t] - {None}) >= least and len(beside[t] - {None}) > share)}
+
+
+def test_templates_like_brute_force(spark):
+    page = lambda k: f"<html><body><nav>Top <b>news</b></nav><div class=x>Site {k % 3}</div><div><p>Article {k // 2} words {'w' * k}</p><div>Tail {k % 7}</div></div><footer>End {k % 2}</footer><section>Rare {k // 9}</section></body></html>"
+    pages = [page(k) for k in range(60)] + [page(3)] * 20
+    rows = spark.createDataFrame([("h", x) for x in pages], "host string, html string").withColumn("page", F.xxhash64("html"))
+    found = {t for r in html.templates(rows).collect() for t in r.trees}
+    assert found == brute_templates(pages) and len(found) >= 5
+
+
+def test_one_element_with_very_many_pieces():
+    page = "<p>" + "x<br>" * 800_000 + "</p>"  # 4 MB
+    began = time.process_time()
+    html.trees(page)
+    assert time.process_time() - began < 20
+
+
 def test_very_long_page():
     body = "<p>" + "word " * 200_000 + "</p>"
     assert len(html.main_text(f"<article>{body * 2}</article>")) == 2 * (200_000 * 5 - 1) + 1
