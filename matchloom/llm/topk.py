@@ -2,7 +2,8 @@
 
 Method.  Vectors are packed into shards, queries into blocks; every block meets every shard once.
 A query's terms are its dimensions.  A shard is cut into lists of rows that are alike (by their strongest dimension and its sign), and each
-list has for each term the most that it can add to a score.  With the k-th best score so far as threshold,
+list has for each term the most that it can add to a score.  With the k-th best score so far as threshold (for the first shard, the k-th best of the list
+that promises a query most),
 a list whose bounds in all stay below it is passed over.  In the others the terms with the smallest bounds, as
 many as cannot reach the threshold together, are non-essential: only the essential terms are traversed (one matrix product of the
 queries that share them), and rows whose partial score and the bound of the rest stay below the threshold are dropped.
@@ -15,13 +16,13 @@ Nothing is broadcast.
 
 Edge cases.  Vectors that are null or hold null or non-finite components, and rows with a null id,
 take no part.  Shorter vectors read as padded with zeros; an empty vector scores 0.  Rows with the id of the query
-are its own and no candidates; other repeated ids each count.  Sums that doubles cannot hold exactly are made in
+are its own and no candidates; other repeated ids each count.  Query rows that share an id share one list: the best pairs of any of them with a candidate.  Sums that doubles cannot hold exactly are made in
 Python integers and clipped to the range of long.  An empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,12 @@ TOP, EVERY, SCALE = 20, 20, 64
 SHARD_ROWS, BLOCK_ROWS = 8192, 512
 #: Shards (4 MB each at 64 dimensions) that a task holds, and rows of a list.
 HELD, LIST_ROWS = 32, 512
-#: Terms probed at a time.
-STEP = 8
+#: Shards that a task holds at least, where there are so many, so that thresholds of the first serve the others.
+LEAST_HELD = 4
+#: Terms probed at a time, and the share of the terms that must be spared to be worth it.
+STEP, SPARED = 8, 1 / 16
+#: What a search counts: multiplications of all scores in full, those made, pairs of queries and lists, those passed over.
+WORK = ("all", "made", "lists", "passed")
 
 
 def quantized(column: pa.Array, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray]:
@@ -142,24 +147,26 @@ def _ranked(row: np.ndarray, ids: np.ndarray, score: np.ndarray, top: int) -> np
     return order[np.arange(len(row)) - np.searchsorted(row, row) < top]
 
 
-def _traverse(q: np.ndarray, v: np.ndarray, low: np.ndarray, high: np.ndarray, threshold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _traverse(q: np.ndarray, v: np.ndarray, low: np.ndarray, high: np.ndarray, threshold: np.ndarray, work: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query, place and score of the rows of one list that reach the thresholds: essential terms first, then the others while it is worth it."""
     bound = np.maximum(_bounds(q, low, high), 0)
     order = np.argsort(bound.mean(0), kind="stable")  # one order for all queries, so that their products go together
     rising = np.cumsum(bound[:, order], 1)
     spared = (rising < threshold[:, None]).sum(1)
-    few = spared >= max(1, q.shape[1] // 4)
+    few = spared >= max(1, q.shape[1] * SPARED)
     found = []
     for mine, spare in ((np.flatnonzero(~few), 0), (np.flatnonzero(few), int(spared[few].min(initial=q.shape[1])))):
         if not len(mine):
             continue
         essential = order[spare:]
         score = (q[mine][:, essential] if spare else q[mine]) @ (v[:, essential] if spare else v).T
+        work[1] += len(mine) * len(v) * len(essential)
         ahead = rising[mine, spare - 1] if spare else np.zeros(len(mine), q.dtype)
         row, place = np.nonzero(score + ahead[:, None] >= threshold[mine, None])
         total = score[row, place]
         for k in range(spare, 0, -STEP):  # the terms with the largest bounds first
             terms = order[max(0, k - STEP) : k]
+            work[1] += len(row) * len(terms)
             total = total + np.einsum("ij,ij->i", q[mine[row]][:, terms], v[place][:, terms])
             rest = rising[mine, k - STEP - 1] if k > STEP else np.zeros(len(mine), q.dtype)
             alive = total + rest[row] >= threshold[mine[row]]
@@ -168,11 +175,13 @@ def _traverse(q: np.ndarray, v: np.ndarray, low: np.ndarray, high: np.ndarray, t
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def search(query_ids: np.ndarray, queries: np.ndarray, shard: Shard, best: np.ndarray, top: int = TOP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(query_ids: np.ndarray, queries: np.ndarray, shard: Shard, best: np.ndarray, top: int = TOP, work: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of queries, and ids and scores of the rows of one shard that can be among the ``top`` of each, that many at most.
 
-    ``best`` holds the best scores of each query so far (falling, -inf where there are fewer) and is brought up to date.
+    ``best`` holds the best scores of each query so far (falling, -inf where there are fewer) and is brought up to date, as is ``work``, by ``WORK``.
+    A query without a threshold gets one from the list that promises it most.
     """
+    work = np.zeros(len(WORK)) if work is None else work
     shard = shard.padded(queries.shape[1])
     width = shard.vectors.shape[1]
     queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
@@ -182,11 +191,23 @@ def search(query_ids: np.ndarray, queries: np.ndarray, shard: Shard, best: np.nd
     kind = np.float32 if reach < 2**23 else np.float64  # sums of whole numbers are exact in either
     q, v, low, high = (x.astype(kind, copy=False) for x in (queries, shard.vectors, shard.low, shard.high))
     threshold = best[:, top - 1].astype(kind)
+    work[0] += len(q) * len(v) * width
+    most = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T if len(v) else np.zeros((len(q), 0), kind)
+    cold = np.flatnonzero(~np.isfinite(threshold)) if len(shard.starts) > 1 else np.zeros(0, np.int64)
+    promising = most[cold].argmax(1) if len(cold) else cold
+    for k in np.unique(promising):
+        some, at = cold[promising == k], int(shard.starts[k])
+        score = q[some] @ v[at : at + LIST_ROWS].T
+        work[1] += score.size * width
+        score[shard.ids[None, at : at + LIST_ROWS] == query_ids[some, None]] = -np.inf
+        if score.shape[1] >= top:
+            threshold[some] = -np.partition(-score, top - 1, 1)[:, top - 1]
     cold = ~np.isfinite(threshold)
     parts = []
     if cold.any():
         some = np.flatnonzero(cold)
         score = q[some] @ v.T
+        work[1] += score.size * width
         a, b = shard.own(query_ids[some])
         score[a, b] = -np.inf
         enough = -np.partition(-score, top - 1, 1)[:, top - 1] if score.shape[1] > top else np.full(len(some), -np.inf, kind)
@@ -194,15 +215,16 @@ def search(query_ids: np.ndarray, queries: np.ndarray, shard: Shard, best: np.nd
         parts.append((some[row], place, score[row, place]))
     warm = np.flatnonzero(~cold)
     if len(warm):
-        most = np.maximum(q[warm], 0) @ high.T + np.minimum(q[warm], 0) @ low.T
-        alive = most >= threshold[warm, None]
+        alive = most[warm] >= threshold[warm, None]
+        work[2] += alive.size
         if alive.mean() > 0.5:  # hardly a list is passed over: all at once
-            row, place, score = _traverse(q[warm], v, low.min(0), high.max(0), threshold[warm])
+            row, place, score = _traverse(q[warm], v, low.min(0), high.max(0), threshold[warm], work)
             parts.append((warm[row], place, score))
         else:
+            work[3] += alive.size - alive.sum()
             for k in np.flatnonzero(alive.any(0)):
                 some, at = warm[alive[:, k]], int(shard.starts[k])
-                row, place, score = _traverse(q[some], v[at : at + LIST_ROWS], low[k], high[k], threshold[some])
+                row, place, score = _traverse(q[some], v[at : at + LIST_ROWS], low[k], high[k], threshold[some], work)
                 parts.append((some[row], place + at, score))
     row, place, score = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     ids = shard.ids[place]
@@ -228,13 +250,13 @@ def _search_integers(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray
     return tuple(np.array(x, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
 
 
-def top_k(rows: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame:
-    """query_id, rank, vec_id, score."""
+def top_k(rows: DataFrame, top: int = TOP, every: int = EVERY, count: Callable[[str, float], None] | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score.  ``count`` is told in the tasks how much of each of ``WORK`` there was."""
     spark = rows.sparkSession
     packed, path = shared.written(blocks(rows, every), "vectors")
     shards = packed.where("kind = 'shard'")
     n = shards.count()
-    ways = max(1, min(n, max(-(-n // HELD), int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    ways = max(1, min(-(-n // LEAST_HELD), max(-(-n // HELD), int(spark.conf.get("spark.sql.shuffle.partitions")))))
     numbered = with_row_number(shards.select("serial"), "number", [F.col("serial")])
     payload = ["serial", "width", "ids", "vectors"]
     held = shards.join(numbered, "serial").select(F.pmod("number", F.lit(ways)).cast("int").alias("bucket"), F.lit(0).alias("asks"), *payload)
@@ -242,7 +264,7 @@ def top_k(rows: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame:
     dealt = held.unionByName(asked).repartitionByRange(ways, "bucket").sortWithinPartitions("bucket", "asks", "serial")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, mine = None, []
+        bucket, mine, work = None, [], np.zeros(len(WORK))
         for batch in batches:
             for k in range(batch.num_rows):
                 at, asks, _, width, ids, vectors = (c[k] for c in batch.columns)
@@ -253,11 +275,13 @@ def top_k(rows: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame:
                     mine.append(Shard(ids, vectors.astype(np.float32) if np.abs(vectors).max(initial=0) < 2**23 else vectors))
                     continue
                 best = np.full((len(ids), top), -np.inf)
-                found = [search(ids, vectors, s, best, top) for s in mine]
+                found = [search(ids, vectors, s, best, top, work) for s in mine]
                 if found:
                     row, vec_id, score = (np.concatenate(x) for x in zip(*found))
                     first = _ranked(row, vec_id, score, top)
                     yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (ids[row], vec_id, score)], ["query_id", "vec_id", "score"])
+        for name, much in zip(WORK, work.tolist()) if count else ():
+            count(name, much)
 
     partial = shared.bounded(dealt).mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -68,3 +68,45 @@ def test_pruning_keeps_all_winners(spread):
         scores = sorted((-int(q @ v), int(i)) for v, i in zip(vectors, ids) if i != ids[50 * k])
         assert sorted(seen[k])[:5] == scores[:5]
         assert best[k].tolist() == [-s for s, _ in scores[:5]]
+
+
+def clustered(n=1600, width=32, centres=8):
+    """Vectors near one axis each."""
+    rng = np.random.default_rng(8)
+    out = []
+    for k in range(n):
+        v = 0.02 * rng.normal(size=width)
+        v[k % centres] += rng.uniform(0.8, 1.2)
+        out.append((k, v.tolist()))
+    return out
+
+
+def test_lists_are_passed_over_and_terms_spared(spark, monkeypatch):
+    """Through the operator: most multiplications of clustered vectors are not made."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 400)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(topk, "LIST_ROWS", 25)
+    rows = clustered()
+    totals = {name: spark.sparkContext.accumulator(0.0) for name in topk.WORK}
+    got = found(spark, rows, count=lambda name, much: totals[name].add(much))
+    assert got == brute(rows)
+    told = {name: x.value for name, x in totals.items()}
+    assert told["made"] < 0.5 * told["all"] and told["passed"] > 0.5 * told["lists"] > 0
+
+
+def test_terms_are_spared(monkeypatch):
+    """Lists whose first terms carry the scores: the others are probed for few rows."""
+    rng = np.random.default_rng(4)
+    q, v = np.floor(64 * rng.normal(size=(5, 32)) * np.r_[np.full(4, 4.0), np.full(28, 0.1)]), np.floor(64 * rng.normal(size=(900, 32)) * np.r_[np.full(4, 4.0), np.full(28, 0.1)])
+    scores = q @ v.T
+    threshold = -np.sort(-scores, 1)[:, 9]
+    work = np.zeros(len(topk.WORK))
+    row, place, score = topk._traverse(q, v, v.min(0), v.max(0), threshold, work)
+    assert {(int(a), int(b)): float(c) for a, b, c in zip(row, place, score)} == {(a, b): scores[a, b] for a, b in zip(*np.nonzero(scores >= threshold[:, None]))}
+    assert work[1] < 0.6 * q.size * len(v)
+
+
+def test_query_rows_of_one_id_share_a_list(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), *((k, [k / 100, 1 - k / 100]) for k in range(1, 20))]
+    pairs = sorted((-sum(math.floor(64 * float(np.float32(x))) * math.floor(64 * float(np.float32(y))) for x, y in zip(u, v)), k) for q, u in rows if q == 20 for k, v in rows if k != 20)
+    assert found(spark, rows, top=5) == {(20, rank, k, -s) for rank, (s, k) in enumerate(pairs[:5], 1)}
