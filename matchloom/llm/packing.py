@@ -45,6 +45,8 @@ CLASSES = (2, 3, 4, 6, 10, 20, 50, 200)
 SWEEPS = 2
 #: Rows of pieces and gaps that a task sweeps.
 TASK_ROWS = 1 << 18
+#: Brackets that a row of a gap opens, at most.
+ROW_SLOTS = 2
 #: Fixed: how byte-level BPE files of this family cut text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Runs of one kind of character for which the faster library's pattern engine can give up.
@@ -136,17 +138,24 @@ def _names(piece: T.StructType) -> list[Column]:
     return [F.col(f"p.{c}") for c in ("doc_id", "piece", "ids_crc32") if c in piece.names]
 
 
-def _sweep(todo: DataFrame, gaps: DataFrame, low: int, high: int, ways: int) -> tuple[DataFrame, DataFrame, int, list[str]]:
-    """One superstep over pieces (p) with lengths in (low, high]: what got a gap (p, sequence), the pieces left, how many got one, and the tables written."""
-    spark = todo.sparkSession
+def _dealt(todo: DataFrame, gaps: DataFrame, low: int, high: int, ways: int) -> DataFrame:
+    """Brackets in ranges, sorted: gaps open as many as they surely hold pieces, in rows of ``ROW_SLOTS`` so that ranges of like numbers of rows are of like weight; pieces close."""
     kind_of_piece = todo.schema["p"].dataType
     slots = F.array(F.struct(F.lit(high).alias("size"), F.floor(F.col("room") / high).alias("n")), F.struct((F.col("room") % high).cast("int").alias("size"), F.lit(1).cast("long").alias("n")))
     opening = gaps.select("sequence", "room", F.explode(slots).alias("s")).where((F.col("s.n") > 0) & (F.col("s.size") > low))
-    opening = opening.select(F.lit(1).alias("bracket"), F.col("s.size").alias("size"), "room", "sequence", F.col("s.n").alias("n"), F.lit(None).cast(kind_of_piece).alias("p"), F.col("sequence").alias("tie"))
+    opening = opening.select("sequence", "room", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s.n") - 1, F.lit(ROW_SLOTS).cast("long"))).alias("first"))
+    weight = F.least(F.lit(ROW_SLOTS).cast("long"), F.col("s.n") - F.col("first"))
+    opening = opening.select(F.lit(1).alias("bracket"), F.col("s.size").alias("size"), "room", "sequence", weight.alias("n"), F.lit(None).cast(kind_of_piece).alias("p"), F.col("sequence").alias("tie"))
     tie = F.xxhash64(*_names(kind_of_piece), F.monotonically_increasing_id())
     closing = todo.select(F.lit(-1).alias("bracket"), F.col("p.length").cast("int").alias("size"), F.lit(0).alias("room"), F.lit(-1).cast("long").alias("sequence"), F.lit(1).cast("long").alias("n"), "p", tie.alias("tie"))
     key = [F.desc("size"), F.desc("bracket"), F.desc("room"), F.asc("tie")]
-    dealt = opening.unionByName(closing).repartitionByRange(ways, *key).sortWithinPartitions(*key).select("bracket", "sequence", "n", "p")
+    return opening.unionByName(closing).repartitionByRange(ways, *key).sortWithinPartitions(*key).select("bracket", "sequence", "n", "p")
+
+
+def _sweep(todo: DataFrame, gaps: DataFrame, low: int, high: int, ways: int) -> tuple[DataFrame, DataFrame, int, list[str]]:
+    """One superstep over pieces (p) with lengths in (low, high]: what got a gap (p, sequence), the pieces left, how many got one, and the tables written."""
+    spark, kind_of_piece = todo.sparkSession, todo.schema["p"].dataType
+    dealt = _dealt(todo, gaps, low, high, ways)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]

@@ -11,6 +11,7 @@ import pytest
 import sentencepiece
 import tokenizers
 from helpers import DOCUMENTS, ODD_TEXTS, corpus, odd_rows
+from pyspark.sql import functions as F
 
 from matchloom.llm import packing, pieces
 
@@ -140,6 +141,15 @@ def test_packing_is_as_good_as_one_by_one(spark, monkeypatch, kind, task_rows):
     assert len(by_sequence) <= best + 1
 
 
+def test_wide_gaps_are_spread_over_the_ranges(spark):
+    """200 gaps for 204 pieces each beside as many short pieces, in 7 ranges: no range is much heavier than another."""
+    todo = spark.range(40_800).select(F.struct(F.col("id").alias("doc_id"), F.lit(10).alias("length")).alias("p"))
+    gaps = spark.range(200).select(F.col("id").alias("sequence"), F.lit(2048).alias("room"))
+    dealt = packing._dealt(todo, gaps, 1, 10, 7)
+    held = [r[0] for r in dealt.groupBy(F.spark_partition_id()).agg(F.sum("n")).select("sum(n)").collect()]
+    assert sum(held) == 2 * 40_800 + 200 and max(held) < 1.7 * sum(held) / 7
+
+
 def test_packing_many_copies_odd_rows_and_clashes(spark):
     same = spark.createDataFrame([(k, "the same text again", "en", "s", 1) for k in range(500)], DOCUMENTS).repartition(3)
     out = packing.best_fit(same, VOCABULARY, 64).collect()
