@@ -443,8 +443,10 @@ _ROWS = "string_agg(chr(9) || '(' || n_nationkey || ', ''' || n_name || ''', ' |
       ('SC', 1, NULL, 'CREATE SCHEMA IF NOT EXISTS `made`'),
       ('FN', 2, 'twice', 'CREATE OR REPLACE FUNCTION `made`.`twice`(n INT) RETURNS INT RETURN n * 2'),
       ('U', 3, 'nations', 'CREATE TABLE IF NOT EXISTS `made`.`nations` (' || chr(10) || '  n_nationkey INT COMMENT ''the key'',' || chr(10) || '  n_name STRING,' || chr(10) || '  n_regionkey INT)' || chr(10) || 'USING parquet' || chr(10) || 'PARTITIONED BY (n_regionkey)' || chr(10) || 'COMMENT ''by region'''),
-      ('V', 5, 'first', 'CREATE OR REPLACE VIEW `made`.`first` AS SELECT n_name FROM made.nations WHERE n_nationkey = 0')) AS t(kind, place, name, text)
-    UNION ALL SELECT 'DT', 4, 'nations', 'INSERT INTO `made`.`nations` (`n_nationkey`, `n_name`, `n_regionkey`)' || chr(10) || 'VALUES' || chr(10) || {_ROWS} FROM nation""",
+      ('FN', 4, 'counted', 'CREATE OR REPLACE FUNCTION `made`.`counted`(least INT) RETURNS BIGINT RETURN (SELECT count(*) FROM made.nations WHERE n_nationkey >= least)'),
+      ('V', 6, 'first', 'CREATE OR REPLACE VIEW `made`.`first` AS SELECT n_name FROM made.nations WHERE n_nationkey = 0'),
+      ('V', 7, 'again', 'CREATE OR REPLACE VIEW `made`.`again` AS SELECT n_name, made.counted(1) AS others FROM made.first')) AS t(kind, place, name, text)
+    UNION ALL SELECT 'DT', 5, 'nations', 'INSERT INTO `made`.`nations` (`n_nationkey`, `n_name`, `n_regionkey`)' || chr(10) || 'VALUES' || chr(10) || {_ROWS} FROM nation""",
 )
 def created(spark: SparkSession, d: str) -> DataFrame:
     """The definitions of a schema that is made for this and dropped again."""
@@ -455,6 +457,8 @@ def created(spark: SparkSession, d: str) -> DataFrame:
         table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").write.insertInto(f"{made}.nations")
         spark.sql(f"CREATE VIEW {made}.first AS SELECT n_name FROM {made}.nations WHERE n_nationkey = 0")
         spark.sql(f"CREATE FUNCTION {made}.twice(n INT) RETURNS INT RETURN n * 2")
+        spark.sql(f"CREATE FUNCTION {made}.counted(least INT) RETURNS BIGINT RETURN (SELECT count(*) FROM {made}.nations WHERE n_nationkey >= least)")
+        spark.sql(f"CREATE VIEW {made}.again AS SELECT n_name, {made}.counted(1) AS others FROM {made}.first")
         found = definitions(spark, [made], data=True)
     finally:
         spark.sql(f"DROP SCHEMA {made} CASCADE")

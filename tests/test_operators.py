@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from matchloom.operators import Field, Rule, Timer, db_creator, definitions, mash, match, print_parts, select_to_html, select_to_html_colour, string_table_split, structure_compliance, transpose
 from matchloom.operators import mashing
+from matchloom.operators.ddl import Definition, _ordered
 from matchloom.operators.compliance import column_errors
 from matchloom.operators.numbering import order_by, with_row_number
 from matchloom.operators.timer import duration_text
@@ -258,3 +259,36 @@ def test_ddl(spark):
     assert spark.table("made.t").orderBy("id").collect() == before and spark.table("made.w").count() == 2
     assert spark.table("made.t").schema["a b"].dataType == T.StringType()
     spark.sql("DROP SCHEMA made CASCADE")
+
+
+def test_scripts_in_the_order_of_what_is_read(spark):
+    """Made again on an empty catalog: views of later views, functions that read tables and views, names without their schema."""
+    spark.sql("CREATE SCHEMA made2")
+    try:
+        spark.sql("CREATE TABLE made2.t USING parquet AS SELECT 1 AS id UNION ALL SELECT 2")
+        spark.sql("USE made2")
+        spark.sql("CREATE VIEW z AS SELECT id FROM t WHERE EXISTS (SELECT 1 FROM t AS u WHERE u.id > t.id)")
+        spark.sql("USE default")
+        spark.sql("CREATE FUNCTION made2.f(n INT) RETURNS BIGINT RETURN (SELECT count(*) FROM made2.z WHERE id >= n)")
+        spark.sql("CREATE VIEW made2.a AS WITH c AS (SELECT * FROM made2.z) SELECT id, made2.f(1) AS n FROM c")
+        script, again = db_creator(spark, ["made2"], data=True), db_creator(spark, ["made2"], replace=True, data=True)
+        assert [d.name for d in definitions(spark, ["made2"])] == [None, "t", "z", "f", "a"]
+        spark.sql("DROP FUNCTION made2.f")  # the session would remember it
+        spark.sql("DROP SCHEMA made2 CASCADE")
+        for statement in script.split(";\n"):
+            if statement.strip():
+                spark.sql(statement)
+        assert [tuple(r) for r in spark.sql("SELECT * FROM made2.a").collect()] == [(1, 1)] and spark.catalog.currentDatabase() == "default"
+        assert again.index("DROP VIEW IF EXISTS `made2`.`a`") < again.index("DROP FUNCTION IF EXISTS `made2`.`f`") < again.index("DROP VIEW IF EXISTS `made2`.`z`") < again.index("DROP TABLE")
+        db_creator(spark, ["made2"], replace=True, data=True, commit=True)
+        assert spark.table("made2.a").count() == 1
+    finally:
+        spark.sql("USE default")
+        spark.sql("DROP SCHEMA IF EXISTS made2 CASCADE")
+
+
+def test_circles_are_named():
+    made = [Definition("V", "s", "a", "", None, (("s", "b"),)), Definition("FN", "s", "b", "", None, (("s", "c"),)), Definition("V", "s", "c", "", None, (("s", "b"), ("s", "t"))), Definition("U", "s", "t", "")]
+    with pytest.raises(ValueError, match="circle: `s`.`b`, `s`.`c`"):
+        _ordered(made)
+    assert [d.name for d in _ordered(made[::-1][:1] + [made[0]])] == ["t", "a"]
