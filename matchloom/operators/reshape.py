@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,27 @@ def string_table_split(spark: SparkSession, string: str, separator: str = ",", r
     return cells.orderBy("n").select(checked.alias("cells")).select(*(F.col("cells")[k].alias(name) for k, name in enumerate(names)))
 
 
+def string_tables_split(rows: DataFrame, column: str, names: Sequence[str], separator: str = ",", row_separator: str = ";", header: bool = True) -> DataFrame:
+    """The tables that the texts of a column spell out, one below the other: the other columns of each row, ``line`` (from 1, without the header) and ``names``.
+
+    All texts have the same columns, which with a header they name themselves; a text with other names or another number of items is an error.
+    Null texts have no lines.  It is a projection: no shuffle, and nothing leaves the JVM."""
+    if clash := {*names, "line"} & {c for c in rows.columns if c != column} or len({*names, "line"}) <= len(names):
+        raise ValueError(f"columns {sorted(clash) if isinstance(clash, set) else list(names)} are there twice")
+    cells = lambda line: F.split(line, re.escape(separator), -1)
+    others = [F.col(f"`{c}`") for c in rows.columns if c != column]
+    lines = rows.select(*others, F.posexplode(F.split(F.col(f"`{column}`"), re.escape(row_separator), -1)).alias("__n", "__line"))
+    found = lines.withColumn("__cells", cells(F.col("__line")))
+    wrong = F.size("__cells") != len(names)
+    if header:
+        wrong |= (F.col("__n") == 0) & (F.col("__cells") != F.array(*map(F.lit, names)))
+    told = F.raise_error(F.concat(F.lit("line with other names or another number of items: "), F.col("__line"))).cast("array<string>")
+    found = found.withColumn("__cells", F.when(wrong, told).otherwise(F.col("__cells")))
+    kept = F.filter(F.array("__cells"), lambda _: F.col("__n") >= (1 if header else 0))  # after the test, so that it is made for headers too
+    found = found.select(*others, (F.col("__n") + (0 if header else 1)).alias("line"), F.explode(kept).alias("__cells"))
+    return found.select(*others, "line", *(F.col("__cells")[k].alias(name) for k, name in enumerate(names)))
+
+
 def transpose(df: DataFrame, include_labels: bool = True) -> DataFrame:
     """Rows become columns: names come from the first column, each further column becomes a row of strings; null reads ``NULL``.
 

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.norm import text
+from .numbering import with_row_number
 
 LOG = "session_id string, process string, instance_id long, task_start timestamp_ntz, instance_start timestamp_ntz, instance_end timestamp_ntz, batch_id string, plan_id string"
 
@@ -54,11 +55,12 @@ class Timer:
 def report(log: DataFrame) -> DataFrame:
     """Durations in ms of instances and tasks, with least, mean (cut to a whole number) and greatest by plan, batch and process."""
     ms = lambda a, b: F.timestamp_diff("MILLISECOND", F.col(a), F.col(b))
-    task = Window.partitionBy("session_id", "task_start")
-    timed = log.select(
-        F.col("session_id").alias("session_id"), "plan_id", "batch_id", F.coalesce("process", F.lit("")).alias("process"),
-        F.row_number().over(task.orderBy("instance_start", "instance_id")).cast("long").alias("process_instance"), "instance_id", "task_start",
-        F.max("instance_end").over(task).alias("task_end"), "instance_start", "instance_end",
+    # numbers within a task are those of all rows in order of the tasks, less that of the task's first: a task may be of any size
+    key = [F.col(c).asc() for c in ("session_id", "task_start", "instance_start", "instance_id")]
+    numbered = with_row_number(log.withColumn("process", F.coalesce("process", F.lit(""))), "__n", key)
+    tasks = numbered.groupBy(F.col("session_id").alias("__session"), F.col("task_start").alias("__start")).agg(F.min("__n").alias("__first"), F.max("instance_end").alias("task_end"))
+    timed = numbered.join(tasks, numbered["session_id"].eqNullSafe(tasks["__session"]) & numbered["task_start"].eqNullSafe(tasks["__start"])).select(
+        "session_id", "plan_id", "batch_id", "process", (F.col("__n") - F.col("__first") + 1).alias("process_instance"), "instance_id", "task_start", "task_end", "instance_start", "instance_end",
     )
     timed = timed.withColumn("task_duration", ms("task_start", "task_end")).withColumn("instance_duration", ms("instance_start", "instance_end"))
     # groups are few and rows many: sums by partial aggregation, joined back, instead of one task for each group

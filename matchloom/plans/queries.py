@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..functions.predicates import PREDICATES
 from ..functions.strings import MINOR_WORDS
-from ..operators import Field, definitions, mash, match, printed_parts, report, select_to_html, select_to_html_colour, string_table_split, structure_compliance, transpose
+from ..operators import Field, definitions, mash, match, printed_parts, report, select_to_html, select_to_html_colour, string_tables_split, structure_compliance, transpose
 from ..sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -333,15 +333,22 @@ def compliance(spark: SparkSession, d: str) -> DataFrame:
     return structure_compliance(text, unique)
 
 
-@_add("string_table_split", "SELECT * FROM (VALUES ('Massive Moss Charger', 'Greenpath'), ('Hornet', ''), ('False Knight', 'Crossroads')) AS t(Boss, Location)")
+@_add(
+    "string_table_split",
+    """SELECT c_custkey, 1 AS line, 'name' AS Field, c_name AS Value FROM customer UNION ALL SELECT c_custkey, 2, 'segment', c_mktsegment FROM customer
+    UNION ALL SELECT c_custkey, 3, 'nation', c_nationkey::VARCHAR FROM customer""",
+)
 def table_split(spark: SparkSession, d: str) -> DataFrame:
-    return string_table_split(spark, "Boss,Location;Massive Moss Charger,Greenpath;Hornet,;False Knight,Crossroads")
+    """A text of each customer, with a header, as lines of a table."""
+    spelled = F.concat(F.lit("Field,Value;name,"), "c_name", F.lit(";segment,"), "c_mktsegment", F.lit(";nation,"), F.col("c_nationkey").cast("string"))
+    return string_tables_split(table(spark, d, "customer").select("c_custkey", spelled.alias("text")), "text", ["Field", "Value"])
 
 
-@_add("string_table_split_wide", "SELECT * FROM (VALUES ('a;b', 'c'), ('', '|')) AS t(Column1, Column2)")
+@_add("string_table_split_wide", "SELECT p_partkey, 1 AS line, p_name AS Column1, p_type AS Column2 FROM part UNION ALL SELECT p_partkey, 2, ';' || p_brand, '|' FROM part")
 def table_split_wide(spark: SparkSession, d: str) -> DataFrame:
     """Separators of several characters, no header."""
-    return string_table_split(spark, "a;b||c;;|||", "||", ";;", header=False)
+    spelled = F.concat("p_name", F.lit("||"), "p_type", F.lit(";;;"), "p_brand", F.lit("|||"))
+    return string_tables_split(table(spark, d, "part").select("p_partkey", spelled.alias("text")), "text", ["Column1", "Column2"], "||", ";;", header=False)
 
 
 _NATIONS = ", ".join(f"max(CASE WHEN n_nationkey = {k} THEN {{}} END) AS \"{k}\"" for k in range(25))

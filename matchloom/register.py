@@ -11,9 +11,12 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeResult
 
 from .functions import distance, strings
 from .functions.norm import ACCENTED_LETTERS, COLLATION, PLAIN_LETTERS
+from .operators.timer import print_parts
 
 _EQUAL = f"(a COLLATE {COLLATION} = b COLLATE {COLLATION})"
 _FOLD = f"rtrim(translate({{}}, '{ACCENTED_LETTERS}', '{PLAIN_LETTERS}'))"
@@ -118,6 +121,42 @@ def _replace(string: pd.Series, old: pd.Series, new: pd.Series, strict: pd.Serie
     return pd.Series([None if x is None else strings.replace_text(x, a, b, bool(s)) for x, a, b, s in zip(string, old, new, strict)], dtype=object)
 
 
+class StringTableSplit:
+    """``p_string_table_split(string [, separator, row_separator, header, columns])``: the table that a text spells out.
+
+    Columns are those of a constant text.  For the texts of a table, which are not known while the query is planned, ``columns`` lists their names, as a header would."""
+
+    @staticmethod
+    def analyze(string, separator=None, row_separator=None, header=None, columns=None):
+        given = [a.value if a is not None and a.isConstantExpression else None for a in (separator, row_separator, header, columns)]
+        between, below, header = given[0] or ",", given[1] or ";", given[2] is not False
+        if given[3] is not None:
+            names = given[3].split(between)
+        elif string.isConstantExpression and string.value is not None:
+            first = string.value.split(below)[0].split(between)
+            names = first if header else [f"Column{k}" for k in range(1, len(first) + 1)]
+        else:
+            raise ValueError("columns must be listed for a text that is not constant")
+        return AnalyzeResult(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+
+    def eval(self, string, separator=",", row_separator=";", header=True, columns=None):
+        if string is None:
+            return
+        lines = [line.split(separator) for line in string.split(row_separator)]
+        for line in lines[1 if header else 0 :]:
+            if len(line) != len(lines[0]):
+                raise ValueError(f"row with another number of items: {separator.join(line)}")
+            yield tuple(line)
+
+
+class Print:
+    """``p_print(string [, most])``: a long text in the parts that are printed one after another."""
+
+    def eval(self, string: str, most: int = 4000):
+        for part in print_parts(string or "", most):
+            yield (part,)
+
+
 def register(spark: SparkSession) -> list[str]:
     """Registers all; returns their names."""
     for name, function, kind in (("osa", distance.osa_many, "int"), ("damerau", distance.damerau_many, "int"), ("jaro", distance.jaro_many, "double")):
@@ -126,6 +165,8 @@ def register(spark: SparkSession) -> list[str]:
         spark.udf.register(name, F.pandas_udf(_of_values(function), "string"))
     for name, function in (("extract_param", _extract_param), ("extract_pattern", _extract_pattern), ("replace", _replace)):  # their patterns may be columns
         spark.udf.register(f"matchloom_{name}", F.pandas_udf(function, "string"))
+    spark.udtf.register("p_string_table_split", F.udtf(StringTableSplit))
+    spark.udtf.register("p_print", F.udtf(Print, returnType="part string"))
     for name, (parameters, kind, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
-    return ["fn_title_case", "fn_json_formatter", *SQL_FUNCTIONS]
+    return ["fn_title_case", "fn_json_formatter", "p_string_table_split", "p_print", *SQL_FUNCTIONS]

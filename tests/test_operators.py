@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.operators import Field, Rule, Timer, db_creator, definitions, mash, match, print_parts, select_to_html, select_to_html_colour, string_table_split, structure_compliance, transpose
+from matchloom.operators import Field, Rule, Timer, db_creator, definitions, mash, match, print_parts, report, select_to_html, select_to_html_colour, string_table_split, string_tables_split, structure_compliance, transpose
 from matchloom.operators import mashing
 from matchloom.operators.ddl import Definition, _ordered
 from matchloom.operators.compliance import column_errors
@@ -292,3 +292,27 @@ def test_circles_are_named():
     with pytest.raises(ValueError, match="circle: `s`.`b`, `s`.`c`"):
         _ordered(made)
     assert [d.name for d in _ordered(made[::-1][:1] + [made[0]])] == ["t", "a"]
+
+
+def test_string_tables(spark):
+    rows = spark.createDataFrame([(1, "a,b;1,2;,x"), (2, "a,b"), (3, None)], "k int, s string")
+    assert sorted(map(tuple, string_tables_split(rows, "s", ["a", "b"]).collect())) == [(1, 1, "1", "2"), (1, 2, "", "x")]
+    assert sorted(map(tuple, string_tables_split(rows.where("k = 2"), "s", ["x", "y"], header=False).collect())) == [(2, 1, "a", "b")]
+    with pytest.raises(Exception, match="other names"):
+        string_tables_split(rows, "s", ["a", "c"]).collect()
+    for names in (["k", "b"], ["a", "a"], ["line"]):
+        with pytest.raises(ValueError):
+            string_tables_split(rows, "s", names)
+
+
+def test_report_of_one_large_task(spark):
+    """Numbers in a task are made by ranges: no partition holds the task as a whole."""
+    log = spark.range(4000).selectExpr(
+        "if(id % 4 = 0, NULL, 's') AS session_id", "'p' AS process", "id AS instance_id", "timestamp_ntz'2024-01-01' AS task_start", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id % 7) AS instance_start",
+        "timestamp_ntz'2024-01-02' AS instance_end", "'b' AS batch_id", "'q' AS plan_id",
+    )
+    out = report(log)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.session_id, r.instance_id): r.process_instance for r in out.collect()}
+    for session, ids in ((None, [k for k in range(4000) if k % 4 == 0]), ("s", [k for k in range(4000) if k % 4])):
+        assert [got[session, k] for k in sorted(ids, key=lambda k: (k % 7, k))] == list(range(1, len(ids) + 1))

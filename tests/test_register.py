@@ -66,3 +66,14 @@ def test_bad_colours_are_errors(spark, pairs):
         with pytest.raises(Exception, match="not a colour"):
             spark.sql(shown).collect()
     assert {r[1] for r in spark.sql("SELECT * FROM tf_hexcode_to_rgb(CAST(NULL AS STRING))").collect()} == {None}
+
+
+def test_procedures_as_table_functions(spark):
+    register(spark)
+    found = spark.sql("SELECT * FROM p_string_table_split('Boss,Location;Massive Moss Charger,Greenpath;Hornet,')")
+    assert found.columns == ["Boss", "Location"] and sorted(map(tuple, found.collect())) == [("Hornet", ""), ("Massive Moss Charger", "Greenpath")]
+    assert spark.sql("SELECT * FROM p_string_table_split('a|b', separator => '|', header => false)").collect() == [("a", "b")]
+    spark.createDataFrame([(1, "x,y;1,2;3,4"), (2, None)], "k int, s string").createOrReplaceTempView("spelled")
+    rows = spark.sql("SELECT k, t.* FROM spelled, LATERAL p_string_table_split(s, ',', ';', true, 'x,y') t").collect()
+    assert sorted(map(tuple, rows)) == [(1, "1", "2"), (1, "3", "4")]
+    assert [r.part for r in spark.sql("SELECT * FROM p_print('ab\\ncd', 4)").collect()] == ["ab", "cd"]
