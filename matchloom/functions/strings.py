@@ -42,6 +42,10 @@ def extract_pattern(string: Column | str, pattern: str = "[A..Z,0-9]", pattern_l
         tail = F.regexp_extract(s, "( *)$", 1)
         one = patterns.to_regex(pattern)
         return F.concat(F.regexp_replace(F.rtrim(s), f"(?!{one})[\\s\\S]", F.lit("")), tail)
+    if patterns.width(pattern) == pattern_length:
+        # from left to right: blanks at the end stay, the first character of a window that matches stays, another window goes
+        windows = f"( +\\z)|(?={patterns.to_regex(pattern)})([\\s\\S])|[\\s\\S]{{1,{pattern_length}}}"
+        return F.regexp_replace(s, windows, F.lit("$1$2"))
     return _mapped(lambda x: extract_pattern_text(x, pattern, pattern_length))(s)
 
 
@@ -164,8 +168,19 @@ def title_text(value: str) -> str | None:
 
 
 def title_case(string: Column | str) -> Column:
-    """Title case, with minor words in lower case but at the start and after terminals, brackets and slashes."""
-    return _mapped(title_text)(text(string))
+    """Title case, with minor words in lower case but at the start and after terminals, brackets and slashes; null for an empty text.
+
+    Every part that such a character ends starts anew: its first word, after blanks and commas, is raised, and of the others all but minor words."""
+    s = text(string)
+    ends, between = (re.escape(x).replace("/", "\\/") for x in (TERMINALS + ENCLOSERS + DIVISIVES, INTERNALS))
+    parts = F.split(F.lower(s), f"(?<=[{ends}])", -1)
+
+    def raised(part: Column) -> Column:
+        first = F.length(F.regexp_extract(part, f"^[{between}]*", 0))
+        stays = lambda word, k: F.rtrim(word).isin(*MINOR_WORDS) & (k != first)
+        return F.array_join(F.transform(F.split(part, f"(?<=[{between}])", -1), lambda word, k: F.when(stays(word, k), word).otherwise(F.concat(_raise(F.substring(word, 1, 1)), F.substr(word, F.lit(2))))), "")
+
+    return F.when(s != "", F.array_join(F.transform(parts, raised), ""))
 
 
 def string_split_item(string: Column | str, separator: str = ",", item: int = 0) -> Column:

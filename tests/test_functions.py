@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from matchloom import functions as fn
+from matchloom.functions import strings
 from matchloom.functions import distance, patterns
 from matchloom.functions.strings import json_text, title_text
 
@@ -206,3 +207,18 @@ def test_patterns():
     assert patterns.width("[^a-z]_x") == 3
     assert patterns.compiled("[a-c]").fullmatch("é") is None and patterns.compiled("[a-f]").fullmatch("é")
     assert patterns.compiled("e%x").search("é..x") and not patterns.compiled("a.c").search("abc")
+
+
+def test_title_case_and_windows_without_python(spark):
+    """The column functions against the plain ones, on texts of all the characters that matter."""
+    rng = random.Random(4)
+    words = ["the", "of", "a", "straße", "ßa", "élan", "x", "", "is", "THE", "Of"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", ", ", ".", "! ", "/", "-", "\\", "(", " [", "\n", ",,", " ", " "]) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    texts += ["", " ", ",", "of", "of ", " the", ". the of", "a/the", None, "A1b2  ", "12 ", " 1", "1", "a" * 5 + "  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, s string")
+    out = df.select("k", fn.title_case("s").alias("t"), fn.extract_pattern("s", "[a-z][a-z]", 2).alias("w"), fn.extract_pattern("s", "[a-z ][. ][a-z]", 3).alias("v"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.collect():
+        x = texts[r.k]
+        assert r.t == (None if x is None else strings.title_text(x)), x
+        assert (r.w, r.v) == ((None, None) if x is None else (strings.extract_pattern_text(x, "[a-z][a-z]", 2), strings.extract_pattern_text(x, "[a-z ][. ][a-z]", 3))), x
