@@ -1,8 +1,9 @@
 """Structure compliance: every row gets a text of its deviations from an expected structure.
 
 The checks, in order: names and positions of columns (the same for all rows), conversion to the type, truncation,
-missing data, duplicates within groups of columns.  All but the last are one projection; duplicates are counted by a
-partial aggregation and joined back, so that a repeated key is no hot partition.
+missing data, duplicates within groups of columns.  All but the last are one projection.  For the last, keys are counted with partial aggregation and those that
+repeat are written: with none of them nothing is joined, few are broadcast, and of many the most frequent are broadcast and bitmaps of hashes tell which
+of the other rows have to move at all.  So rows whose key does not repeat are not shuffled, and a hot key is no hot partition.
 """
 
 from __future__ import annotations
@@ -10,11 +11,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .candidates import BROADCAST_BYTES
+from .tables import size, written
+
 ERROR = "__error__"
+#: Bits of the bitmaps of keys that repeat (1 MB), and how many keys count as hot at most.
+PLACES, HOT = 1 << 23, 1000
 
 
 @dataclass(frozen=True)
@@ -80,6 +86,55 @@ def column_errors(expected: Sequence[Field], actual: Sequence[str]) -> str:
     return f"Column error: {', '.join(found)}. " if found else ""
 
 
+def _place(columns: Sequence[Column]) -> tuple[Column, Column]:
+    """Bitmap and bit of a key."""
+    place = F.pmod(F.xxhash64(*columns), F.lit(PLACES))
+    return F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+
+
+def may_repeat(rows: DataFrame, twice: DataFrame, columns: Sequence[Column], keys: Sequence[Column], name: str) -> DataFrame:
+    """The rows with a column that is true where the key may be one of ``twice``: bitmaps of hashes, 4 KB each, ``PLACES`` bits in all, are broadcast."""
+    bucket, bit = _place(keys)
+    maps = twice.select(bucket.alias("__bucket"), bit.alias("__bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__map"))
+    bucket, bit = _place(columns)
+    rows = rows.withColumn("__bucket", bucket).withColumn("__bit", bit).join(F.broadcast(maps), "__bucket", "left")
+    byte = F.conv(F.hex(F.substring("__map", (F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("__bit") % 8)), F.lit(2)) == 1
+    return rows.withColumn(name, F.coalesce(held, F.lit(False))).drop("__bucket", "__bit", "__map")
+
+
+def marked(rows: DataFrame, df: DataFrame, names: Sequence[str], mark: str) -> DataFrame:
+    """The rows with ``mark``, true where ``df`` holds their key more than once and else null or false.
+
+    Keys that repeat are counted and written.  Few are broadcast.  Of many, the most frequent (``HOT`` at most) are broadcast, and of the other rows
+    only those move whose hash is that of a key that repeats."""
+    spark = df.sparkSession
+    counted = df.groupBy(*(F.col(f"`{n}`").alias(f"__u{k}") for k, n in enumerate(names))).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    seen = Observation()
+    twice, path = written(counted.observe(seen, F.count(F.lit(1)).alias("keys"), F.sum("__n").alias("rows")), "repeated")
+    keys, total = seen.get["keys"], seen.get["rows"]
+    if not keys:
+        return rows.withColumn(mark, F.lit(False))
+    columns = [F.col(f"`{n}`") for n in names]
+
+    def joined(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
+        right = right.drop("__n").withColumn(name, F.lit(True))
+        same = None
+        for k, n in enumerate(names):
+            part = left[f"`{n}`"].eqNullSafe(right[f"__u{k}"])
+            same = part if same is None else same & part
+        return left.join(right, same, "left").drop(*(f"__u{k}" for k in range(len(names))))
+
+    if size(spark, path) <= BROADCAST_BYTES:
+        return joined(rows, F.broadcast(twice), mark)
+    hot = F.col("__n") * HOT > total
+    near = joined(rows, F.broadcast(twice.where(hot)), "__hot")
+    asked = may_repeat(near, twice.where(~hot), columns, [F.col(f"__u{k}") for k in range(len(names))], "__may")
+    away = F.col("__hot").isNull() & F.col("__may")
+    stay = asked.where(~away).withColumn(mark, F.col("__hot"))
+    return stay.unionByName(joined(asked.where(away), twice.where(~hot), mark)).drop("__hot", "__may")
+
+
 def structure_compliance(df: DataFrame, structure: T.StructType | Sequence[Field], truncation_check: bool = True) -> DataFrame:
     """The rows with a column ``__error__``, empty for rows without deviation."""
     expected = fields_of(structure)
@@ -107,12 +162,7 @@ def structure_compliance(df: DataFrame, structure: T.StructType | Sequence[Field
     out, marks = df, []
     for number, names in sorted(groups.items()):
         mark = f"__unique_{number}"
-        twice = df.groupBy(*(F.col(f"`{n}`").alias(f"__u{k}") for k, n in enumerate(names))).count().where("count > 1").drop("count").withColumn(mark, F.lit(True))
-        same = None
-        for k, n in enumerate(names):
-            part = out[f"`{n}`"].eqNullSafe(twice[f"__u{k}"])
-            same = part if same is None else same & part
-        out = out.join(twice, same, "left").drop(*(f"__u{k}" for k in range(len(names))))
+        out = marked(out, df, names, mark)
         marks.append(mark)
         listed = ", ".join(f"[{n}]" for n in names)
         parts.append(F.when(F.col(mark), f"Uniqueness error: ({listed}) contains duplicates. ").otherwise(""))
