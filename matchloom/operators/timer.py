@@ -23,17 +23,19 @@ def duration_text(milliseconds: int) -> str:
 
 
 class Timer:
-    """A log of instances (spans between calls) of one task after another; a batch is known by a hash of its text."""
+    """A log of instances (spans between calls) of one task after another.  A batch is known by a hash of its text, a plan by a hash of the
+    query's analysed plan in its canonical form, so that texts that differ in spelling alone are batches of one plan."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.rows: list[tuple] = []
         self.begin("")
 
-    def begin(self, batch: str) -> None:
-        """Starts a task that runs the given text."""
+    def begin(self, batch: str, query: DataFrame | None = None) -> None:
+        """Starts a task that runs the given text; ``query`` is what it reads, if it is a query.  Without one the plan is known by the text."""
         self.task_start = datetime.now()
         self.batch = hashlib.sha256(batch.encode()).hexdigest()[:16]
+        self.plan = self.batch if query is None else f"{query.semanticHash() & 0xFFFFFFFF:08x}"
 
     def __call__(self, process: str | None = None, start: datetime | None = None, record: bool = True) -> str:
         """Ends an instance; returns what to print of it."""
@@ -41,7 +43,7 @@ class Timer:
         last = self.rows[-1] if self.rows else None
         start = start or (last[5] if last and last[3] == self.task_start else self.task_start)
         if record:
-            self.rows.append((self.spark.sparkContext.applicationId, process, number, self.task_start, start, now, self.batch, self.batch))
+            self.rows.append((self.spark.sparkContext.applicationId, process, number, self.task_start, start, now, self.batch, self.plan))
         took = int((now - start).total_seconds() * 1000)
         return f"{process or ''} (Instance {number if record else ''}) - {duration_text(took)}".lstrip()
 

@@ -338,3 +338,15 @@ def test_nothing_is_joined_where_nothing_repeats(spark):
     out = structure_compliance(spark.range(100).selectExpr("cast(id as string) AS a"), [Field("a", "varchar", 5, unique=1)])
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan and {r["__error__"] for r in out.collect()} == {""}
+
+
+def test_one_plan_of_two_batches(spark):
+    timer = Timer(spark)
+    for text in ("SELECT id FROM range(9) WHERE id > 3", "select  id  from range(9)\nwhere id > 3", "SELECT id FROM range(9) WHERE id > 4"):
+        timer.begin(text, spark.sql(text))
+        timer("step")
+    plans, batches = ([r[k] for r in timer.rows] for k in (7, 6))
+    assert plans[0] == plans[1] != plans[2] and len(set(batches)) == 3
+    timer.begin("no query")
+    timer("step")
+    assert timer.rows[-1][6] == timer.rows[-1][7] and timer.display().count() == 4
