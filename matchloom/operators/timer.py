@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Iterator
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,10 +87,9 @@ def print_parts(string: str, most: int = 4000) -> Iterator[str]:
             string = string[at + 1 :]
 
 
-def printed_parts(string: Column | str) -> Column:
-    """The parts of each text, in order; null for null."""
+def printed_parts(string: Column | str, most: int = 4000) -> Column:
+    """The parts of each text, in order; null for null.
 
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: list(print_parts(x)), na_action="ignore")
-
-    return F.pandas_udf(run, "array<string>")(text(string))
+    A part is what stands before the last line end among the next ``most`` characters, or all of them if there is none; blanks at the end are no part."""
+    parts = F.regexp_extract_all(F.replace(text(string), F.lit("\r"), F.lit("\n")), F.lit(f"(?! *\\z)(?:[\\s\\S]{{0,{most - 1}}}\n|[\\s\\S]{{1,{most}}})"), F.lit(0))
+    return F.transform(parts, lambda part: F.regexp_replace(part, "\n\\z", F.lit("")))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.operators import Field, Rule, Timer, db_creator, definitions, mash, match, print_parts, report, select_to_html, select_to_html_colour, string_table_split, string_tables_split, structure_compliance, transpose
+from matchloom.operators import Field, Rule, Timer, db_creator, definitions, mash, match, print_parts, printed_parts, report, select_to_html, select_to_html_colour, string_table_split, string_tables_split, structure_compliance, transpose
 from matchloom.operators import compliance, mashing
 from matchloom.operators.ddl import Definition, _ordered
 from matchloom.operators.compliance import column_errors
@@ -350,3 +350,13 @@ def test_one_plan_of_two_batches(spark):
     timer.begin("no query")
     timer("step")
     assert timer.rows[-1][6] == timer.rows[-1][7] and timer.display().count() == 4
+
+
+@pytest.mark.parametrize("most", [1, 5, 4000])
+def test_printed_parts_like_one_by_one(spark, most):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab \n\r\u00e9\U0001f600") for _ in range(rng.randint(0, 40))) for _ in range(200)] + ["", " ", "\n", "x" * 9000, "x\n" * 5000, "y" * 4000 + "\nz", " " * 9000, "a" + " " * 9000, None]
+    out = spark.createDataFrame(list(enumerate(texts)), "k int, s string").select("k", printed_parts("s", most).alias("p"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.collect():
+        assert r.p == (None if texts[r.k] is None else list(print_parts(texts[r.k], most))), repr(texts[r.k])[:60]
