@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.operators import Field, Rule, Timer, db_creator, definitions, mash, match, print_parts, printed_parts, report, select_to_html, select_to_html_colour, string_table_split, string_tables_split, structure_compliance, transpose
+from matchloom.operators import Field, Rule, Timer, db_creator, definitions, mash, mash_script, match, print_parts, printed_parts, report, select_to_html, select_to_html_colour, string_table_split, string_tables_split, structure_compliance, transpose
 from matchloom.operators import compliance, mashing
 from matchloom.operators.ddl import Definition, _ordered
 from matchloom.operators.compliance import column_errors
@@ -360,3 +360,22 @@ def test_printed_parts_like_one_by_one(spark, most):
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
     for r in out.collect():
         assert r.p == (None if texts[r.k] is None else list(print_parts(texts[r.k], most))), repr(texts[r.k])[:60]
+
+
+def test_the_printed_script_of_mash(spark):
+    """Run as SQL, the script leaves what the operator returns."""
+    rng = random.Random(12)
+    rows = [(m, d, k) for k, (m, d) in enumerate(sorted({tuple(sorted(rng.sample("abcdefgh", 2))) for _ in range(12)}))] + [(None, "a", 25), ("b", None, 26)]
+    assert settles([r[:2] for r in rows[:-2]])
+    df = spark.createDataFrame(rows, "`m k` string, d string, v int")
+    with_row_number(df, "p", [F.col("v").asc()]).write.mode("overwrite").saveAsTable("to_mash")
+    try:
+        script = mash_script("to_mash", "default.mashed", master_key="m k", duplicate_key="d", priority="p", update_columns=["v"])
+        assert script.startswith("BEGIN") and "WHILE" in script
+        spark.sql(script)
+        wanted = mash(df, master_key="m k", duplicate_key="d", priority="v", update_columns=["v"])
+        assert sorted(map(tuple, spark.table("mashed").select("m k", "d", "v").collect()), key=repr) == sorted(map(tuple, wanted.select("m k", "d", "v").collect()), key=repr)
+        assert {t.name for t in spark.catalog.listTables("default") if "mashed" in t.name} == {"mashed"}
+    finally:
+        for name in ("to_mash", "mashed"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
