@@ -80,5 +80,5 @@ def test_query(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in entry_points.queries()

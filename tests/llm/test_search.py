@@ -70,28 +70,22 @@ def test_pruning_keeps_all_winners(spread):
         assert best[k].tolist() == [-s for s, _ in scores[:5]]
 
 
-def clustered(n=1600, width=32, centres=8):
-    """Vectors near one axis each."""
+def test_lists_are_passed_over_and_terms_spared(spark):
+    """Through the operator, with its own parameters: most multiplications of clustered vectors are not made."""
     rng = np.random.default_rng(8)
-    out = []
-    for k in range(n):
-        v = 0.02 * rng.normal(size=width)
-        v[k % centres] += rng.uniform(0.8, 1.2)
-        out.append((k, v.tolist()))
-    return out
-
-
-def test_lists_are_passed_over_and_terms_spared(spark, monkeypatch):
-    """Through the operator: most multiplications of clustered vectors are not made."""
-    monkeypatch.setattr(topk, "SHARD_ROWS", 400)
-    monkeypatch.setattr(topk, "BLOCK_ROWS", 32)
-    monkeypatch.setattr(topk, "LIST_ROWS", 25)
-    rows = clustered()
+    vectors = (0.02 * rng.normal(size=(24_000, 32))).astype(np.float32)
+    vectors[np.arange(24_000), np.arange(24_000) % 8] += rng.uniform(0.8, 1.2, 24_000).astype(np.float32)
     totals = {name: spark.sparkContext.accumulator(0.0) for name in topk.WORK}
-    got = found(spark, rows, count=lambda name, much: totals[name].add(much))
-    assert got == brute(rows)
+    got = found(spark, list(enumerate(vectors.tolist())), every=400, count=lambda name, much: totals[name].add(much))
+    whole = np.floor(64 * vectors.astype(float))
+    wanted = set()
+    for q in range(0, 24_000, 400):
+        score = whole @ whole[q]
+        others = np.lexsort((np.arange(24_000), -score))
+        wanted |= {(q, rank, int(k), int(score[k])) for rank, k in enumerate(others[others != q][:20], 1)}
+    assert got == wanted
     told = {name: x.value for name, x in totals.items()}
-    assert told["made"] < 0.5 * told["all"] and told["passed"] > 0.5 * told["lists"] > 0
+    assert told["made"] < 0.5 * told["all"] and told["passed"] > 0.5 * told["lists"] > 0, told
 
 
 def test_terms_are_spared(monkeypatch):
