@@ -14,7 +14,7 @@ whole texts, with no shuffle.
 
 Edge cases.  Null text reads as empty; an empty text has no indicator and scores the
 intercept; a null id is never held out and never learned from; repeated rows are
-scored alike; with no rows of one class the score is the share of class 1 (0.5 if
+scored alike; with fewer than 4 labelled rows or no rows of one class the score is the share of class 1 (0.5 if
 there are no rows at all); other columns are ignored.
 """
 

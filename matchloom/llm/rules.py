@@ -12,8 +12,8 @@ Scale.  The forest is fitted on the driver over a sample bounded by ``SAMPLE`` r
 Scoring is one map pass over the whole texts, with no shuffle.
 
 Edge cases.  Null text reads as empty: all counts 0, base failed.  Repeated rows are judged
-alike, a null id is kept as it is, other columns are ignored.  Without labels of both
-classes the verdict is that of the base rules.
+alike, a null id is kept as it is, other columns are ignored.  With fewer than 20
+labelled rows, or without labels of both classes, the verdict is that of the base rules.
 """
 
 from __future__ import annotations

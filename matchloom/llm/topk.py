@@ -11,7 +11,7 @@ The others are probed in the remaining terms, a few at a time, while they are co
 plain product.  A shard gives at most k rows a query (all ties counted, then the smaller ids), and shards are merged by rank.
 
 Scale.  The query set (one row in ``EVERY``) meets all rows in blocks.  Shards are dealt evenly to buckets; a task holds the shards of one
-bucket, about ``HELD`` at most, and the query blocks stream past them, so what moves is vectors + queries * buckets.
+bucket, ``LEAST_HELD`` to about ``HELD``, and the query blocks stream past them, so what moves is vectors + queries * buckets.
 Nothing is broadcast.
 
 Edge cases.  Vectors that are null or hold null or non-finite components, and rows with a null id,
