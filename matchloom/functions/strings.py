@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from datetime import date
 from functools import lru_cache
 
@@ -129,10 +130,22 @@ def replace_all(string: Column | str, old: str | None, new: str | None, strict:
     elif old == new * 2 and len(new) == 1 and not is_set:  # collapsing runs
         done = F.regexp_replace(s, f"{re.escape(new)}{{2,}}", F.lit(new.replace("\\", "\\\\").replace("$", "\\$")))
     else:
-        done = _mapped(lambda x: replace_text(x, old, new, False))(s)
+        done = _settled(s, lambda x: x.rlike(regex) if is_set else x.contains(old), lambda x: F.regexp_replace(x, regex, F.lit(new.replace("\\", "\\\\").replace("$", "\\$"))) if is_set else F.replace(x, F.lit(old), F.lit(new)), f"replacing {old!r} by {new!r} does not settle")
     return F.when(s.contains(new), s).otherwise(done) if strict else done
 
 
+def _settled(s: Column, starts: Callable[[Column], Column], once: Callable[[Column], Column], error: str) -> Column:
+    """``once`` until nothing changes, in at least as many passes as the text has characters, and 64; an error if it still changes then.
+
+    What makes texts shorter always settles.  Passes go in turns of about the root of their number, and what has settled sits the others out."""
+    turns = F.ceil(F.sqrt(F.length(s) + 64)).cast("int")
+    passed = lambda state, _: F.when(state["open"], F.struct(once(state["now"]).alias("now"), (once(state["now"]) != state["now"]).alias("open"))).otherwise(state)
+    turn = lambda state, _: F.when(state["open"], F.aggregate(F.sequence(F.lit(1), turns), state, passed)).otherwise(state)
+    end = lambda state: F.when(state["open"], F.raise_error(F.lit(error)).cast("string")).otherwise(state["now"])
+    rest = lambda now: F.when(starts(now), F.aggregate(F.sequence(F.lit(1), turns), F.struct(now.alias("now"), F.lit(True).alias("open")), turn, end)).otherwise(now)
+    return F.get(F.transform(F.array(once(once(once(s)))), rest), F.lit(0))  # most texts are done after three; an array of one, so that these are made once
+
+
 def _raise(c: Column) -> Column:
     """Upper case of one character; a sharp s stays, as its capital is two letters."""
     return F.when(c == "ß", c).otherwise(F.upper(c))
@@ -244,9 +257,42 @@ def json_text(value: str) -> str:
     return "".join(out).removeprefix("\n")
 
 
+#: Blanks between tokens of JSON, beyond those that ``\\s`` means.
+_BLANK = "\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Strings (to their end, or that of the text), marks, and other words.
+JSON_TOKEN = f'"[^"\\\\]*+(?:\\\\[\\s\\S][^"\\\\]*+)*+(?:"|\\z)|[{{}}\\[\\]:,]|[^{_BLANK}{{}}\\[\\]:,"]+'
+#: Tokens that one inner fold lays out; the texts of these are joined at the end, so that no long text is copied for each token.
+_FOLD = 256
+
+
 def json_formatter(string: Column | str) -> Column:
-    """JSON laid out a line for each item, indented with tabs."""
-    return _mapped(json_text)(text(string))
+    """JSON laid out a line for each item, indented with tabs.  Values are not parsed: key order and number text stay."""
+    found = F.regexp_extract_all(F.translate(text(string), "\n\t", ""), F.lit(JSON_TOKEN), F.lit(0))
+    tabs = lambda depth: F.concat(F.lit("\n"), F.repeat(F.lit("\t"), depth))
+
+    def laid(state: Column, token: Column) -> Column:
+        depth, outer = state["depth"], F.greatest(state["depth"] - 1, F.lit(0))
+        piece = (
+            F.when(token == ":", F.lit(": "))
+            .when(token.isin("}", "]"), F.concat(tabs(outer), token))
+            .when((token == ",") | (state["before"] == ":"), token)
+            .otherwise(F.concat(tabs(depth), token))
+        )
+        after = F.when(token.isin("{", "["), depth + 1).when(token.isin("}", "]"), outer).otherwise(depth)
+        return F.struct(F.concat(state["out"], piece).alias("out"), after.alias("depth"), token.alias("before"))
+
+    def whole(tokens: Column) -> Column:
+        def part(state: Column, k: Column) -> Column:
+            last = state["last"]
+            start = F.struct(F.lit("").alias("out"), last["depth"].alias("depth"), last["before"].alias("before"))
+            return F.struct(F.concat(state["parts"], F.array(last["out"])).alias("parts"), F.aggregate(F.slice(tokens, k * _FOLD + 1, F.lit(_FOLD)), start, laid).alias("last"))
+
+        nothing = F.struct(F.array().cast("array<string>").alias("parts"), F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"), F.lit("").alias("before")).alias("last"))
+        numbers = F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / _FOLD).cast("int"))
+        out = F.aggregate(numbers, nothing, part, lambda state: F.array_join(F.concat(state["parts"], F.array(state["last"]["out"])), ""))
+        return F.when(F.size(tokens) == 0, "").when(F.size(tokens) > 0, F.regexp_replace(out, "\\A\n", F.lit("")))
+
+    return F.get(F.transform(F.array(found), whole), F.lit(0))  # an array of one, so that tokens are taken once
 
 
 __all__ = [

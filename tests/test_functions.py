@@ -222,3 +222,27 @@ def test_title_case_and_windows_without_python(spark):
         x = texts[r.k]
         assert r.t == (None if x is None else strings.title_text(x)), x
         assert (r.w, r.v) == ((None, None) if x is None else (strings.extract_pattern_text(x, "[a-z][a-z]", 2), strings.extract_pattern_text(x, "[a-z ][. ][a-z]", 3))), x
+
+
+def test_json_and_settled_texts_without_python(spark):
+    """Layout and replacing to the end as expressions, against the plain loops."""
+    rng = random.Random(9)
+    marks = ["{", "}", "[", "]", ":", ",", '"', '"a b"', '"x\\\\"', '"\\"{,"', "\\", " ", "\n", "\t", "1.50", "null", "é", "\u00a0", "\x1d", "{}", "[]"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    texts += ["", " ", "\n", "1.50", None, '{"k": [' + ", ".join(['{"a": "b\\"c"}'] * 3000) + "]}", '"' + '\\"' * 50_000 + '"', '"' + "x" * 200_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, s string")
+    out = df.select("k", fn.json_formatter("s").alias("j"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.collect():
+        assert r.j == (None if texts[r.k] is None else json_text(texts[r.k])), texts[r.k][:200]
+    rules = [("ab", ""), ("ab", "ba"), ("aab", "b$\\"), ("[a-b]c", "c"), ("b[ab]", "a"), ("aa", "b")]
+    texts = ["".join(rng.choice("aabbcd") for _ in range(rng.randint(0, 60))) for _ in range(200)] + ["", None, "a" * 500 + "b" * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, s string")
+    out = df.select("k", *(fn.replace_all("s", a, b, False).alias(f"r{n}") for n, (a, b) in enumerate(rules)))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.collect():
+        for n, (a, b) in enumerate(rules):
+            assert r[f"r{n}"] == (None if texts[r.k] is None else strings.replace_text(texts[r.k], a, b, False)), (texts[r.k], a, b)
+    assert values(spark, fn.replace_all(F.lit("xab"), "ab", "bbaa", False)) == ["xbbaa"]
+    with pytest.raises(Exception, match="does not settle"):
+        values(spark, fn.replace_all(F.lit("abb"), "ab", "bbaa", False))
