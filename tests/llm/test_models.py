@@ -1,5 +1,6 @@
 """Classifiers: held-out accuracy, brute-force counts, edge cases."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -189,9 +190,26 @@ def test_every_language_is_learned(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     known = {f"l{k}" for k in range(300) if not is_held(k, 4, 2)}
     assert {lang for lang, raw in langid.fit(docs) if len(raw) >= 8} - {"digits"} == known
-    monkeypatch.setattr(langid, "MOST_LANGUAGES", 5)
-    with pytest.raises(ValueError, match="languages"):
-        langid.fit(docs)
+
+
+def test_languages_in_groups(spark, monkeypatch):
+    """Groups of dictionaries one after another give what all at once give, ties and texts without letters included."""
+    rng = random.Random(3)
+    words = {f"l{k}": ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(3, 7))) for _ in range(40)] for k in range(11)}
+    rows = [(k, " ".join(rng.choices(words[f"l{k % 11}"], k=30)), f"l{k % 11}", k) for k in range(330)]
+    rows += [(400 + k, x, None, None) for k, x in enumerate([None, "", "12", "a", "a a", " ".join(words["l0"] + words["l1"])])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _size long")
+    at_once = langid.fit(docs)
+    assert len(at_once) == 11
+    one = {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in langid.identify(docs, at_once).collect()}
+    kept = sorted(r.doc_id for r in langid.keep_known(docs, at_once).collect())
+    for size in (1, 4, 10):
+        monkeypatch.setattr(langid, "GROUP", size)
+        assert langid.fit(docs) == at_once  # no line is in two texts here
+        assert {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in langid.identify(docs, at_once).collect()} == one
+        some = langid.keep_known(docs, at_once)
+        assert some.schema == docs.schema and sorted(r.doc_id for r in some.collect()) == kept
+    assert langid.identify(docs.limit(0), at_once).collect() == []
 
 
 def test_dictionary_holds_pieces_of_all_texts():
