@@ -22,6 +22,9 @@ ERROR = "__error__"
 #: Bits of the bitmaps of keys that repeat (1 MB), and how many keys count as hot at most.
 PLACES, HOT = 1 << 23, 1000
 
+#: Names of types that Spark calls otherwise.
+_KINDS = {"bit": "boolean", "datetime": "timestamp_ntz", "datetime2": "timestamp_ntz", "float": "double", "real": "float"}
+
 
 @dataclass(frozen=True)
 class Field:
@@ -48,9 +51,19 @@ class Field:
             return F.substring(whole, 1, self.length) if self.length else whole
         if self.datatype in ("decimal", "numeric"):
             return F.trim(column.cast("string")).try_cast(f"decimal({self.length},{self.scale})")
-        kind = {"bit": "boolean", "datetime": "timestamp_ntz", "datetime2": "timestamp_ntz", "float": "double", "real": "float"}.get(self.datatype, self.datatype)
+        kind = _KINDS.get(self.datatype, self.datatype)
         return (F.trim(column) if kind != "string" else column).try_cast(kind) if kind != "binary" else column.try_cast(kind)
 
+    def converted_sql(self, column: str) -> str:
+        """``converted`` of a column that SQL names."""
+        if self.datatype.endswith("char"):
+            whole = f"CAST({column} AS STRING)"
+            return f"substring({whole}, 1, {self.length})" if self.length else whole
+        if self.datatype in ("decimal", "numeric"):
+            return f"try_cast(trim(CAST({column} AS STRING)) AS DECIMAL({self.length},{self.scale}))"
+        kind = _KINDS.get(self.datatype, self.datatype)
+        return f"try_cast({column if kind in ('binary', 'string') else f'trim({column})'} AS {kind})"
+
 
 def fields_of(structure: T.StructType | Sequence[Field]) -> list[Field]:
     """Expected columns from a schema, or as given."""
@@ -167,3 +180,47 @@ def structure_compliance(df: DataFrame, structure: T.StructType | Sequence[Field
         listed = ", ".join(f"[{n}]" for n in names)
         parts.append(F.when(F.col(mark), f"Uniqueness error: ({listed}) contains duplicates. ").otherwise(""))
     return out.select(*(F.col(f"`{c}`") for c in df.columns), F.concat(*parts).alias(ERROR))
+
+
+def compliance_script(table: str, columns: Sequence[str], structure: T.StructType | Sequence[Field], result: str, truncation_check: bool = True) -> str:
+    """What ``structure_compliance`` does to a table of the catalog with these columns, as a SQL script for ``spark.sql``; it leaves the rows in the table ``result``, which it replaces.
+
+    Keys that repeat are counted and joined back, so Spark chooses by their size how."""
+    expected = fields_of(structure)
+    if not expected:
+        raise ValueError("No structure found to apply.")
+    if ERROR in columns:
+        raise ValueError(f"the table has a column {ERROR}")
+    name = lambda c: "`" + c.replace("`", "``") + "`"
+    told = lambda text: "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    present = [f for f in expected if f.name in columns]
+    parts = [told(column_errors(expected, columns))]
+    for f in present:
+        column = f"t.{name(f.name)}"
+        value, style = f.converted_sql(column), f" using datestyle {f.datestyle}" if f.datestyle else ""
+        checks = f"WHEN {column} IS NULL THEN '' WHEN {value} IS NULL THEN {told(f'Datatype error: [{f.name}] could not be converted to {f.datatype_string}{style}. ')}"
+        if truncation_check:
+            shorter = f"length(rtrim(CAST({value} AS STRING))) < length(rtrim(CAST({column} AS STRING)))"
+            checks += f" WHEN {shorter} THEN {told(f'Truncation error: [{f.name}] would be truncated when converted to {f.datatype_string}{style}. ')}"
+        parts.append(f"CASE {checks} ELSE '' END")
+    parts += [f"if(t.{name(f.name)} IS NULL, {told(f'Nullability error: [{f.name}] does not contain data. ')}, '')" for f in present if not f.nullable]
+    groups: dict[int, list[str]] = {}
+    for f in present:
+        if f.unique:
+            groups.setdefault(f.unique, []).append(f.name)
+    twice, joins = [], []
+    for number, names in sorted(groups.items()):
+        keys = [name(n) for n in names]
+        twice.append(f"`__u{number}` AS (SELECT {', '.join(keys)}, true AS `__twice` FROM {table} GROUP BY {', '.join(keys)} HAVING count(*) > 1)")
+        joins.append(f"\n    LEFT JOIN `__u{number}` ON {' AND '.join(f't.{k} <=> `__u{number}`.{k}' for k in keys)}")
+        listed = ", ".join(f"[{n}]" for n in names)
+        parts.append(f"if(`__u{number}`.`__twice`, {told(f'Uniqueness error: ({listed}) contains duplicates. ')}, '')")
+    first = f"WITH {', '.join(twice)}\n    " if twice else ""
+    errors = ",\n      ".join(parts)
+    return f"""BEGIN
+  DROP TABLE IF EXISTS {result};
+  CREATE TABLE {result} USING parquet AS
+    {first}SELECT t.*, concat(
+      {errors}) AS `{ERROR}`
+    FROM {table} AS t{"".join(joins)};
+END"""

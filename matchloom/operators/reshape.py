@@ -52,7 +52,8 @@ def transpose(df: DataFrame, include_labels: bool = True) -> DataFrame:
     label, *rest = df.columns
     if not rest:
         raise ValueError("there must be a second column")
-    text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL"))
+    own = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    text = lambda c: F.coalesce(own(c).cast("string"), F.lit("NULL"))
     named = df.select(text(label).alias("__name"), F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(c).alias("c"), text(c).alias("v")) for k, c in enumerate(rest)))).alias("x"))
     names = [r[0] for r in df.select(text(label)).limit(MOST_COLUMNS + 1).collect()]
     if len(names) > MOST_COLUMNS:
@@ -61,4 +62,41 @@ def transpose(df: DataFrame, include_labels: bool = True) -> DataFrame:
         raise ValueError("values of the first column repeat, so they cannot name columns")
     wide = named.groupBy(F.col("x.k").alias("__k"), F.col("x.c").alias("__c")).pivot("__name", names).agg(F.first("x.v"))
     shown = [F.col("__c").alias(label)] if include_labels else []
-    return wide.orderBy("__k").select(*shown, *(F.col(f"`{n}`") for n in names))
+    return wide.orderBy("__k").select(*shown, *map(own, names))
+
+
+def _quoted(text: str, mark: str = "'") -> str:
+    """A SQL literal of the text."""
+    return mark + text.replace("\\", "\\\\").replace(mark, "\\" + mark) + mark
+
+
+def transpose_script(table: str, columns: Sequence[str], result: str, include_labels: bool = True) -> str:
+    """What ``transpose`` does to a table of the catalog with these columns, as a SQL script for ``spark.sql``; it leaves the rows in the table ``result``, which it replaces.
+
+    The script reads the names of columns from the rows when it runs, so it fits a table whose rows change.  They come in the order of the names, as rows of tables have none."""
+    label, *rest = columns
+    if not rest:
+        raise ValueError("there must be a second column")
+    q = lambda c: "`" + c.replace("`", "``") + "`"
+    text = lambda c: f"coalesce(CAST({q(c)} AS STRING), 'NULL')"
+    cells = ", ".join(f"named_struct('k', {k}, 'c', {_quoted(c)}, 'v', {text(c)})" for k, c in enumerate(rest))
+    shown = f"`__c` AS {q(label)}, " if include_labels else ""
+    source = f"SELECT {text(label)} AS `__name`, `__x`.k AS `__k`, `__x`.c AS `__c`, `__x`.v AS `__v` FROM {table} LATERAL VIEW explode(array({cells})) `__e` AS `__x`"
+    name = "concat(chr(96), replace(n, chr(96), concat(chr(96), chr(96))), chr(96))"
+    value = "concat(chr(39), replace(replace(n, chr(92), concat(chr(92), chr(92))), chr(39), concat(chr(92), chr(39))), chr(39))"
+    return f"""BEGIN
+  DECLARE names ARRAY<STRING>;
+  DECLARE query STRING;
+  SET names = (SELECT array_sort(collect_list({text(label)})) FROM {table});
+  IF size(names) > {MOST_COLUMNS} THEN
+    SELECT raise_error('more than {MOST_COLUMNS} rows cannot become columns');
+  END IF;
+  IF size(array_distinct(names)) < size(names){f" OR array_contains(names, {_quoted(label)})" if include_labels else ""} THEN
+    SELECT raise_error('values of the first column repeat, so they cannot name columns');
+  END IF;
+  SET query = concat(
+    {_quoted(f"CREATE TABLE {result} USING parquet AS SELECT {shown}")}, array_join(transform(names, n -> {name}), ', '),
+    {_quoted(f" FROM ({source}) PIVOT (first(`__v`) FOR `__name` IN (")}, array_join(transform(names, n -> concat({value}, ' AS ', {name})), ', '), ')) ORDER BY `__k`');
+  DROP TABLE IF EXISTS {result};
+  EXECUTE IMMEDIATE query;
+END"""

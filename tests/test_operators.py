@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.operators import Field, Rule, Timer, db_creator, definitions, mash, mash_script, match, print_parts, printed_parts, report, select_to_html, select_to_html_colour, string_table_split, string_tables_split, structure_compliance, transpose
+from matchloom.operators import Field, Rule, Timer, compliance_script, db_creator, definitions, mash, mash_script, match, print_parts, printed_parts, report, select_to_html, select_to_html_colour, string_table_split, string_tables_split, structure_compliance, transpose, transpose_script
 from matchloom.operators import compliance, mashing
 from matchloom.operators.ddl import Definition, _ordered
 from matchloom.operators.compliance import column_errors
@@ -379,3 +379,48 @@ def test_the_printed_script_of_mash(spark):
     finally:
         for name in ("to_mash", "mashed"):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_transpose_as_a_script(spark):
+    rows = [("Thorn", 1, None), ("it's \\ `odd`", 2, "x"), (None, 3, "it's")]
+    df = spark.createDataFrame(rows, "`the name` string, age int, `o'c` string")
+    df.write.mode("overwrite").saveAsTable("to_turn")
+    try:
+        for labels in (True, False):
+            spark.sql(transpose_script("to_turn", df.columns, "default.turned", labels))
+            found, wanted = spark.table("turned"), transpose(df, labels)
+            assert sorted(found.columns) == sorted(wanted.columns)
+            assert sorted(found.select(*(F.col("`" + c.replace("`", "``") + "`") for c in sorted(found.columns))).collect()) == sorted(tuple(r[c] for c in sorted(found.columns)) for r in wanted_rows(wanted))
+        df.union(df).write.mode("overwrite").saveAsTable("to_turn_twice")
+        with pytest.raises(Exception, match="repeat"):
+            spark.sql(transpose_script("to_turn_twice", df.columns, "default.turned"))
+        assert spark.table("turned").count() == 2  # what was there stays
+        with pytest.raises(ValueError):
+            transpose_script("to_turn", ["a"], "b")
+    finally:
+        for name in ("to_turn", "to_turn_twice", "turned"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def wanted_rows(df):
+    return [dict(zip(df.columns, r)) for r in df.collect()]
+
+
+def test_compliance_as_a_script(spark):
+    rows = [("1", "abc", "2020-01-01", "x"), ("1", "abcd ", "no", None), ("x", "ab", None, "y"), (None, None, "2021-02-03", "x"), (None, "abcde", "", "y'")]
+    df = spark.createDataFrame(rows, "`the id` string, code string, day string, more string")
+    fields = [Field("the id", "int", nullable=False, unique=1), Field("day", "date", datestyle="it's"), Field("code", "varchar", 3, unique=2), Field("more", "char", 1, nullable=False, unique=2), Field("sum", "decimal", 9, 2)]
+    df.write.mode("overwrite").saveAsTable("to_check")
+    try:
+        for truncation in (True, False):
+            script = compliance_script("to_check", df.columns, fields, "default.was_checked", truncation)
+            spark.sql(script)
+            wanted = structure_compliance(df, fields, truncation)
+            assert spark.table("was_checked").columns == wanted.columns
+            assert sorted(map(tuple, spark.table("was_checked").collect()), key=repr) == sorted(map(tuple, wanted.collect()), key=repr)
+        assert "Uniqueness" in script and spark.table("was_checked").where("`__error__` like '%contains duplicates%'").count() == 4
+        with pytest.raises(ValueError):
+            compliance_script("to_check", df.columns, [], "b")
+    finally:
+        for name in ("to_check", "was_checked"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
