@@ -18,6 +18,8 @@ from .norm import fold_accents, text
 MINOR_WORDS = ("a", "an", "and", "as", "at", "but", "by", "for", "in", "nor", "of", "on", "or", "so", "the", "to", "up", "yet", "is")
 #: Characters that end a word in title case.
 TERMINALS, INTERNALS, ENCLOSERS, DIVISIVES = "!?.;:\n", " ,", "([{", "/\\-"
+#: The same in sets of regular expressions: what ends a part, and what stands between its words.
+TITLE_ENDS, TITLE_BETWEEN = (re.escape(x).replace("/", "\\/") for x in (TERMINALS + ENCLOSERS + DIVISIVES, INTERNALS))
 
 
 def age(start: Column | str, end: Column | date | None = None) -> Column:
@@ -157,35 +159,12 @@ def start_case(string: Column | str) -> Column:
     return F.array_join(F.transform(words, lambda x: F.concat(_raise(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))), "")
 
 
-_WORDS = re.compile(f"[^{re.escape(TERMINALS + INTERNALS + ENCLOSERS + DIVISIVES)}]*(?:[{re.escape(TERMINALS + INTERNALS + ENCLOSERS + DIVISIVES)}]|\\Z)")
-
-
-def title_text(value: str) -> str | None:
-    """Title case of one string; null for an empty one."""
-    if not value:
-        return None
-    out, capital = [], True
-    for match in _WORDS.finditer(value.lower()):
-        word = match[0]
-        if not word:
-            continue
-        end = word[-1]
-        # a blank or comma of its own passes the capital on to the next word
-        if word not in INTERNALS and (capital or word.rstrip(" ") not in MINOR_WORDS):
-            word = (word[0] if word[0] == "ß" else word[0].upper()) + word[1:]
-            capital = end in DIVISIVES
-        if end in TERMINALS or end in ENCLOSERS:
-            capital = True
-        out.append(word)
-    return "".join(out)
-
-
 def title_case(string: Column | str) -> Column:
     """Title case, with minor words in lower case but at the start and after terminals, brackets and slashes; null for an empty text.
 
     Every part that such a character ends starts anew: its first word, after blanks and commas, is raised, and of the others all but minor words."""
     s = text(string)
-    ends, between = (re.escape(x).replace("/", "\\/") for x in (TERMINALS + ENCLOSERS + DIVISIVES, INTERNALS))
+    ends, between = TITLE_ENDS, TITLE_BETWEEN
     parts = F.split(F.lower(s), f"(?<=[{ends}])", -1)
 
     def raised(part: Column) -> Column:
@@ -231,38 +210,12 @@ def gradient_hex(target: Column | str, lower: Column | float, upper: Column | fl
     return F.when(lo == hi, a).otherwise(F.concat(F.lit("#"), part(1), part(3), part(5)))
 
 
-_TOKENS = re.compile(r'"(?:\\.|[^"\\])*(?:"|\Z)|[{}\[\]:,]|[^\s{}\[\]:,"]+', re.S)
-
-
-def json_text(value: str) -> str:
-    """Re-indents JSON with tabs, without parsing values: key order and number text stay."""
-    out: list[str] = []
-    depth, after_colon = 0, False
-    for token in _TOKENS.findall(value.replace("\n", "").replace("\t", "")):
-        if token in "{[":
-            out.append(token if after_colon else "\n" + "\t" * depth + token)
-            depth, after_colon = depth + 1, False
-        elif token in "}]":
-            depth = max(0, depth - 1)
-            out.append("\n" + "\t" * depth + token)
-            after_colon = False
-        elif token == ":":
-            out.append(": ")
-            after_colon = True
-        elif after_colon or token == ",":
-            out.append(token)
-            after_colon = False
-        else:
-            out.append("\n" + "\t" * depth + token)
-    return "".join(out).removeprefix("\n")
-
-
 #: Blanks between tokens of JSON, beyond those that ``\\s`` means.
 _BLANK = "\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Strings (to their end, or that of the text), marks, and other words.
 JSON_TOKEN = f'"[^"\\\\]*+(?:\\\\[\\s\\S][^"\\\\]*+)*+(?:"|\\z)|[{{}}\\[\\]:,]|[^{_BLANK}{{}}\\[\\]:,"]+'
 #: Tokens that one inner fold lays out; the texts of these are joined at the end, so that no long text is copied for each token.
-_FOLD = 256
+FOLD = 256
 
 
 def json_formatter(string: Column | str) -> Column:
@@ -285,10 +238,10 @@ def json_formatter(string: Column | str) -> Column:
         def part(state: Column, k: Column) -> Column:
             last = state["last"]
             start = F.struct(F.lit("").alias("out"), last["depth"].alias("depth"), last["before"].alias("before"))
-            return F.struct(F.concat(state["parts"], F.array(last["out"])).alias("parts"), F.aggregate(F.slice(tokens, k * _FOLD + 1, F.lit(_FOLD)), start, laid).alias("last"))
+            return F.struct(F.concat(state["parts"], F.array(last["out"])).alias("parts"), F.aggregate(F.slice(tokens, k * FOLD + 1, F.lit(FOLD)), start, laid).alias("last"))
 
         nothing = F.struct(F.array().cast("array<string>").alias("parts"), F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"), F.lit("").alias("before")).alias("last"))
-        numbers = F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / _FOLD).cast("int"))
+        numbers = F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / FOLD).cast("int"))
         out = F.aggregate(numbers, nothing, part, lambda state: F.array_join(F.concat(state["parts"], F.array(state["last"]["out"])), ""))
         return F.when(F.size(tokens) == 0, "").when(F.size(tokens) > 0, F.regexp_replace(out, "\\A\n", F.lit("")))
 

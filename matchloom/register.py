@@ -6,8 +6,6 @@ nulls are the same as in ``matchloom.functions``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +58,29 @@ def _channel(at: int) -> str:
     return f"lpad(hex(pmod(CAST({a} + ({b} - {a}) * try_divide(target - lower_, upper_ - lower_) AS BIGINT), 256)), 2, '0')"
 
 
+def _title() -> str:
+    """``title_case`` of ``string``."""
+    minor = ", ".join(f"'{w}'" for w in strings.MINOR_WORDS)
+    raised = "concat(if(substr(word, 1, 1) = 'ß', 'ß', upper(substr(word, 1, 1))), substr(word, 2))"
+    words = f"transform(split(part, r'(?<=[{strings.TITLE_BETWEEN}])', -1), (word, k) -> if(rtrim(word) IN ({minor}) AND k <> length(regexp_extract(part, r'^[{strings.TITLE_BETWEEN}]*', 0)), word, {raised}))"
+    return f"CASE WHEN string <> '' THEN array_join(transform(split(lower(string), r'(?<=[{strings.TITLE_ENDS}])', -1), part -> array_join({words}, '')), '') END"
+
+
+def _json() -> str:
+    """``json_formatter`` of ``string``: a fold over tokens in folds over ``FOLD`` of them."""
+    state = "named_struct('out', '', 'depth', {}, 'before', {})".format
+    line = "concat(chr(10), repeat(chr(9), {}), t)".format
+    outer = "greatest(s.depth - 1, 0)"
+    piece = f"CASE WHEN t = ':' THEN ': ' WHEN t IN ('}}', ']') THEN {line(outer)} WHEN t = ',' OR s.before = ':' THEN t ELSE {line('s.depth')} END"
+    depth = f"CASE WHEN t IN ('{{', '[') THEN s.depth + 1 WHEN t IN ('}}', ']') THEN {outer} ELSE s.depth END"
+    inner = f"aggregate(slice(tokens, k * {strings.FOLD} + 1, {strings.FOLD}), {state('p.last.depth', 'p.last.before')}, (s, t) -> named_struct('out', concat(s.out, {piece}), 'depth', {depth}, 'before', t))"
+    start = f"named_struct('parts', CAST(array() AS ARRAY<STRING>), 'last', {state('0', chr(39) * 2)})"
+    parts = "concat(p.parts, array(p.last.out))"
+    whole = f"aggregate(sequence(0, CAST(floor((size(tokens) - 1) / {strings.FOLD}) AS INT)), {start}, (p, k) -> named_struct('parts', {parts}, 'last', {inner}), p -> array_join({parts}, ''))"
+    tokens = f"regexp_extract_all(translate(string, concat(chr(10), chr(9)), ''), r'{strings.JSON_TOKEN}', 0)"
+    return f"get(transform(array({tokens}), tokens -> CASE WHEN size(tokens) = 0 THEN '' WHEN size(tokens) > 0 THEN regexp_replace({whole}, r'\\A\\n', '') END), 0)"
+
+
 #: name -> (parameters, type or RETURNS TABLE, body)
 SQL_FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "fn_age": ("start_date DATE, end_date DATE DEFAULT NULL", "INT", "CAST((CAST(date_format(coalesce(end_date, current_date()), 'yyyyMMdd') AS INT) - CAST(date_format(start_date, 'yyyyMMdd') AS INT)) / 10000 AS INT)"),
@@ -72,6 +93,8 @@ SQL_FUNCTIONS: dict[str, tuple[str, str, str]] = {
         "STRING",
         r"array_join(transform(split(lower(string), r'(?<=[ \-\\&\t\n\r])'), x -> concat(if(substr(x, 1, 1) = 'ß', 'ß', upper(substr(x, 1, 1))), substr(x, 2))), '')",
     ),
+    "fn_title_case": ("string STRING", "STRING", _title()),
+    "fn_json_formatter": ("string STRING", "STRING", _json()),
     "fn_string_split_item": ("string STRING, separator STRING DEFAULT ',', item INT DEFAULT 0", "STRING", r"coalesce(get(split(string, concat(r'\Q', separator, r'\E'), -1), greatest(item, 0)), '')"),
     "fn_gradient_hex": ("target DOUBLE, lower_ DOUBLE, upper_ DOUBLE, hexmin STRING, hexmax STRING", "STRING", f"CASE WHEN lower_ = upper_ THEN hexmin ELSE concat('#', {_channel(1)}, {_channel(3)}, {_channel(5)}) END"),
     "fn_levenshtein_distance": (_TWO, "INT", _measure(f"levenshtein({_A}, {_B})")),
@@ -102,13 +125,6 @@ SQL_FUNCTIONS: dict[str, tuple[str, str, str]] = {
 }
 
 
-def _of_values(function: Callable[[str], object]) -> Callable[[pd.Series], pd.Series]:
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(function, na_action="ignore")
-
-    return run
-
-
 def _extract_param(string: pd.Series, key: pd.Series, separator: pd.Series, include_key: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or k is None else strings.extract_param_text(x, k, s or "", bool(i)) for x, k, s, i in zip(string, key, separator, include_key)], dtype=object)
 
@@ -161,12 +177,10 @@ def register(spark: SparkSession) -> list[str]:
     """Registers all; returns their names."""
     for name, function, kind in (("osa", distance.osa_many, "int"), ("damerau", distance.damerau_many, "int"), ("jaro", distance.jaro_many, "double")):
         spark.udf.register(f"matchloom_{name}", distance.batched(function, kind))
-    for name, function in (("fn_title_case", strings.title_text), ("fn_json_formatter", strings.json_text)):
-        spark.udf.register(name, F.pandas_udf(_of_values(function), "string"))
     for name, function in (("extract_param", _extract_param), ("extract_pattern", _extract_pattern), ("replace", _replace)):  # their patterns may be columns
         spark.udf.register(f"matchloom_{name}", F.pandas_udf(function, "string"))
     spark.udtf.register("p_string_table_split", F.udtf(StringTableSplit))
     spark.udtf.register("p_print", F.udtf(Print, returnType="part string"))
     for name, (parameters, kind, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
-    return ["fn_title_case", "fn_json_formatter", "p_string_table_split", "p_print", *SQL_FUNCTIONS]
+    return ["p_string_table_split", "p_print", *SQL_FUNCTIONS]

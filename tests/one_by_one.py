@@ -1,7 +1,11 @@
-"""Distances of one pair in plain loops, to hold the vectorised ones against."""
+"""Distances and texts in plain loops, to hold the vectorised ones and the expressions against."""
 
 from __future__ import annotations
 
+import re
+
+from matchloom.functions.strings import DIVISIVES, ENCLOSERS, INTERNALS, MINOR_WORDS, TERMINALS
+
 
 def osa(a: str, b: str, most: int | None = None) -> int:
     """Restricted edit distance: swaps of neighbours cost one, and nothing is edited twice.
@@ -71,3 +75,52 @@ def jaro(a: str, b: str) -> float:
     m = len(left)
     swapped = sum(x != y for x, y in zip(left, (y for y, t in zip(b, taken) if t))) // 2
     return (m / len(a) + m / len(b) + (m - swapped) / m) / 3
+
+
+_WORDS = re.compile(f"[^{re.escape(TERMINALS + INTERNALS + ENCLOSERS + DIVISIVES)}]*(?:[{re.escape(TERMINALS + INTERNALS + ENCLOSERS + DIVISIVES)}]|\\Z)")
+
+
+def title_text(value: str) -> str | None:
+    """Title case of one string; null for an empty one."""
+    if not value:
+        return None
+    out, capital = [], True
+    for match in _WORDS.finditer(value.lower()):
+        word = match[0]
+        if not word:
+            continue
+        end = word[-1]
+        # a blank or comma of its own passes the capital on to the next word
+        if word not in INTERNALS and (capital or word.rstrip(" ") not in MINOR_WORDS):
+            word = (word[0] if word[0] == "ß" else word[0].upper()) + word[1:]
+            capital = end in DIVISIVES
+        if end in TERMINALS or end in ENCLOSERS:
+            capital = True
+        out.append(word)
+    return "".join(out)
+
+
+_TOKENS = re.compile(r'"(?:\\.|[^"\\])*(?:"|\Z)|[{}\[\]:,]|[^\s{}\[\]:,"]+', re.S)
+
+
+def json_text(value: str) -> str:
+    """Re-indents JSON with tabs, without parsing values: key order and number text stay."""
+    out: list[str] = []
+    depth, after_colon = 0, False
+    for token in _TOKENS.findall(value.replace("\n", "").replace("\t", "")):
+        if token in "{[":
+            out.append(token if after_colon else "\n" + "\t" * depth + token)
+            depth, after_colon = depth + 1, False
+        elif token in "}]":
+            depth = max(0, depth - 1)
+            out.append("\n" + "\t" * depth + token)
+            after_colon = False
+        elif token == ":":
+            out.append(": ")
+            after_colon = True
+        elif after_colon or token == ",":
+            out.append(token)
+            after_colon = False
+        else:
+            out.append("\n" + "\t" * depth + token)
+    return "".join(out).removeprefix("\n")

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from matchloom import functions as fn
 from matchloom.functions import strings
 from matchloom.functions import distance, patterns
-from matchloom.functions.strings import json_text, title_text
 
 from . import one_by_one
+from .one_by_one import json_text, title_text
 
 
 def values(spark, *columns):
@@ -220,7 +220,7 @@ def test_title_case_and_windows_without_python(spark):
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
     for r in out.collect():
         x = texts[r.k]
-        assert r.t == (None if x is None else strings.title_text(x)), x
+        assert r.t == (None if x is None else title_text(x)), x
         assert (r.w, r.v) == ((None, None) if x is None else (strings.extract_pattern_text(x, "[a-z][a-z]", 2), strings.extract_pattern_text(x, "[a-z ][. ][a-z]", 3))), x
 
 

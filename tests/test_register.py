@@ -77,3 +77,13 @@ def test_procedures_as_table_functions(spark):
     rows = spark.sql("SELECT k, t.* FROM spelled, LATERAL p_string_table_split(s, ',', ';', true, 'x,y') t").collect()
     assert sorted(map(tuple, rows)) == [(1, "1", "2"), (1, "3", "4")]
     assert [r.part for r in spark.sql("SELECT * FROM p_print('ab\\ncd', 4)").collect()] == ["ab", "cd"]
+
+
+def test_title_case_and_json_without_python(spark):
+    register(spark)
+    texts = ["", None, "the end of a/the straße, is\nßa (of the) x", '{"a": [1, "b: {"], "c": {"d": "it\'s"}}', "{" * 700 + ":x,}", ", the"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, s string")
+    df.createOrReplaceTempView("said")
+    out = spark.sql("SELECT k, fn_title_case(s) AS t, fn_json_formatter(s) AS j FROM said")
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(out.collect()) == sorted(df.select("k", fn.title_case("s"), fn.json_formatter("s")).collect())
