@@ -8,6 +8,8 @@ length give a number of edits for each length of the longer side.
 Jaro similarities.  m characters in common bound the similarity by (m / |a| + m / |b| + 1) / 3, so a threshold asks for so many in common.  The characters of
 a text, numbered among their like and rarest first, are an ordered bag: two bags with c in common share one of the first
 |a| - c + 1 and |b| - c + 1.  Those are joined by an inverted index for each pair of lengths, then the whole bags are counted.
+Where lengths leave at most one character of each text without a partner, texts meet by what they have in common as a whole: the
+same bag, or the same rest after one character is taken away; the rest keeps its order if the threshold allows no transposition.
 
 Values that are equal under the collation are always a pair.  Groups of few values and texts too short for pieces of two
 characters are paired by length alone.  A list of the index with more than ``SLICE`` values is split into slices that the other side meets one by one.
@@ -76,6 +78,16 @@ class Bags:
     def gap(self, shorter: Column, longer: Column) -> Column:
         return longer <= self.longest(shorter)
 
+    def close(self, shorter: Column, longer: Column) -> Column:
+        """Whether at most one character of either is not in common."""
+        return longer - self.common(shorter, longer) <= 1
+
+    def in_order(self, shorter: Column, longer: Column) -> Column:
+        """Whether the characters in common must stand in the same order, if one of the longer text is not among them."""
+        m = longer - 1
+        transposed = F.floor(m * (1 - 3 * self.least + m / F.greatest(shorter, F.lit(1)) + m / F.greatest(longer, F.lit(1))) + 1e-6)
+        return transposed < 1  # single characters out of place come in twos
+
 
 def filter_of(function: str, threshold: str) -> Edits | Bags | None:
     """How candidates of a rule are found; None where its threshold excludes next to nothing."""
@@ -162,7 +174,32 @@ def _heads(bags: Bags, longer: bool) -> Column:
         a, b = (other, n) if longer else (n, other)
         return F.transform(F.slice(bag, 1, F.greatest(n - bags.common(a, b) + 1, F.lit(0))), lambda c: F.xxhash64(a, b, c))
 
-    return F.flatten(F.transform(others, tokens))
+    far = lambda other: ~(bags.close(other, n) if longer else bags.close(n, other))
+    return F.flatten(F.transform(F.filter(others, far), tokens))
+
+
+def _rests(bags: Bags, longer: bool) -> Column:
+    """Tokens of the whole text, and of what stays of it without one character, for the lengths that leave no more without a partner."""
+    x, n, letters = F.col("x"), F.col("size"), F.col("letters")
+    none = F.array().cast("array<bigint>")
+
+    def kind(a: Column, b: Column) -> Column:
+        """What is alike of texts that meet, told once for a text: its form, and a seed for these lengths."""
+        ordered = bags.in_order(a, b)
+        return F.struct(F.when(ordered, x).otherwise(letters).alias("form"), F.xxhash64(a, b, ordered).alias("seed"))
+
+    def without_one(a: Column, b: Column) -> Column:
+        places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        rests = lambda k: F.transform(places, lambda i: F.xxhash64(k["seed"], F.concat(F.substring(k["form"], F.lit(1), i - 1), F.substring(k["form"], i + 1, n))))
+        return F.transform(F.array(kind(a, b)), rests)[0]
+
+    same = F.when(bags.close(n, n), F.array(F.xxhash64(n, n, letters))).otherwise(none)
+    replaced = F.when(bags.close(n, n) & (bags.common(n, n) < n), without_one(n, n)).otherwise(none)
+    if longer:
+        grown = F.when((n > 0) & bags.close(n - 1, n), without_one(n - 1, n)).otherwise(none)
+    else:
+        grown = F.when(bags.close(n, n + 1), F.transform(F.array(kind(n, n + 1)), lambda k: F.xxhash64(k["seed"], k["form"]))).otherwise(none)
+    return F.concat(same, replaced, grown)
 
 
 def candidates(values: DataFrame, keys: Sequence[str], how: Edits | Bags, native: bool, largest: int | None = None) -> DataFrame:
@@ -180,6 +217,8 @@ def candidates(values: DataFrame, keys: Sequence[str], how: Edits | Bags, native
         rows = rows.join(large, keys, "left").withColumn("large", F.coalesce("large", F.lit(False)))
         if isinstance(how, Bags):
             order = [r[0] for r in rows.where("large").select(F.explode(F.split("x", "")).alias("c")).groupBy("c").count().orderBy("count", "c", ascending=[False, True]).limit(COUNTED).collect()]
+            rows = rows.withColumn("letters", F.when(F.col("large"), F.array_join(F.array_sort(F.split("x", "")), "")))
+            rows = rows.repartition(ways, *keys, "value")
             rows, _ = written(rows.withColumn("bag", F.when(F.col("large"), _bag(F.col("x"), {c: -k for k, c in enumerate(order)}))), "bags")
     else:
         rows = rows.withColumn("large", F.lit(False))
@@ -194,20 +233,21 @@ def candidates(values: DataFrame, keys: Sequence[str], how: Edits | Bags, native
     alike = [c.withColumn("same", F.collate("value", COLLATION)) for c in (rows, rows)]
     same = alike[0].select(*keys, "same", F.col("value").alias("value_a")).join(alike[1].select(*keys, "same", F.col("value").alias("value_b")), [*keys, "same"]).where("value_a <= value_b")
     if some:
-        many = rows.where("large")
+        # tokens cost much more than the texts they are made of
+        many = rows.where("large").repartition(ways, *keys, "value")
         if isinstance(how, Edits):
             short_a, short_b = many.where(F.col("size") < 2 * how.pieces(how.longest(F.col("size")))), many.where(F.col("size") - how.within(F.col("size")) < 2 * how.pieces(F.col("size")))
             short = paired(*sliced(short_a, short_b, keys, "value"), [*keys, "slice"]).where(F.col("size_a") < 2 * how.pieces(F.col("size_b")))
-            index, probes = _index_of_pieces(how), _probes_of_pieces(how)
             found.append(short)
-            more: list[str] = []
+            looked = [(_index_of_pieces(how), _probes_of_pieces(how), [])]
         else:
-            index, probes, more = _heads(how, False), _heads(how, True), ["bag"]
-        index, probes = (many.select(*keys, "value", "size", *more, F.explode(F.array_distinct(t)).alias("token")) for t in (index, probes))
-        met = paired(*sliced(index, probes, [*keys, "token"], "value"), [*keys, "token", "slice"], more)
-        if isinstance(how, Bags):
-            met = met.where(F.size(F.array_intersect("bag_a", "bag_b")) >= how.common(F.col("size_a"), F.col("size_b")))
-        found.append(met)
+            looked = [(_rests(how, False), _rests(how, True), []), (_heads(how, False), _heads(how, True), ["bag"])]
+        for tokens, probed, more in looked:
+            index, probes = (many.select(*keys, "value", "size", *more, F.explode(F.array_distinct(t)).alias("token")) for t in (tokens, probed))
+            met = paired(*sliced(index, probes, [*keys, "token"], "value"), [*keys, "token", "slice"], more)
+            if more:
+                met = met.where(F.size(F.array_intersect("bag_a", "bag_b")) >= how.common(F.col("size_a"), F.col("size_b")))
+            found.append(met)
     out = same.select(*keys, "value_a", "value_b")
     for one in found:
         out = out.unionByName(one.select(*keys, "value_a", "value_b"))

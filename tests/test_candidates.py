@@ -89,3 +89,11 @@ def test_a_large_block_is_not_paired_in_full(spark, function, threshold):
 
 def test_thresholds_without_a_filter():
     assert [candidates.filter_of(*x) for x in (("jaro", "0.6"), ("osa", "-1"), ("levenshtein_normalised", "1"), ("exact", "1"))] == [None] * 4
+
+
+def test_numbered_names_of_one_block_are_not_paired_by_their_digits_alone(spark):
+    """Names that differ in six digits: few have the same digits or the same rest without one of them, but most share their rarest two."""
+    rng = random.Random(4)
+    values = spark.createDataFrame([(1, f"Customer#{k:09d}") for k in sorted(rng.sample(range(900_000), 4000))], "g int, value string")
+    offered = candidates.candidates(values, ["g"], candidates.filter_of("jaro_winkler", "0.97"), False).count() - 4000
+    assert 2000 < offered < 40_000, offered  # all bags that share 17 of 18 characters: 110,861
