@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom.operators import Field, Rule, Timer, compliance_script, db_creator, definitions, mash, mash_script, match, print_parts, printed_parts, report, select_to_html, select_to_html_colour, string_table_split, string_tables_split, structure_compliance, transpose, transpose_script
-from matchloom.operators import compliance, mashing
+from matchloom.operators import compliance, mashing, matching
 from matchloom.operators.ddl import Definition, _ordered
 from matchloom.operators.compliance import column_errors
 from matchloom.operators.numbering import order_by, with_row_number
@@ -142,6 +142,35 @@ def test_mash_with_source_and_nulls(spark):
     assert run_mash(spark, [("A", "B"), (None, "B"), ("A", None)]) == {("A", "B"), (None, "B"), ("A", None)}
 
 
+@pytest.mark.parametrize("rules", ["v,levenshtein_low,2", "v,jaro_winkler,0.9;w,exact,1,a", "w,exact,1;n,exact,1,a", "v,levenshtein,2,a"])
+@pytest.mark.parametrize("odd", [False, True])
+def test_match_mashes_without_pairs_like_mash(spark, monkeypatch, rules, odd):
+    """Classes in parts, chains of several steps, nulls; no pair is formed, and mashing the pairs row by row gives the same rows."""
+    monkeypatch.setattr(matching, "PART", 2)
+    rng = random.Random(11)
+    names = ["anna", "annab", "annabel", "annabell", "bell", "bella", "ella", "Élla", "ella ", None]
+    rows = [(k, rng.choice("xy"), rng.choice(names), rng.choice(["p", "q", None]), rng.choice([1, 2, None]), rng.randrange(9)) for k in range(70)]
+    df = spark.createDataFrame(rows, "id long, b string, v string, w string, n int, o int").repartition(3)
+    with monkeypatch.context() as m:
+        m.setattr(matching, "mash_pairs", None)
+        found = match(df, "id", F.col("b"), "o DESC", rules, mash=True, source=(lambda c: c % 2 == 1) if odd else None).collect()
+    rows = [tuple(r) for r in match(df, "id", F.col("b"), "o DESC", rules).orderBy("l_pid", "l_id", "r_id").collect()]
+    now, before, sources = rows, None, [not odd or r[3] % 2 == 1 for r in rows]
+    while now != before:
+        before, now = now, []
+        for k, (p, l_pid, r_pid, l_id, r_id) in enumerate(before):
+            taken = next((x for x, rewrites in zip(before[:k], sources) if rewrites and x[3] != l_id and x[4] in (l_id, r_id)), None)
+            now.append((p, taken[1], r_pid, taken[3], r_id) if taken else before[k])
+    assert sorted(map(tuple, found)) == sorted(set(now)) and len(found) > 20
+
+
+def test_match_mashes_ids_that_repeat(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (2, "ab"), (3, "abc")], "id long, v string")
+    found = match(df, "id", F.lit(1), None, "v,levenshtein,1", mash=True)
+    wanted = mash(match(df, "id", F.lit(1), None, "v,levenshtein,1"), master_key="l_id", duplicate_key="r_id", update_columns=["l_pid"], priority="l_pid, r_pid")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+
+
 def test_compliance(spark):
     df = spark.createDataFrame([("1", "abcdef", None), ("x", "ab", "3"), (" 7", None, "12.75")], "a string, b string, c string")
     out = structure_compliance(df, [Field("a", "int"), Field("c", "decimal", 5, 1, nullable=False), Field("b", "varchar", 4), Field("z", "int")])
