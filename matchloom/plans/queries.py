@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..functions.predicates import PREDICATES
 from ..functions.strings import MINOR_WORDS
-from ..operators import Field, definitions, mash, match, printed_parts, report, select_to_html, select_to_html_colour, string_tables_split, structure_compliance, transpose
+from ..operators import Field, definitions, match, printed_parts, report, select_to_html, select_to_html_colour, string_tables_split, structure_compliance, transpose
 from ..sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -311,8 +311,8 @@ def _rounds_from(n: int) -> str:
 
 @_add("mash_from_source", f"{_MATCHED}, {_rounds_from(8)}")
 def mash_from_source(spark: SparkSession, d: str) -> DataFrame:
-    pairs = match_parts(spark, d)
-    return mash(pairs.where("l_id % 2 = 0"), pairs.where("l_id % 2 = 1"), master_key="l_id", duplicate_key="r_id", update_columns=["l_pid"], priority="l_pid ASC")
+    """The same where pairs of odd masters are the source and the others the target."""
+    return _match_parts(spark, d, mash=True, source=lambda l_id: l_id % 2 == 1)
 
 
 # structure, shape, reports
