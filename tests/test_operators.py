@@ -164,6 +164,47 @@ def test_match_mashes_without_pairs_like_mash(spark, monkeypatch, rules, odd):
     assert sorted(map(tuple, found)) == sorted(set(now)) and len(found) > 20
 
 
+@pytest.mark.parametrize("rules", ["w,exact,1", "v,levenshtein_low,2", "n,exact,1,a"])
+@pytest.mark.parametrize("parts", [2, 32])
+def test_match_of_large_classes_in_blocks(spark, monkeypatch, rules, parts):
+    """Blocks and parts of every length, null ids and null texts: all pairs once, in order, and mashing from a source like mashing those pairs."""
+    for name, value in (("PART", 4), ("PARTS", parts), ("BLOCK", 3), ("SMALL_BLOCK", 2)):
+        monkeypatch.setattr(matching, name, value)
+    rng = random.Random(5)
+    rows = [(k if k % 17 else None, rng.choice("xxy"), rng.choice(["anna", "Ánna", "annab", "bell", None]), rng.choice(["p", "p ", "q", None]), rng.choice([1, 2, None]), k % 7) for k in range(90)]
+    df = spark.createDataFrame(rows, "id long, b string, v string, w string, n int, o int").repartition(3)
+    ranked = {r: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (r[5], r[0] is not None, r[0] or 0)))}
+    plain = lambda v: v and v.replace("Á", "A").rstrip()
+    holds = {
+        "w,exact,1": lambda x, y: x[3] is not None and plain(x[3]) == plain(y[3]),
+        "v,levenshtein_low,2": lambda x, y: x[2] is not None and y[2] is not None and (x[2] == "bell") == (y[2] == "bell"),
+        "n,exact,1,a": lambda x, y: x[4] is None or y[4] is None or x[4] == y[4],
+    }[rules]
+    # null ids of one priority stand in no fixed order
+    want = sorted((x[0], y[0]) for x, p in ranked.items() for y, q in ranked.items() if p < q and x[1] == y[1] and holds(x, y) and None not in (x[0], y[0]))
+    found = match(df, "id", F.col("b"), "o ASC", rules).collect()
+    assert sorted((r.l_id, r.r_id) for r in found if None not in (r.l_id, r.r_id)) == want and len(want) > 100
+    assert all(r.l_pid < r.r_pid for r in found) and len({(r.l_pid, r.r_pid) for r in found}) == len(found)
+    df = df.where("id is not null")
+    pairs = match(df, "id", F.col("b"), "o ASC", rules)
+    odd = F.col("l_id") % 2 == 1
+    rounds = mash(pairs.where(~odd), pairs.where(odd), master_key="l_id", duplicate_key="r_id", update_columns=["l_pid"], priority="l_pid ASC, r_pid ASC")
+    mashed = match(df, "id", F.col("b"), "o ASC", rules, mash=True, source=lambda c: c % 2 == 1)
+    assert sorted((r.l_id, r.r_id) for r in mashed.collect()) == sorted((r.l_id, r.r_id) for r in rounds.collect())
+
+
+def test_match_of_large_classes_is_dealt_over_tasks_and_small_when_written(spark, monkeypatch, tmp_path):
+    """Tasks grow with pairs, and pairs come in runs that take few bytes in a file."""
+    monkeypatch.setattr(matching, "PAIRS", 100_000)
+    pairs = match(spark.range(1500).withColumn("w", F.lit("p")), "id", F.lit("x"), "id DESC", "w,exact,1")
+    assert pairs.rdd.getNumPartitions() >= 11
+    monkeypatch.setattr(matching, "PAIRS", 1 << 25)
+    match(spark.range(1500).withColumn("w", F.lit("p")), "id", F.lit("x"), "id DESC", "w,exact,1").write.parquet(str(tmp_path / "pairs"))
+    files = list((tmp_path / "pairs").glob("*.parquet"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == 1500 * 1499 // 2
+    assert sum(f.stat().st_size for f in files) < 0.6 * 1500 * 1499 // 2
+
+
 def test_match_mashes_ids_that_repeat(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (2, "ab"), (3, "abc")], "id long, v string")
     found = match(df, "id", F.lit(1), None, "v,levenshtein,1", mash=True)
